@@ -6,23 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import chat, mixing, neardup, packing, quality, sharding, tokens
+from rivulet.llm import chat, embedding_dedup, lm_score, mixing, neardup, packing, quality, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
         "op3_token_counts": tokens.op3_token_counts,
         "op4_minhash_dedup": neardup.op4_minhash_dedup,
         "op5_chat_format": chat.op5_chat_format,
         "op6_sharding": sharding.op6_sharding,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_mixing": mixing.op8_mixing,
+        "op9_lm_score": lm_score.op9_lm_score,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_embedding_dedup": embedding_dedup.ORACLE,
         "op5_chat_format": chat.ORACLE,
         "op8_mixing": mixing.ORACLE,
     }

@@ -4,11 +4,11 @@ broadcast to the workers and probed level by level."""
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ SEGMENTS = 256
 MAX_BITS = 1 << 29
 #: Weight of the unigram distribution in a context, in counts.
 MU = 50.0
-END = b"\n"  # white space, so never a word
+END_KEY = xxhash.xxh3_64_intdigest("\n")  # white space, so never a word
 _U = np.uint64
 
 
@@ -80,32 +80,40 @@ def lookup(bits: np.ndarray, seg_bits: int, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[slice, list[list[bytes]]]]:
-    """Rows with their tokens (A-Z in lower case, then the end), about 300,000 at a time."""
-    part, n, start = [], 0, 0
-    for i, text in enumerate(batch.column(column)):
-        words = text.as_py().lower().split()
-        words.append(END)
-        part.append(words)
-        n += len(words)
-        if n > 300_000:
-            yield slice(start, i + 1), part
-            part, n, start = [], 0, i + 1
-    if part:
-        yield slice(start, batch.num_rows), part
+def chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[slice, pa.Array]]:
+    """Row ranges with their texts, about 2 MB at a time."""
+    texts = batch.column(column)
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(texts):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + 2_000_000, side="right")))
+        yield slice(start, stop), texts.slice(start, stop - start)
+        start = stop
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
+def hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def numbered(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each distinct word, index into these by token, first token of each text)."""
-    flat = [w for d in docs for w in d]
-    distinct = list(set(flat))
-    index = dict(zip(distinct, range(len(distinct)), strict=True))
-    starts = np.cumsum([0, *map(len, docs)])[:-1]
-    return hashes(distinct), np.fromiter(map(index.__getitem__, flat), np.int64, len(flat)), starts
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each distinct token, index into these by token, first token of each text).
+
+    Tokens are the words, A-Z in lower case, then one end for each text. Splitting and
+    numbering run in Arrow's compiled code.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    owner = pc.list_parent_indices(lists)
+    flat = pc.list_flatten(lists)
+    some = pc.not_equal(pc.binary_length(flat), 0)  # blanks at the ends of a text give empty parts
+    coded = flat.filter(some).dictionary_encode()
+    owner = owner.filter(some).to_numpy(zero_copy_only=False)
+    h = np.append(hashes(coded.dictionary.to_pylist()), _U(END_KEY))
+    sizes = np.bincount(owner, minlength=len(texts)) + 1
+    starts = np.cumsum(sizes) - sizes
+    token = np.full(int(sizes.sum()), len(h) - 1, np.int64)
+    token[np.arange(len(owner)) + owner] = coded.indices.to_numpy(zero_copy_only=False)
+    return h, token, starts
 
 
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -116,26 +124,39 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
+class Held:
+    """Counts by key, gathered in parts and summed when they are taken."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.size += len(keys)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([c for _, c in self.parts])).astype(np.int64)
+        self.parts, self.size = [], 0
+        return keys, counts
+
+
 def count_words(train: DataFrame) -> DataFrame:
     """(h, c): exact counts of the training tokens by 64-bit word hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            h = hashes(list(counts)).view(np.int64)
-            c = np.fromiter(counts.values(), np.int64, len(counts))
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], names=["h", "c"])
-
+        held = Held()
         for batch in batches:
-            for _, docs in chunks(batch, 0):
-                for d in docs:
-                    counts.update(d)
-                if len(counts) > 400_000:
-                    yield out()
-        if counts:
-            yield out()
+            for _, texts in chunks(batch, 0):
+                h, token, _ = numbered(texts)
+                held.add(h, np.bincount(token, minlength=len(h)))
+                if held.size > 1_000_000:
+                    h, c = held.take()
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+        if held.size:
+            h, c = held.take()
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
     return train.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -145,30 +166,25 @@ def count_grams(train: DataFrame, vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks, end = vocabulary.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            code, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return code, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+        held = Held()
 
         def out() -> pa.RecordBatch:
-            code, n = merged()
-            held.clear()
+            code, n = held.take()
             prev, word = code >> 32, code & 0xFFFFFFFF
             return pa.RecordBatch.from_arrays([pa.array(gram(prev, word).view(np.int64)), pa.array(prev.astype(np.int32)), pa.array(n)], names=["h", "prev", "c"])
 
         for batch in batches:
-            for _, docs in chunks(batch, 0):
-                h, token, starts = numbered(docs)
+            for _, texts in chunks(batch, 0):
+                h, token, starts = numbered(texts)
                 at = find(keys, h)
                 word = np.where(at >= 0, ranks[at] if len(ranks) else -1, -1)[token]
                 prev = np.concatenate([[end], word[:-1]])
                 prev[starts] = end
                 both = (prev >= 0) & (word >= 0)
-                held.append(np.unique((prev[both].astype(np.int64) << 32) + word[both], return_counts=True))
-                if sum(len(c) for c, _ in held) > 1_500_000:
+                held.add(*np.unique((prev[both].astype(np.int64) << 32) + word[both], return_counts=True))
+                if held.size > 1_500_000:
                     yield out()
-        if held:
+        if held.size:
             yield out()
 
     return train.mapInArrow(run, "h long, prev int, c long").groupBy("h", "prev").agg(F.sum("c").alias("c"))
@@ -241,14 +257,14 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    text = F.coalesce(F.col(text_col), F.lit(""))
     train = docs.where(~held).select(text.alias("text"))
     words = stage(count_words(train), "lm-words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total.n), int(total.v)
     top = words.orderBy(F.desc("c"), "h").limit(head).toArrow()
     top_h, top_c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
-    end_key = _U(xxhash.xxh3_64_intdigest(END))
+    end_key = _U(END_KEY)
     order = np.argsort(top_h[:gram_words])
     keys, ranks = top_h[:gram_words][order], order.astype(np.int64)
     end = int(ranks[find(keys, np.array([end_key]))[0]]) if end_key in keys else -1

@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +20,40 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: versions of Unicode agree, composition changes nothing and lower case is one
 #: to one. Excluded: C0 separators (blank to Python alone) and U+0130.
 _UNUSUAL = re.compile("[^\t-\r -įı-ɏ]")
-_CACHED = 400_000
+_CACHED = 250_000
+#: The vocabulary's own split of a text into pieces (a fixed value).
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte -> the printable letter that byte-level vocabularies write for it: itself where
+    it is printable in Latin-1, else the next code point from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+
+class PieceIds(dict):
+    """Piece -> its ids as little-endian uint32 bytes, merged by the library's model."""
+
+    def __init__(self, model) -> None:
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= _CACHED:
+            self.clear()
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 64:
+            self[piece] = out
+        return out
 
 
 class WordIds(dict):
     """Word -> its ids as little-endian uint32 bytes.
 
-    The vocabulary's pre-tokenizer never joins across white space, so a text's ids
-    are those of its blank-separated words in order; each word is encoded by the
-    library once and kept. Cleared when it reaches a fixed number of words.
+    The vocabulary's split never joins across white space and merges stay inside a
+    piece, so a text's ids are those of the pieces of its blank-separated words in
+    order. Words and pieces are kept, and cleared at a fixed number.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,6 +65,7 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.pieces = PieceIds(self.tokenizer.model)
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -47,7 +74,7 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= _CACHED:
             self.clear()
-        out = self.whole(word)
+        out = b"".join(map(self.pieces.__getitem__, _SPLIT.findall(word)))
         if len(word) <= 64:
             self[word] = out
         return out

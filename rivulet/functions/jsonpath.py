@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse(value: Column) -> Column:
     """Variant of a JSON text (string or binary); null where it is not JSON."""
     return F.try_parse_json(value.cast("string"))
@@ -29,12 +34,16 @@ def get(v: Column, dotted: str, kind: str = "variant") -> Column:
 def get_fold(v: Column, dotted: str) -> Column:
     """As :func:`get`, each segment falling back to a key equal but for case (the smallest such)."""
     for name in dotted.split("."):
-        members = F.try_variant_get(v, "$", "map<string,variant>")
-        fold = F.array_min(F.filter(F.map_keys(members), lambda k, n=name: F.lower(k) == n.lower()))
-        v = F.when(F.map_contains_key(members, F.lit(name)), F.try_element_at(members, F.lit(name))).otherwise(F.try_element_at(members, fold))
+        v = _step_fold(v, name)
     return v
 
 
+def _step_fold(v: Column, name: str) -> Column:
+    members = F.try_variant_get(v, "$", "map<string,variant>")
+    fold = F.array_min(F.filter(F.map_keys(members), lambda k: F.lower(k) == name.lower()))
+    return F.when(F.map_contains_key(members, F.lit(name)), F.try_element_at(members, F.lit(name))).otherwise(F.try_element_at(members, fold))
+
+
 def kind_of(v: Column) -> Column:
     """string, bool, number, null, object, array; SQL null where there is no value."""
     s = F.schema_of_variant(v)
@@ -55,9 +64,16 @@ def to_double(v: Column) -> Column:
     return F.when(k.isin("number", "string"), text.try_cast("double")).when(k == "bool", F.when(text == "true", 1.0).otherwise(0.0))
 
 
+def text_of(v: Column) -> Column:
+    """Text of a value: numbers plain, without exponent or trailing zeros; null for JSON null."""
+    text = F.try_variant_get(v, "$", "string")
+    plain = F.regexp_replace(text.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+    return F.when((kind_of(v) == "number") & text.rlike(r"\.0$|E"), F.coalesce(plain, text)).otherwise(text)
+
+
 def to_key(v: Column) -> Column:
     """String as is, number without trailing zeros, null or missing empty, else compact JSON."""
-    return F.coalesce(F.try_variant_get(v, "$", "string"), F.lit(""))
+    return F.coalesce(text_of(v), F.lit(""))
 
 
 def to_millis(v: Column) -> Column:
@@ -89,7 +105,7 @@ def typed(v: Column, name: str, kind: str) -> Column:
     text = F.try_variant_get(x, "$", "string")
     number = F.when(k == "number", F.coalesce(text.try_cast("long"), text.try_cast("double").try_cast("long")))
     if kind == "string":
-        return F.when(k != "null", text)
+        return F.when(k != "null", text_of(x))
     if kind == "long":
         return number
     if kind == "int":

@@ -60,32 +60,34 @@ def condition(text: str, value: Column, mode: str = "fail") -> Column:
     c = parse(text)
     if c.op in (">", ">=", "<", "<=") and c.number is None:
         raise ValueError(f"right side of {c.op} must be numeric, got {c.literal!r}")
-    v = J.parse(value)
-    x = J.get_fold(v, c.path)
-    kind, text_ = J.kind_of(x), F.try_variant_get(x, "$", "string")
-
     def bad(message: str) -> Column:
         return {"fail": F.raise_error(F.lit(message)), "drop": F.lit(False), "null": F.lit(None)}[mode].cast("boolean")
 
+    def test(x: Column) -> Column:
+        return J.let(F.struct(J.kind_of(x).alias("kind"), J.text_of(x).alias("text")), lambda s: _compare(c, s["kind"], s["text"], bad))
+
+    return J.let(J.parse(value), lambda v: F.when(v.isNull(), bad("payload is not JSON")).otherwise(test(J.get_fold(v, c.path))))
+
+
+def _compare(c: Comparison, kind: Column, text: Column, bad) -> Column:
+    shown = F.coalesce(text, F.lit("<nil>"))
     if c.op in ("==", "!="):
-        plain = F.coalesce(text_, F.lit("<nil>")) == c.literal
-        same = F.when(kind == "string", F.lower(text_) == c.literal.lower())
+        same = F.when(kind == "string", F.lower(text) == c.literal.lower())
         if c.literal in _TRUE + _FALSE:
-            same = same.when(kind == "bool", (text_ == "true") == F.lit(c.literal in _TRUE))
+            same = same.when(kind == "bool", (text == "true") == F.lit(c.literal in _TRUE))
         else:
-            same = same.when(kind == "bool", text_ == c.literal.lower())
+            same = same.when(kind == "bool", text == c.literal.lower())
         if c.number is not None:
-            same = same.when(kind == "number", text_.try_cast("double") == c.number)
-        same = same.otherwise(plain)
+            same = same.when(kind == "number", text.try_cast("double") == c.number)
+        same = same.otherwise(shown == c.literal)
         hit = same if c.op == "==" else ~same
     elif c.op == "contains":
-        hit = F.contains(F.lower(F.coalesce(text_, F.lit("<nil>"))), F.lit(c.literal.lower()))
+        hit = F.contains(F.lower(shown), F.lit(c.literal.lower()))
     else:
-        n = F.when(kind.isin("number", "string"), text_.try_cast("double"))
+        n = F.when(kind.isin("number", "string"), text.try_cast("double"))
         compare = {">": n > c.number, ">=": n >= c.number, "<": n < c.number, "<=": n <= c.number}[c.op]
         hit = F.when(n.isNull(), bad("field is not numeric")).otherwise(compare)
-    found = F.when(kind.isNull(), F.lit(c.op == "!=")).otherwise(hit)
-    return F.when(v.isNull(), bad("payload is not JSON")).otherwise(found)
+    return F.when(kind.isNull(), F.lit(c.op == "!=")).otherwise(hit)
 
 
 def filter_log(log: DataFrame, text: str, mode: str = "fail") -> DataFrame:

@@ -93,15 +93,19 @@ class JsonMap:
         for k, v in (stamp | self.add | self.set).items():
             m = put(m, k, text_variant(F.lit(v)))
         for old, new in self.rename:
-            moved = put(F.map_filter(m, lambda k, _, o=old: k != o), new, F.try_element_at(m, F.lit(old)))
+            moved = put(without(m, old), new, F.try_element_at(m, F.lit(old)))
             m = F.when(F.map_contains_key(m, F.lit(old)), moved).otherwise(m)
         if self.remove:
             m = F.map_filter(m, lambda k, _: ~k.isin(*self.remove))
         return render(m)
 
 
+def without(m: Column, key: str) -> Column:
+    return F.map_filter(m, lambda k, _: k != key)
+
+
 def put(m: Column, key: str, value: Column) -> Column:
-    return F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(F.lit(key), value))
+    return F.map_concat(without(m, key), F.create_map(F.lit(key), value))
 
 
 def uppercase_keys(value: Column) -> Column:

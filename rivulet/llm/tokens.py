@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import scratch_root, stage, table
+from rivulet.llm.common import stage, table
+from rivulet.session import scratch_root
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
 _MODELS: dict[str, object] = {}

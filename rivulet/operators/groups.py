@@ -96,17 +96,15 @@ def place_racks(n_partitions: int, brokers: dict[int, str], replicas: int) -> li
     for i in range(max(map(len, racks.values()), default=0)):
         order += [racks[r][i] for r in names if i < len(racks[r])]
     out, n = [], len(order)
-    for p in range(n_partitions):
-        shift = p // n if n else 0
-        got: list[int] = []
-        for step in range(n):
-            b = order[(p + step + (shift if step else 0)) % n]
+    for p in range(n_partitions if n else 0):
+        first, *rest = order[p % n :] + order[: p % n]
+        shift = p // n % max(1, len(rest))
+        got = [first]
+        for b in rest[shift:] + rest[:shift]:
             used = {brokers[x] for x in got}
-            if b not in got and (brokers[b] not in used or used >= set(names)):
+            if len(got) < replicas and (brokers[b] not in used or used >= set(names)):
                 got.append(b)
-            if len(got) == min(replicas, n):
-                break
-        got += [b for b in order if b not in got][: min(replicas, n) - len(got)]
+        got += [b for b in order if b not in got][: max(0, min(replicas, n) - len(got))]
         out.append(got)
     return out
 

@@ -219,7 +219,7 @@ def project_value_types(spark, d):
     return rows.select("i", *[J.typed(v, "x", k).alias(n) for n, k in (("s", "string"), ("l", "long"), ("n", "int"), ("f", "double"), ("b", "boolean"))])
 
 
-@query("mask_pii_flat", f"""WITH {EV} SELECT event_id, '{{"amt":' || regexp_replace(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), '\.?0+$', '') || ',"props":"***","type":"' || event_type || '","user":"***"}}' AS body FROM ev""")
+@query("mask_pii_flat", f"""WITH {EV} SELECT event_id, '{{"amt":' || regexp_replace(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), '[.]?0+$', '') || ',"props":"***","type":"' || event_type || '","user":"***"}}' AS body FROM ev""")
 def mask_pii_flat(spark, d):
     e = logs.events(spark, d)
     return e.select(F.col("arrival_seq").alias("event_id"), transforms.mask_flat(F.col("value"), "User, props").alias("body"))

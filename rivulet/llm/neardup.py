@@ -310,3 +310,16 @@ def drop_near_duplicates(docs: DataFrame, similarity_: float = SIMILARITY, *, id
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Every pair that shares a shingle is compared here, and components are closed by recursion.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+      WHEN len(w) > 0 THEN [len(w) || '|' || array_to_string(w, ' ')] ELSE [] END) AS g FROM d) GROUP BY ALL),
+n AS (SELECT doc_id, sum(c) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE CAST(m AS DOUBLE) / CAST(x.n + y.n - m AS DOUBLE) >= 0.8),
+r(id, low) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.a, r.low FROM l JOIN r ON l.b = r.id)
+SELECT id AS doc_id, min(low) AS component_id, id = min(low) AS kept FROM r GROUP BY id
+"""

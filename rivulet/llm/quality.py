@@ -208,3 +208,29 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep_columns=False)
     stats = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return out.select("doc_id", *[F.col(f"__q.{c}").alias(c) for c in stats], F.col("__kept").alias("kept"))
+
+
+def oracle(risk: Risk = Risk()) -> str:
+    """DuckDB SQL for :func:`op7_quality_rules`: windows as rows, bounds from log-gamma sums."""
+    tests = [(r.name, r.value, c) for r in risk.rules for c in r.cutoffs]
+    rows = " UNION ALL ".join(f"SELECT doc_id, stratum, good, '{n}' AS rule, {c!r}::DOUBLE AS cutoff, {v} > {c!r} AS over FROM h" for n, v, c in tests)
+    bad = " OR ".join(f"coalesce({r.value.replace('n_words', 'greatest(n_words, 1)')} > max(b.cutoff) FILTER (b.rule = '{r.name}'), FALSE)" for r in risk.rules)
+    p = risk.alpha / len(risk.rules)
+    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r}))"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '<null>') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1)) GROUP BY doc_id),
+s AS (SELECT d.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  coalesce(c.n, 0) AS n_repeat_words, CAST(length(t) - length(regexp_replace(t, '[^\p{{L}}\p{{N}}\x09-\x0D\x20]', '', 'g')) AS BIGINT) AS n_marks FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
+h AS (SELECT f.*, good FROM f JOIN (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
+x AS ({rows}),
+k AS (SELECT stratum, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND over) AS fr, count(*) FILTER (NOT good AND over) AS tr FROM x GROUP BY ALL),
+v AS (SELECT *, (SELECT sum({term}) FROM (SELECT unnest(range(fr + 1)) AS i)) AS tail, {risk.delta!r} / ({len(tests)} * (SELECT count(DISTINCT stratum) FROM h)) AS level FROM k WHERE tr > 0 AND n > 0),
+b AS (SELECT stratum, rule, cutoff FROM v WHERE tail <= level QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY tr - fr DESC, fr, cutoff DESC) = 1)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({bad}) AS kept
+FROM f LEFT JOIN b ON b.stratum = f.stratum GROUP BY f.doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_marks, base_failed
+"""

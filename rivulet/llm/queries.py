@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_embedding_dedup": embedding_dedup.ORACLE,
+        "op4_minhash_dedup": neardup.ORACLE,
         "op5_chat_format": chat.ORACLE,
+        "op7_quality_rules": quality.oracle(),
         "op8_mixing": mixing.ORACLE,
     }

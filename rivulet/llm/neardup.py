@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +42,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Word -> 64-bit hash, kept for up to a fixed number of words."""
+    """Word -> 64-bit hash, kept for the first words seen, up to a fixed number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 150_000:
+            self[word] = h
         return h
 
 
@@ -152,13 +153,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     row; nulls where there is no word."""
 
     def chunks(batch: pa.RecordBatch) -> Iterator[list[tuple[int, list[bytes]]]]:
-        """Rows with their words, about half a million words at a time."""
+        """Rows with their words, about 200,000 words at a time."""
         part, n = [], 0
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             words = (text.as_py() or "").encode().split()
             part.append((doc_id, words))
             n += len(words)
-            if n > 500_000:
+            if n > 200_000:
                 yield part
                 part, n = [], 0
         yield part

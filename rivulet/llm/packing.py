@@ -20,7 +20,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: versions of Unicode agree, composition changes nothing and lower case is one
 #: to one. Excluded: C0 separators (blank to Python alone) and U+0130.
 _UNUSUAL = re.compile("[^\t-\r -įı-ɏ]")
-_CACHED = 300_000
+_WORDS, _PIECES = 250_000, 60_000
 #: The vocabulary's own split of a text into pieces (a fixed value).
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -41,7 +41,7 @@ class PieceIds(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
         out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < _CACHED and len(piece) <= 64:
+        if len(self) < _PIECES and len(piece) <= 64:
             self[piece] = out
         return out
 
@@ -72,7 +72,7 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         out = b"".join(map(self.pieces.__getitem__, _SPLIT.findall(word)))
-        if len(self) < _CACHED and len(word) <= 64:
+        if len(self) < _WORDS and len(word) <= 64:
             self[word] = out
         return out
 

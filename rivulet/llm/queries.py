@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import chat, embedding_dedup, lm_score, mixing, neardup, packing, quality, sharding, tokens
+from rivulet.llm import chat, embedding_dedup, licenses, lm_score, mixing, neardup, packing, quality, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
+        "op2_license_scan": licenses.op2_license_scan,
         "op3_token_counts": tokens.op3_token_counts,
         "op4_minhash_dedup": neardup.op4_minhash_dedup,
         "op5_chat_format": chat.op5_chat_format,

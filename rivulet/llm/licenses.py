@@ -124,9 +124,9 @@ class Matcher:
         return (score, self.templates[name][0]) if score >= self.threshold else None
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(licence, dice, first line, last line) of the passages that match, largest first:
-        the whole text, runs of paragraphs (as many as a template has), single lines. A
-        passage inside one that has matched is not looked at again."""
+        """(licence, dice, first line, last line) of the passages that match: of the whole text,
+        runs of paragraphs (as many as a template has) and single lines, those of highest
+        Dice, longer first, that do not overlap."""
         lines = [normalise(x) for x in text.split("\n")]
         blocks, start = [], None
         for i, w in enumerate([*lines, []]):
@@ -142,15 +142,19 @@ class Matcher:
         sizes = [0]
         for w in lines:
             sizes.append(sizes[-1] + len(w))
-        found, tried, done = [], set(), bytearray(len(lines))
+        hits, tried = [], set()
         for a, b in spans:
-            if (a, b) in tried or sizes[b + 1] - sizes[a] - 1 not in self.by_size or done[a]:
+            if (a, b) in tried or sizes[b + 1] - sizes[a] - 1 not in self.by_size:
                 continue
             tried.add((a, b))
             hit = self.best(lines[a] if a == b else [w for x in lines[a : b + 1] for w in x])
             if hit:
-                found.append((hit[1], hit[0], a, b))
-                done[a : b + 1] = b"\1" * (b + 1 - a)
+                hits.append((hit[1], hit[0], a, b))
+        found, done = [], bytearray(len(lines))
+        for x in sorted(hits, key=lambda x: (-x[1], x[2] - x[3], x[2])):
+            if not any(done[x[2] : x[3] + 1]):
+                found.append(x)
+                done[x[2] : x[3] + 1] = b"\1" * (x[3] + 1 - x[2])
         return sorted(found, key=lambda x: (x[2], x[3]))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.llm import chat, common, embedding_dedup, lm_score, mixing, neardup, packing, quality, sharding, tokens
+from rivulet.llm import chat, common, embedding_dedup, licenses, lm_score, mixing, neardup, packing, quality, sharding, tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,6 +95,42 @@ def test_embedding_recall_at_the_threshold(spark):
     assert embedding_dedup.near_vectors(df).where("n_links = 0").count() <= 0.02 * 1200
 
 
+def test_licenses(spark, docs, texts):
+    mit = licenses.TEMPLATES["MIT"][0]
+    odd = {
+        1: "Prose first.\nReleased under the MIT License.\nmore",
+        2: "© Someone\n\n" + mit.upper().replace("PUBLISH, ", "") + "\n\nand then other words\n  licensed under CC BY-NC  4.0 \n\n",
+        3: mit,
+        4: "Licensed under the Apache License, Version 2.0.\nlicence free prose about a license of the poet",
+        5: "This work is licensed under the GNU General Public License, version 3.\nSPDX-License-Identifier: BSD-3-Clause",
+        6: None, 7: "", 8: "\n\n", 9: "license " * 500,
+    }
+    df = spark.createDataFrame(list(odd.items()), "doc_id long, text string").withColumn("matches", F.lit("x"))
+    got = {r.doc_id: [(m.license, m.first_line, m.last_line) for m in r.matches] for r in licenses.scan_licenses(df).collect()}
+    assert got == {
+        1: [("MIT", 1, 1)], 2: [("MIT", 2, 6), ("CC-BY-NC-4.0", 9, 9)], 3: [("MIT", 0, 4)], 4: [("Apache-2.0", 0, 0)],
+        5: [("GPL-3.0", 0, 0), ("BSD-3-Clause", 1, 1)], 6: [], 7: [], 8: [], 9: [],
+    }
+    assert all(not r.matches for r in licenses.scan_licenses(docs).collect()) and licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_license_pruning_loses_nothing():
+    """Against the best of all templates, without size bounds, over damaged templates."""
+    m = licenses.Matcher(licenses.TEMPLATES, licenses.THRESHOLD)
+    rng = np.random.default_rng(4)
+    texts = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    for _ in range(400):
+        words = licenses.normalise(texts[int(rng.integers(0, len(texts)))])
+        for _ in range(int(rng.integers(0, 4))):
+            words[int(rng.integers(0, len(words)))] = "other"
+        words += ["more"] * int(rng.integers(0, 4))
+        own = licenses.bigrams(words)
+        scores = [(licenses.dice(own, g), name) for name, g in m.templates]
+        top = max(s for s, _ in scores)
+        want = (top, next(n for s, n in scores if s == top)) if top >= licenses.THRESHOLD else None
+        assert m.best(words) == want
+
+
 def test_token_counts(spark, docs, texts, tmp_path):
     import sentencepiece
 

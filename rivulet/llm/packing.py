@@ -150,11 +150,11 @@ class Tournament:
 def pack(pieces: DataFrame, capacity: int = 2048, *, group_pieces: int = 8192, seed: int = 11) -> DataFrame:
     """Adds sequence_id (group * 2^32 + bin, unique) and offset (gapless from 0).
 
-    Pieces go to groups by a seeded hash of (doc_id, start), about ``group_pieces`` in
-    each, and every group is packed by itself: largest first, ties by doc_id and
-    start, each into the first bin with room. The groups are independent, bounded
-    and re-run alike, so a lost executor costs only its groups. Rows alike in doc_id
-    and start are told apart by the random part that spreads repeated documents.
+    Pieces go to groups by a seeded hash of their place in ``pieces``, a written table, so
+    that null and repeated ids spread as others do: about ``group_pieces`` in each. Every
+    group is packed by itself: largest first, ties by doc_id and start, each into the
+    first bin with room. The groups are independent, bounded and re-run alike, so a
+    lost executor costs only its groups.
     """
     n = pieces.count()
     groups = max(1, -(-n // group_pieces))
@@ -173,7 +173,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, *, group_pieces: int = 8192, s
         t = t.drop_columns(["grp"])
         return t.append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)).cast("long"))
+    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).cast("long"))
     return grouped.groupBy("grp").applyInArrow(run, schema)
 
 

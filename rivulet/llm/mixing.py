@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import maybe_broadcast, stage, table
+from rivulet.llm.common import maybe_broadcast, stage, table, whole_row
 
 WEIGHTS = (3, 1, 2)
 
@@ -168,22 +168,23 @@ def plan_mix(
     )
 
 
-def mix(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars", **kw) -> DataFrame:
-    """The mix itself: a row for every span taken, with the columns of ``docs``.
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **kw) -> DataFrame:
+    """The mix itself: a row for every span taken, with the columns of ``docs``, whatever their names.
 
     A span of all words has the text as it was; a shorter one the words with the white
     space after each. ``chars_col``, if present, becomes the new text's length.
     """
-    names = docs.columns
-    m = plan_mix(docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(names)], "*"), text_col=text_col, payload=tuple(f"__c{i}" for i in range(len(names))), **kw)
-    m = m.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)], F.col("size").alias("__size"), F.explode("spans").alias("__span"))
-    a, b = F.col("__span.from"), F.col("__span.to")
-    parts = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(source_col).alias("__source"), whole_row(docs).alias("__row"))
+    m = plan_mix(src, id_col="__id", text_col="__text", source_col="__source", payload=("__row",), **kw)
+    m = m.select("size", F.explode("spans").alias("span"), F.col("__row").alias("row"))
+    a, b, before = F.col("span.from"), F.col("span.to"), F.col("row").getField(text_col)
+    parts = F.regexp_extract_all(before, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.array_join(F.slice(parts, (a + 1).cast("int"), (b - a).cast("int")), "")
-    m = m.withColumn(text_col, F.when(b - a == F.col("__size"), F.col(text_col)).otherwise(cut))
-    if chars_col in names:
-        m = m.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return m.select(*names)
+    m = m.withColumn("cut", F.when(b - a == F.col("size"), before).otherwise(cut))
+    new = {text_col: F.col("cut")}
+    if chars_col in docs.columns:
+        new[chars_col] = F.length("cut").cast(docs.schema[chars_col].dataType)
+    return m.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

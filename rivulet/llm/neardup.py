@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import connected_components, maybe_broadcast, stage, table
+from rivulet.llm.common import connected_components, maybe_broadcast, stage, table, whole_row
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -301,12 +301,23 @@ def near_duplicates(docs: DataFrame, similarity_: float = SIMILARITY, *, id_col:
 
 
 def drop_near_duplicates(docs: DataFrame, similarity_: float = SIMILARITY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest id; rows that repeat
-    it become one, rows without an id stay."""
-    gone = near_duplicates(docs, similarity_, id_col=id_col, text_col=text_col).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = stage(gone, "nd-gone")
-    left = docs.join(maybe_broadcast(gone, BROADCAST_IDS), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    return left
+    """``docs`` with one document of each group, that of the smallest id; rows without an id stay.
+
+    Rows that repeat an id become one, that of the smallest text (nulls last, ties by the row
+    as JSON). They are looked for among the ids alone; only such rows move.
+    """
+    found = stage(near_duplicates(docs, similarity_, id_col=id_col, text_col=text_col), "nd-found")
+    gone = maybe_broadcast(stage(found.where("NOT kept").select("doc_id").distinct(), "nd-gone"), BROADCAST_IDS)
+    left = docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")
+    again = stage(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "nd-again")
+    if again.isEmpty():
+        return left
+    again = maybe_broadcast(again, BROADCAST_IDS)
+    same = left[id_col].cast("long") == again["doc_id"]
+    row = whole_row(docs)
+    first = F.min_by(row, F.struct(F.col(text_col).isNull(), F.col(text_col), F.to_json(row)))
+    once = left.join(again, same, "left_semi").groupBy(F.col(id_col).cast("long").alias("__id")).agg(first.alias("__row"))
+    return left.join(again, same, "left_anti").unionByName(once.select("__row.*"))
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import let, maybe_broadcast, stage, table, words_of
+from rivulet.llm.common import let, maybe_broadcast, stage, table, whole_row, words_of
 
 
 @dataclass(frozen=True)
@@ -178,12 +178,17 @@ def judge(
     be set aside. A null stratum is a stratum of its own; strata without enough labels
     reject by the base rules only. The rows with their statistics are written once to
     the scratch folder; the cutoffs (one row a stratum) are broadcast if counted small.
-    Null, empty and very long texts, repeated rows and an empty table are allowed; a
-    column of ``docs`` that begins with ``__`` may clash and is not.
+    Null, empty and very long texts, repeated rows and an empty table are allowed; columns
+    of ``docs`` may have any names but ``__q`` and ``__kept``.
     """
+    return _judged(docs, labels, risk, id_col, text_col, stratum_col, keep_columns).select("__row.*", "__q", "__kept")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, risk: Risk, id_col: str, text_col: str, stratum_col: str, keep_columns: bool) -> DataFrame:
+    """__row (struct of the columns of ``docs``, or of doc_id alone), __q and __kept."""
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("<null>"))
-    keep = [F.col(c) for c in docs.columns] if keep_columns else [F.col(id_col).cast("long").alias("doc_id")]
-    src = docs.select(*keep, F.col(id_col).cast("long").alias("__id"), stratum.alias("__stratum"), F.col(text_col).alias("__text"))
+    row = whole_row(docs) if keep_columns else F.struct(F.col(id_col).cast("long").alias("doc_id"))
+    src = docs.select(row.alias("__row"), F.col(id_col).cast("long").alias("__id"), stratum.alias("__stratum"), F.col(text_col).alias("__text"))
     seen = stage(with_stats(src, "__text").drop("__text"), "quality")
     good = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg((F.max("quality") == 1).alias("good"))
     held = seen.where(~F.col("__q.base_failed")).select("__id", F.col("__stratum").alias("stratum"), "__q.*").join(good, "__id")
@@ -196,12 +201,14 @@ def judge(
             value = re.sub(rf"\b{c}\b", f"__q.{c}", value)
         cut = F.try_element_at(F.col("cutoffs"), F.lit(r.name))
         bad = bad | F.coalesce(F.expr(value.replace("__q.n_words", "greatest(__q.n_words, 1)")) > cut, F.lit(False))
-    return q.withColumn("__kept", ~F.col("__q.base_failed") & ~bad).drop("cutoffs", "__stratum", "__id")
+    return q.select("__row", "__q", (~F.col("__q.base_failed") & ~bad).alias("__kept"))
 
 
-def filter_quality(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), **kw) -> DataFrame:
-    """``docs`` without the rejected rows, columns as they were."""
-    return judge(docs, labels, risk, **kw).where("__kept").select(*docs.columns)
+def filter_quality(
+    docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang"
+) -> DataFrame:
+    """``docs`` without the rejected rows (see :func:`judge`), columns of any names as they were."""
+    return _judged(docs, labels, risk, id_col, text_col, stratum_col, True).where("__kept").select("__row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

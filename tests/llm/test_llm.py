@@ -444,6 +444,52 @@ def test_first_fit_decreasing():
         bins[want] -= s
 
 
+def test_stages_with_clashing_names_and_repeated_rows(spark, texts):
+    names = "cutoffs good stratum row span cut size key bucket src shard id rep band component_id kept words __row __id __text __stratum __source __gone grp".split()
+    rows = [(i if i % 9 else None, t, None, "s", len(t or ""), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame(rows + rows[:20], schema)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    passed = quality.filter_quality(docs, labels)
+    want = [r for r in rows + rows[:20] if not text_stats(r[1])[-1]]
+    assert passed.schema == docs.schema and sorted(map(repr, map(tuple, passed.collect()))) == sorted(map(repr, want))
+    one = neardup.drop_near_duplicates(docs)
+    assert one.columns == docs.columns
+    found = {i: root for i, root in shingle_components({r[0]: r[1] for r in rows if r[0] is not None}).items()}
+    got = one.collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(i for i, root in found.items() if i == root)
+    assert sum(r.doc_id is None for r in got) == sum(r[0] is None for r in rows + rows[:20])
+    assert {tuple(r) for r in got} <= set(rows)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    sizes = {(r[0], r[5]): len(WORD.findall(r[1] or "")) for r in rows}
+    taken = Counter()
+    for r in mixed.collect():
+        assert r.n_chars == len(r.text)
+        taken[r.doc_id, r[5]] += len(WORD.findall(r.text))
+    per = Counter((r[0], r[5]) for r in rows + rows[:20])
+    assert all(n <= 2 * sizes[k] * per[k] for k, n in taken.items())
+    target = 1.5 * sum(sizes[k] * n for k, n in per.items())
+    assert abs(sum(taken.values()) - target) <= 128
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_one_row_of_a_repeated_id_stays(spark):
+    a, b, c = (prose(np.random.default_rng(i), 80, 10**6) for i in range(3))
+    rows = [(1, None, "x"), (1, b, "x"), (1, a, "z"), (1, a, "y"), (2, c, "u"), (2, c, "u"), (3, None, "n"), (3, None, "m")]
+    got = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, v string")).collect()
+    assert sorted(tuple(r) for r in got if r.doc_id != 3) == sorted([(1, min(a, b), "x" if b < a else "y"), (2, c, "u")])
+    assert [tuple(r) for r in got if r.doc_id == 3] == [(3, None, "m")]
+
+
+def test_packing_spreads_rows_without_ids(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = common.stage(packing.token_pieces(spark.range(300).selectExpr("CAST(NULL AS LONG) AS doc_id", "'the same words' AS text"), path), "same")
+    packed = packing.pack(pieces, group_pieces=30)
+    assert packed.count() == 300 and packed.selectExpr("sequence_id >> 32 AS g").groupBy("g").count().agg(F.max("count")).first()[0] < 100
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     out = pipeline.run(spark, DIR).toPandas()

@@ -68,5 +68,5 @@ def lag(offsets: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def leaders(partitions: DataFrame, brokers: DataFrame) -> DataFrame:
-    """Address of each partition's leader; brokers are metadata, a few hundred rows at most."""
-    return partitions.join(F.broadcast(brokers.select(F.col("broker_id").alias("leader"), "address")), "leader", "left")
+    """Address of each partition's leader; null for a broker that is not known."""
+    return partitions.join(brokers.select(F.col("broker_id").alias("leader"), "address"), "leader", "left")

@@ -455,6 +455,15 @@ def dirty_ratio(spark, d):
     return logops.dirty_ratio(segmented(spark, d), NOW).drop("topic").withColumn("ratio", F.round("ratio", 6))
 
 
+@query(
+    "compaction_trigger",
+    f"""WITH {COMPACT}, dr AS (SELECT part, sum(CASE WHEN off < latest OR (body = '' AND {NOW} - ts_ms > {DAY}) THEN bytes ELSE 0 END) / sum(bytes) AS ratio FROM cc WHERE closed GROUP BY part)
+    SELECT part AS partition FROM dr WHERE ratio >= 0.5""",
+)
+def compaction_trigger(spark, d):
+    return logops.needs_compaction(logops.dirty_ratio(segmented(spark, d), NOW)).select("partition")
+
+
 #: Producers' sequences with every ninth record sent twice and, for producer 3, one lost.
 PROD = EV + """, sq AS (SELECT event_id, part, user_id % 8 AS pid, row_number() OVER (PARTITION BY part, user_id % 8 ORDER BY event_id) - 1 AS seq FROM ev),
 tw AS (SELECT *, event_id * 2 AS arr FROM sq WHERE NOT (pid = 3 AND seq = 20) UNION ALL SELECT *, event_id * 2 + 1 FROM sq WHERE event_id % 9 = 0 AND NOT (pid = 3 AND seq = 20))"""
@@ -535,6 +544,17 @@ def offset_fetch(spark, d):
     return groups.fetch_offsets(wanted, groups.latest_offsets(commits(spark, d))).drop("topic")
 
 
+@query(
+    "commit_validation",
+    f"""WITH {COMMITS}, c AS (SELECT *, ['', 'a', 'b'][CAST(event_id % 3 AS INTEGER) + 1] AS member_id, event_id % 2 AS generation FROM cm)
+    SELECT group_id, part AS partition, committed_offset, member_id FROM c WHERE CASE WHEN member_id = '' THEN group_id <> 'g0' ELSE group_id = 'g0' AND (member_id, generation) IN (('a', 1), ('b', 0)) END""",
+)
+def commit_validation(spark, d):
+    members = spark.createDataFrame([("g0", "a", 1), ("g0", "b", 0)], "group_id string, member_id string, generation long")
+    sent = commits(spark, d).selectExpr("*", "array('', 'a', 'b')[arrival_seq % 3] AS member_id", "arrival_seq % 2 AS generation")
+    return groups.valid_commits(sent, members).select("group_id", "partition", "committed_offset", "member_id")
+
+
 @query("group_listing", f"WITH {COMMITS} SELECT coalesce(m.group_id, o.group_id) AS group_id, coalesce(members, 1) AS members, coalesce(offsets, 0) AS offsets, members IS NULL AS offsets_only FROM (SELECT * FROM (VALUES ('g0', 2), ('idle', 1)) t(group_id, members)) m FULL JOIN (SELECT group_id, count(*) AS offsets FROM lo GROUP BY 1) o USING (group_id)")
 def group_listing(spark, d):
     members = spark.createDataFrame([("g0", "a"), ("g0", "b"), ("idle", "c")], "group_id string, member_id string")
@@ -567,6 +587,12 @@ def leader_election(spark, d):
     return groups.elect(r).drop("topic")
 
 
+@query("metadata_leaders", f"WITH {REPL} SELECT part AS partition, broker_id AS leader, CASE WHEN broker_id <> 2 THEN 'b' || broker_id || ':9092' END AS address FROM rp WHERE is_leader")
+def metadata_leaders(spark, d):
+    brokers = spark.createDataFrame([(b, f"b{b}:9092") for b in (0, 1, 3)], "broker_id int, address string")
+    return joins.leaders(replicas(spark, d).where("is_leader").selectExpr("partition", "broker_id AS leader"), brokers)
+
+
 @query(
     "replica_choice",
     f"""WITH {REPL}, rk AS (SELECT *, ['a', 'b'][CAST(broker_id % 2 AS INTEGER) + 1] AS rack FROM rp), rd AS (SELECT p * 2 + k AS read_id, CAST(p AS INTEGER) AS part, ['a', 'b'][CAST(k AS INTEGER) + 1] AS rack, 40 AS fo FROM range(4) a(p), range(2) b(k)),
@@ -643,6 +669,12 @@ def quota_window_rate(spark, d):
     return quotas.rates(usage(spark, d)).select("user", "client_id", "sec", F.round("rate", 6).alias("rate"))
 
 
+@query("quota_request_time", f"WITH {SECS} SELECT user, client_id, sec, round(total * 1000000 / 1e9 * 100 / window_s, 6) AS percent FROM rt")
+def quota_request_time(spark, d):
+    busy = usage(spark, d).withColumn("amount", quotas.request_percent(F.col("amount") * 1_000_000))
+    return quotas.rates(busy).select("user", "client_id", "sec", F.round("rate", 6).alias("percent"))
+
+
 @query("quota_throttle", f"WITH {SECS} SELECT user, client_id, sec, CAST(CASE WHEN q <= 0 THEN 30000 WHEN r <= q THEN 0 ELSE least(ceil(round((r - q) / q * window_s * 1000, 3)), 30000) END AS INTEGER) AS throttle_ms FROM (SELECT *, round(total / window_s, 6) AS r, (CAST(user AS INTEGER) % 6)::DOUBLE AS q FROM rt)")
 def quota_throttle(spark, d):
     r = quotas.rates(usage(spark, d)).withColumn("rate", F.round("rate", 6)).withColumn("q", (F.col("user").cast("int") % 6).cast("double"))

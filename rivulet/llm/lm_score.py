@@ -1,5 +1,5 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts,
-broadcast to the workers and probed level by level."""
+cut into parts by key, to which tokens are dealt to probe it level by level."""
 
 from __future__ import annotations
 
@@ -10,27 +10,32 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import stage, table
 
 #: Most frequent words whose exact counts are broadcast (16 bytes each); the rest join.
 HEAD = 1 << 18
-#: Most frequent words of which bigrams are counted.
-GRAM_WORDS = 1 << 15
+#: Tokens of one part of the filter, about.
+PART_TOKENS = 2_000_000
 #: Quantisation: level l stands for counts from BASE**(l-1) to under BASE**l.
 BASE = 1.5
 LEVELS = 110
 PROBES = 4
 BITS_PER_ENTRY = 10
 SEGMENTS = 256
-#: Bound of the broadcast filter; beyond it the lowest levels of bigrams, then of words, stay out.
+#: Bound of one part of the filter; a larger corpus has more parts.
 MAX_BITS = 1 << 29
 #: Weight of the unigram distribution in a context, in counts.
 MU = 50.0
 END_KEY = xxhash.xxh3_64_intdigest("\n")  # white space, so never a word
 _U = np.uint64
+#: Columns of a text's or a part's sums, and of the tokens dealt to a part.
+SUMS = [pa.field(k, t) for k, t in (("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_log", pa.float64()), ("score", pa.float64()))]
+PARTIAL = [pa.field(k, pa.binary()) for k in ("rows", "known", "bases", "scores")]
+ANSWER = [pa.field("home", pa.int32()), *SUMS, *PARTIAL]
+DEALT = [pa.field("part", pa.int32()), *SUMS, *[pa.field(k, pa.binary()) for k in ("g", "w", "at", "level", "cap")]]
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -53,8 +58,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def gram(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """64-bit key of a pair of word ranks; different pairs have different keys."""
-    return mix((prev.astype(np.uint64) << _U(32)) + word.astype(np.uint64) + _U(0x9E3779B97F4A7C15))
+    """64-bit key of a pair of 64-bit word hashes."""
+    return mix(mix(prev + _U(0x9E3779B97F4A7C15)) + word)
 
 
 def probes(keys: np.ndarray, levels: np.ndarray, seg_bits: int) -> np.ndarray:
@@ -161,97 +166,45 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def count_grams(train: DataFrame, vocabulary) -> DataFrame:
-    """(h, prev, c): counts of pairs of vocabulary words, the end before the first word."""
+def fill(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """Bytes of the filter that holds ``keys`` at levels 1..l of their counts, and its bits a segment."""
+    top = level_of(counts)
+    seg_bits = max(64, -(-int(top.sum()) * BITS_PER_ENTRY // (SEGMENTS * 8)) * 8)
+    on = np.zeros(seg_bits * SEGMENTS, np.uint8)
+    for level in range(1, int(top.max(initial=0)) + 1):
+        k = keys[top >= level]
+        for i in range(0, len(k), 500_000):
+            e = k[i : i + 500_000]
+            on[(probes(e, np.full(len(e), level), seg_bits) + ((e & _U(SEGMENTS - 1)) * _U(seg_bits))[:, None]).astype(np.int64)] = 1
+    return np.packbits(on, bitorder="little"), seg_bits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ranks, end = vocabulary.value
-        held = Held()
-
-        def out() -> pa.RecordBatch:
-            code, n = held.take()
-            prev, word = code >> 32, code & 0xFFFFFFFF
-            return pa.RecordBatch.from_arrays([pa.array(gram(prev, word).view(np.int64)), pa.array(prev.astype(np.int32)), pa.array(n)], names=["h", "prev", "c"])
-
-        for batch in batches:
-            for _, texts in chunks(batch, 0):
-                h, token, starts = numbered(texts)
-                at = find(keys, h)
-                word = np.where(at >= 0, ranks[at] if len(ranks) else -1, -1)[token]
-                prev = np.concatenate([[end], word[:-1]])
-                prev[starts] = end
-                both = (prev >= 0) & (word >= 0)
-                held.add(*np.unique((prev[both].astype(np.int64) << 32) + word[both], return_counts=True))
-                if held.size > 1_500_000:
-                    yield out()
-        if held.size:
-            yield out()
-
-    return train.mapInArrow(run, "h long, prev int, c long").groupBy("h", "prev").agg(F.sum("c").alias("c"))
 
+def packed(x: np.ndarray, order: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """One binary value a part: the numbers of ``x`` that go there."""
+    data = x[order]
+    return pa.array([data[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
 
-def level_sql(c: str) -> Column:
-    return (F.floor(F.log(F.col(c).cast("double")) / math.log(BASE) + 1e-9) + 1).cast("int")
 
-
-def choose_levels(words: DataFrame, grams: DataFrame, max_bits: int) -> tuple[int, int, int]:
-    """(lowest level of words, of bigrams, bits): the lowest that fit the filter's bound.
-
-    From two histograms by level, a few dozen rows each. Bigrams give way first.
-    """
-    tally = lambda df: {r[0]: r[0] * r[1] for r in df.groupBy(level_sql("c").alias("l")).count().collect()}
-    w, g = tally(words), tally(grams)
-    room = max_bits // BITS_PER_ENTRY
-    entries = lambda t, low: sum(n for k, n in t.items() if k >= low)
-    low_w = next(k for k in range(1, LEVELS + 2) if entries(w, k) <= 0.75 * room)
-    low_g = next(k for k in range(1, LEVELS + 2) if entries(g, k) <= room - entries(w, low_w))
-    need = (entries(w, low_w) + entries(g, low_g)) * BITS_PER_ENTRY
-    seg = max(1024, -(-need // SEGMENTS))
-    return low_w, low_g, min(-(-seg // 8) * 8, max_bits // SEGMENTS) * SEGMENTS
-
-
-def build_filter(entries: DataFrame, n_bits: int) -> np.ndarray:
-    """Bytes of the filter from (h, c): each segment is set in one group, so rows move once
-    and only the finished segments, ``n_bits`` in all, come to the driver."""
-    seg_bits = n_bits // SEGMENTS
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        keys = t["h"].to_numpy().view(np.uint64)
-        top = level_of(t["c"].to_numpy())
-        each = np.repeat(np.arange(len(keys)), top)
-        level = np.arange(len(each)) - np.repeat(np.cumsum(top) - top, top) + 1
-        on = np.zeros(seg_bits, np.uint8)
-        for a in range(0, len(each), 1_000_000):
-            e = each[a : a + 1_000_000]
-            on[probes(keys[e], level[a : a + 1_000_000], seg_bits).astype(np.int64)] = 1
-        return pa.table({"seg": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
-
-    seg = F.col("h").bitwiseAND(F.lit(SEGMENTS - 1)).cast("int")
-    out = np.zeros(n_bits // 8, np.uint8)
-    size = seg_bits // 8
-    for row in entries.select(seg.alias("seg"), "h", "c").groupBy("seg").applyInArrow(run, "seg int, bits binary").toLocalIterator():
-        out[row.seg * size : (row.seg + 1) * size] = np.frombuffer(row.bits, np.uint8)
-    return out
-
-
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, head: int = HEAD, gram_words: int = GRAM_WORDS, mu: float = MU) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, head: int = HEAD, mu: float = MU) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
 
     Training texts are those whose crc32(doc_id as text) mod 7 is not 2. ``base_score``
-    is the add-one unigram score from exact counts: those of the ``head`` most frequent
-    words are broadcast, tokens of other words join theirs by hash.
-
-    ``score`` reads all counts of words and bigrams from the Bloom filter, which holds a
-    count as its levels 1..l (logarithmic, base 1.5); a count is what the highest level
-    probed stands for. With c, R, p1 the counts of the context, its retained bigrams
-    and the add-one unigram probability from the probed count of the word,
-    p = (c(prev, word) + (c(prev) - R(prev) + mu) p1(word)) / (c(prev) + mu)
-    where prev is one of the ``gram_words`` most frequent words, else p1. The filter
-    takes 10 bits an entry up to ``max_bits``; past that the rarest bigrams, then the
-    rarest words, are left out of the model (never out of ``base_score``).
-
-    Three passes over whole texts, nothing sampled. Null and empty texts are one token,
+    is the add-one unigram score from exact counts.
+
+    ``score`` reads the counts of all words and of all bigrams as their levels 1..l
+    (logarithmic, base 1.5); a count is what the highest level stands for. With c the
+    count of the context and p1 the add-one unigram probability of the word,
+    p = (c(prev, word) + mu p1(word)) / (c(prev) + mu).
+    The levels of bigrams and of words past the ``head`` most frequent lie in a Bloom
+    filter of 10 bits an entry, which is cut into parts by key: a bigram goes to the part
+    of its word, or to that of the pair where the word is one of the ``head``, whose
+    counts are broadcast. Tokens move once, packed, to their part, which counts, fills its
+    piece of the filter, probes it and sends its sums by text, packed, to a home that adds them up. The number of parts grows with the corpus, so that one
+    has about PART_TOKENS tokens and ``max_bits`` bits at most on average; nothing is left out.
+
+    The context's factor is summed by word, as each token of a text (and its end) is a
+    context once. Two passes over whole texts, nothing sampled. Null and empty texts are one token,
     the end. Without training texts every probability is 1. Null ids count as training;
     repeated rows are scored each, extra columns are ignored.
     """
@@ -264,70 +217,122 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     n, v = int(total.n), int(total.v)
     top = words.orderBy(F.desc("c"), "h").limit(head).toArrow()
     top_h, top_c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
-    end_key = _U(END_KEY)
-    order = np.argsort(top_h[:gram_words])
-    keys, ranks = top_h[:gram_words][order], order.astype(np.int64)
-    end = int(ranks[find(keys, np.array([end_key]))[0]]) if end_key in keys else -1
-    vocabulary = spark.sparkContext.broadcast((keys, ranks, end))
-    grams = stage(count_grams(train, vocabulary), "lm-grams")
-    low_w, low_g, n_bits = choose_levels(words, grams, max_bits)
-    kept = grams.where(level_sql("c") >= low_g)
-    bits = build_filter(words.where(level_sql("c") >= low_w).unionByName(kept.select("h", "c")), n_bits)
-    retained = np.zeros(max(1, len(keys)))
-    mass = kept.groupBy("prev").agg(F.sum("c").alias("c")).toArrow()
-    retained[mass["prev"].to_numpy()] = mass["c"].to_numpy()
     by_hash = np.argsort(top_h)
-    model = spark.sparkContext.broadcast((bits, top_h[by_hash], top_c[by_hash], retained, top_c[: len(retained)].astype(float)))
-    seg_bits = n_bits // SEGMENTS
+    known = spark.sparkContext.broadcast((top_h[by_hash], top_c[by_hash]))
+    # a part has an entry for each training token and each tail word at most
+    n_parts = max(1, -(-n * 7 // (6 * max(1, min(PART_TOKENS, max_bits // (2 * BITS_PER_ENTRY))))))
+    most = int(level_of(top_c[-1:])[0]) if len(top_c) else 0  # no word of the tail is above this level
     base = math.log10(n + (v + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, head_h, head_c, retained, context = model.value
-        keys, ranks, end = vocabulary.value
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head_h, head_c = known.value
         values = count_of()
+        head_l = level_of(head_c).astype(np.uint8) if len(head_c) else np.zeros(0, np.uint8)
+        schema = pa.schema(DEALT)
         for batch in batches:
             for rows, texts in chunks(batch, 3):
                 h, token, starts = numbered(texts)
                 sizes = np.diff([*starts, len(token)])
                 at = find(head_h, h)
-                exact = np.where(at >= 0, np.log10(head_c[at] + 1.0) if len(head_c) else 0.0, 0.0)
-                p1 = (values[lookup(bits, seg_bits, h)] + 1) / (n + (v + 1))
-                g = find(keys, h)
-                word = np.where(g >= 0, ranks[g] if len(ranks) else -1, -1)[token]
-                prev = np.concatenate([[end], word[:-1]])
-                prev[starts] = end
-                p = p1[token].copy()
-                known = prev >= 0
-                if known.any():
-                    c, r = context[prev[known]], retained[prev[known]]
-                    count = np.zeros(len(token))
-                    both = known & (word >= 0)
-                    code, inverse = np.unique((prev[both].astype(np.int64) << 32) + word[both], return_inverse=True)
-                    count[both] = values[lookup(bits, seg_bits, gram(code >> 32, code & 0xFFFFFFFF))][inverse]
-                    p[known] = (count[known] + (np.maximum(c - r, 0) + mu) * p[known]) / (c + mu)
-                logs = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
-                in_head = at[token] >= 0
-                signed = h.view(np.int64)[token]
-                cut = np.concatenate([[0], np.cumsum(np.add.reduceat((~in_head).astype(np.int32), starts))]).astype(np.int32)
-                cols = [batch.column(i).slice(rows.start, rows.stop - rows.start) for i in range(3)]
-                cols += [pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat(in_head.astype(np.int64), starts))]
-                cols += [pa.array(np.add.reduceat(exact[token], starts)), pa.array(logs), pa.ListArray.from_arrays(cut, pa.array(signed[~in_head]))]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "n_head", "head_log", "score", "tail"])
+                known_word = at >= 0
+                level = np.where(known_word, head_l[at] if len(head_l) else 0, 0).astype(np.uint8)
+                exact = np.where(known_word, np.log10(head_c[at] + 1.0) if len(head_c) else 0.0, 0.0)
+                c = values[level]
+                alone = np.where(known_word, np.log10(mu * (c + 1) / (n + (v + 1))) - np.log10(c + mu), 0.0)
+                docs_ = {"part": (np.arange(len(texts)) % n_parts).astype(np.int32), "n_tokens": sizes.astype(np.int64), "n_known": np.add.reduceat(known_word[token].astype(np.int64), starts)}
+                docs_ |= {"base_log": np.add.reduceat(exact[token], starts), "score": np.add.reduceat(alone[token], starts)}
+                out = {k: pa.array(x) for k, x in docs_.items()}
+                for i, k in enumerate(("row", "doc_id", "held_out")):
+                    out[k] = batch.column(i).slice(rows.start, rows.stop - rows.start)
+                yield pa.RecordBatch.from_arrays([out[f.name] if f.name in out else pa.nulls(len(texts), f.type) for f in schema], schema=schema)
+                if not n:
+                    continue
+                prev = np.concatenate([[len(h) - 1], token[:-1]])  # the end is the last of h
+                prev[starts] = len(h) - 1
+                g = gram(h[prev], h[token])
+                tail = level[token] == 0
+                part = ((np.where(tail, h[token], g) >> _U(8)) % _U(n_parts)).astype(np.int32)
+                out_of = np.repeat(np.asarray(batch.column(2).slice(rows.start, rows.stop - rows.start).to_numpy(zero_copy_only=False), bool), sizes)
+                cap = np.where(level[prev] > 0, level[prev], most).astype(np.uint8) | (out_of.astype(np.uint8) << 7)
+                order = np.argsort(part.astype(np.uint16) if n_parts < 1 << 16 else part, kind="stable")
+                used, first = np.unique(part[order], return_index=True)
+                ends = np.append(first[1:], len(order))
+                tails = np.cumsum(tail[order])[ends - 1]
+                row = batch.column(0).slice(rows.start, rows.stop - rows.start).to_numpy(zero_copy_only=False)
+                local = np.repeat(np.arange(len(texts), dtype=np.uint32), sizes)
+                got = {"part": pa.array(used), "g": packed(g, order, ends), "at": packed(local, order, ends), "level": packed(level[token], order, ends), "cap": packed(cap, order, ends)}
+                lead = order[tail[order]]
+                got["w"] = packed(h[token], lead, tails)
+                got["row"] = pa.array(np.full(len(used), row[0]))
+                yield pa.RecordBatch.from_arrays([got[f.name] if f.name in got else pa.nulls(len(used), f.type) for f in schema], schema=schema)
+
+    def home(row: np.ndarray) -> np.ndarray:
+        return (mix(row.astype(np.uint64)) % _U(n_parts)).astype(np.int32)
+
+    def answer(key: tuple, t: pa.Table) -> pa.Table:
+        infos = t.filter(pc.is_null(t["g"]))
+        t = t.filter(pc.is_valid(t["g"]))
+        out = infos.select([f.name for f in SUMS])
+        for f in PARTIAL:
+            out = out.append_column(f, pa.nulls(len(out), f.type))
+        out = out.add_column(0, ANSWER[0], pa.array(home(infos["row"].to_numpy())))
+        if not t.num_rows:
+            return out
+        flat = lambda k, kind: np.frombuffer(b"".join(t[k].to_pylist()), kind)
+        g, w, at, level, cap = flat("g", np.uint64), flat("w", np.uint64), flat("at", np.uint32), flat("level", np.uint8), flat("cap", np.uint8)
+        lens = pc.divide(pc.binary_length(t["g"]), 8).to_numpy()
+        row = np.repeat(t["row"].to_numpy(), lens) + at
+        learn, cap = cap < 128, cap & 127
+        values = count_of()
+        pairs, pair = np.unique(g, return_inverse=True)
+        c = np.bincount(pair[learn], minlength=len(pairs))
+        tail = level == 0
+        rare, word = np.unique(w, return_inverse=True)
+        cw = np.bincount(word[learn[tail]], minlength=len(rare))
+        bits, seg_bits = fill(np.concatenate([pairs[c > 0], rare[cw > 0]]), np.concatenate([c[c > 0], cw[cw > 0]]))
+        both = values[np.minimum(lookup(bits, seg_bits, pairs)[pair], cap)]
+        level_w = lookup(bits, seg_bits, rare)[word]
+        count = values[level]
+        count[tail] = values[level_w]
+        p1 = mu * (count + 1) / (n + (v + 1))
+        logs = np.log10((both + p1) / np.where(tail, count + mu, p1))
+        seen = np.zeros(len(g), np.int64)
+        seen[tail] = cw[word] > 0
+        exact = np.zeros(len(g))
+        exact[tail] = np.log10(cw[word] + 1.0)
+        ids, to = np.unique(row, return_inverse=True)
+        sums = {"rows": ids, "known": np.bincount(to, seen).astype(np.int64), "bases": np.bincount(to, exact), "scores": np.bincount(to, logs)}
+        at_home = home(ids)
+        order = np.argsort(at_home, kind="stable")
+        used, first = np.unique(at_home[order], return_index=True)
+        ends = np.append(first[1:], len(order))
+        parts = pa.table([pa.array(used), *[pa.nulls(len(used), f.type) for f in SUMS], *[packed(sums[f.name], order, ends) for f in PARTIAL]], schema=pa.schema(ANSWER))
+        return pa.concat_tables([out.cast(parts.schema), parts])
+
+    def total_up(key: tuple, t: pa.Table) -> pa.Table:
+        infos = t.filter(pc.is_null(t["rows"])).select([f.name for f in SUMS])
+        order = np.argsort(infos["row"].to_numpy())
+        infos = infos.take(pa.array(order))
+        flat = lambda k, kind: np.frombuffer(b"".join(t[k].drop_null().to_pylist()), kind)
+        at = np.searchsorted(infos["row"].to_numpy(), flat("rows", np.int64))
+        for k, own, kind in (("n_known", "known", np.int64), ("base_log", "bases", np.float64), ("score", "scores", np.float64)):
+            more = np.bincount(at, flat(own, kind), minlength=len(infos)).astype(kind)
+            infos = infos.set_column(infos.schema.get_field_index(k), k, pa.array(infos[k].to_numpy() + more))
+        return infos
 
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), text.alias("text"))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, head_log double, score double, tail array<long>"
-    scored = stage(src.mapInArrow(run, schema), "lm-scored")
-    rare = scored.select("row", F.explode("tail").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k")).join(words, "h")
-    rare = rare.groupBy("row").agg(F.sum("k").alias("n_tail"), F.sum(F.col("k") * F.log10(F.col("c") + F.lit(1.0))).alias("tail_log"))
-    none = F.lit(0)
-    return scored.drop("tail").join(rare, "row", "left").select(
+    dealt = src.mapInArrow(deal, "part int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double, g binary, w binary, at binary, level binary, cap binary")
+    columns = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double"
+    answers = dealt.groupBy("part").applyInArrow(answer, f"home int, {columns}, rows binary, known binary, bases binary, scores binary")
+    out = answers.groupBy("home").applyInArrow(total_up, columns)
+    return stage(out, "lm-scored").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_head") + F.coalesce("n_tail", none)).cast("long").alias("n_known"),
+        "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) - F.col("n_tokens") * base).alias("base_score"),
-        "score",
+        (F.col("base_log") - F.col("n_tokens") * base).alias("base_score"),
+        F.least("score", F.lit(0.0)).alias("score"),
     )
 
 

@@ -362,6 +362,23 @@ def test_lm_scores(spark, docs, texts):
     assert {r.train_tokens for r in lm_score.score(none).collect()} == {0}
 
 
+def test_lm_scores_pairs_of_all_words(spark):
+    """Against exact counts by level, with more words than 32,768, whole and in many parts."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40_000)]
+    texts = [" ".join(words[i : i + 400] * int(rng.integers(1, 4))) for i in range(0, 40_000, 400)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    toks = {i: [*t.split(), "\n"] for i, t in enumerate(texts)}
+    train = [t for i, t in toks.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    c, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["\n", *t], t, strict=False))
+    n, v, values = sum(c.values()), len(c), lm_score.count_of()
+    q = lambda k: values[lm_score.level_of(np.array([k]))[0]] if k else 0.0
+    want = {i: sum(math.log10((q(pairs[a, b]) + lm_score.MU * (q(c[b]) + 1) / (n + v + 1)) / (q(c[a]) + lm_score.MU)) for a, b in zip(["\n", *t], t, strict=False)) for i, t in toks.items()}
+    for kw in ({}, {"max_bits": 1 << 17}, {"head": 50}):
+        got = {r.doc_id: r.score for r in lm_score.score(df, **kw).collect()}
+        assert all(abs(got[i] - want[i]) <= 0.02 * abs(want[i]) for i in want)
+
+
 def test_lm_beats_the_base_on_held_out_text(spark):
     out = lm_score.op9_lm_score(spark, DIR).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert out[1] > out[0]

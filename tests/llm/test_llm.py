@@ -409,6 +409,12 @@ def test_small_filter_still_scores(spark, docs):
     assert all(a[i].base_score == b[i].base_score and b[i].score <= 0 for i in a)
 
 
+def test_small_filter_parts_lose_no_score(spark, docs):
+    """A bound on a part makes more parts, it does not take rare words or bigrams out."""
+    a, b = ({r.doc_id: r.score for r in lm_score.score(docs, **kw).collect()} for kw in ({}, {"max_bits": 1 << 14}))
+    assert abs(sum(a.values()) - sum(b.values())) <= 0.01 * abs(sum(a.values()))
+
+
 def test_packing(spark, docs, texts):
     from tokenizers import Tokenizer
 

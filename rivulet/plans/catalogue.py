@@ -715,13 +715,22 @@ RULES = [
     CASE WHEN d IS NOT NULL THEN d WHEN p = '20' THEN NULL ELSE a END AS rule_id FROM v""",
 )
 def acl_evaluate(spark, d):
-    e = logs.events(spark, d).withColumn("u", F.col("key").cast("string")).where("CAST(u AS BIGINT) < 25")
+    return acl_decisions(spark, logs.events(spark, d).withColumn("u", F.col("key").cast("string")).where("CAST(u AS BIGINT) < 25"))
+
+
+def acl_decisions(spark, e) -> DataFrame:
     asks = e.selectExpr("arrival_seq AS request_id", "concat('User:', u) AS principal", "'TOPIC' AS resource_type", "CAST(headers[0].value AS STRING) AS resource_name", "IF(arrival_seq % 2 = 0, 'READ', 'WRITE') AS operation")
     rules = spark.createDataFrame(RULES, "rule_id string, principal string, resource_type string, resource_name string, operation string, permission string, seq int")
     users = spark.createDataFrame([("20", "SUPER_ADMIN"), ("7", "SUPER_ADMIN"), ("3", "USER")], "username string, role string")
     return acl.evaluate(asks, rules, users)
 
 
+@query("acl_evaluate_all", SQL["acl_evaluate"].replace(" FROM events WHERE user_id < 25)", " FROM events)"))
+def acl_evaluate_all(spark, d):
+    """As acl_evaluate, over the events of all users."""
+    return acl_decisions(spark, logs.events(spark, d).withColumn("u", F.col("key").cast("string")))
+
+
 FIELDS = [
     ("a", "old", "id", "string", False), ("a", "new", "id", "string", False), ("a", "new", "status", "string", True),
     ("b", "old", "id", "string", False), ("b", "new", "id", "string", False), ("b", "new", "tax", "double", False),

@@ -21,11 +21,13 @@ class SharePartition:
     max_in_flight: int = 2000
     start: int = 0
     end: int = 0
+    due: float = float("inf")  # no lock ends before
     records: dict[int, list] = field(default_factory=dict)  # offset -> [state, deliveries, member, deadline, reason]
 
     def acquire(self, member: str, now: int, high: int, limit: int, skipped: frozenset[int] = frozenset()) -> list[int]:
         """Available records first, then new ones below ``high``; skipped offsets are archived."""
         got = []
+        self.due = min(self.due, now + self.lock_ms)
         room = min(limit, self.max_in_flight - sum(r[0] == "acquired" for r in self.records.values()))
         offsets = sorted(o for o, r in self.records.items() if r[0] == "available")
         while len(got) < room:
@@ -67,9 +69,11 @@ class SharePartition:
             r[0] = "available"
 
     def expire(self, now: int) -> None:
-        for r in self.records.values():
-            if r[0] == "acquired" and r[3] <= now:
-                self.release(r)
+        if now >= self.due:
+            for r in self.records.values():
+                if r[0] == "acquired" and r[3] <= now:
+                    self.release(r)
+            self.due = min((r[3] for r in self.records.values() if r[0] == "acquired"), default=float("inf"))
         self.trim()
 
     def trim(self) -> None:

@@ -645,11 +645,48 @@ def share_state_counts(spark, d):
 
 @query("share_dlq", f"WITH {EV} SELECT 'events.g.dlq' AS dlq_topic, part AS partition, off AS offset, body AS value, 'type=' || event_type || ',x-original-topic=events,x-original-partition=' || part || ',x-original-offset=' || off || ',x-share-group=g,x-dlq-reason=rejected' AS headers FROM ev WHERE off < 60 AND off % 7 = 0")
 def share_dlq(spark, d):
-    dead = queues.dead_letters(queues.replay(share_events(spark, d)), logs.events(spark, d))
+    return dead_letter_rows(spark, d, share_events(spark, d))
+
+
+def dead_letter_rows(spark, d, events) -> DataFrame:
+    dead = queues.dead_letters(queues.replay(events), logs.events(spark, d))
     heads = F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), h["value"].cast("string"))), ",")
     return dead.select("dlq_topic", "partition", "offset", F.col("value").cast("string").alias("value"), heads.alias("headers"))
 
 
+DRAIN = 1400  # new records a round; 240 of them are released (every fifth, but not every seventh)
+DRAINED = "CASE WHEN off % 7 = 0 THEN 'archived' ELSE 'acknowledged' END"
+
+
+def drain_events(spark, d) -> DataFrame:
+    """Each partition read to its end by one member, in rounds: what the round before released, then new
+    records. Every seventh is rejected, every fifth released once, the others accepted."""
+    ends = logs.earliest_latest(logs.events(spark, d)).where("latest > 0")
+    head = ["'g' AS group_id", "topic", "partition"]
+    acq = ends.withColumn("r", F.explode(F.expr(f"sequence(0L, (latest - 1) div {DRAIN} + 1)")))
+    acq = acq.selectExpr(*head, "r * 10000 AS seq", "r AS now_ms", "'acquire' AS kind", "'m' AS member", "latest AS first", f"IF(r = 0, {DRAIN}L, {DRAIN + 240}L) AS last", "0 AS ack_type")
+    o = ends.withColumn("o", F.explode(F.expr("sequence(0L, latest - 1)"))).withColumn("r", F.expr(f"o div {DRAIN}"))
+    o = o.withColumn("ack_type", F.expr("CASE WHEN o % 7 = 0 THEN 3 WHEN o % 5 = 0 THEN 2 ELSE 1 END"))
+    again = o.where("ack_type = 2").withColumn("r", F.col("r") + 1).withColumn("ack_type", F.lit(1))
+    acks = o.unionByName(again).selectExpr(*head, f"r * 10000 + 1 + o % {2 * DRAIN} AS seq", "r AS now_ms", "'ack' AS kind", "'m' AS member", "o AS first", "o AS last", "ack_type")
+    return acq.union(acks)
+
+
+@query("share_replay_final_state_all", f"WITH {EV} SELECT part AS partition, off AS offset, {DRAINED} AS state, CASE WHEN off % 5 = 0 AND off % 7 <> 0 THEN 2 ELSE 1 END AS delivery_count, CASE WHEN off % 7 = 0 THEN 'rejected' END AS reason, count(*) OVER (PARTITION BY part) AS start_offset, count(*) OVER (PARTITION BY part) AS end_offset FROM ev")
+def share_replay_final_state_all(spark, d):
+    return queues.replay(drain_events(spark, d)).drop("group_id", "topic")
+
+
+@query("share_state_counts_all", f"WITH {EV} SELECT part AS partition, 0::BIGINT AS available, 0::BIGINT AS acquired, count(*) FILTER (off % 7 <> 0) AS acknowledged, count(*) FILTER (off % 7 = 0) AS archived FROM ev GROUP BY part")
+def share_state_counts_all(spark, d):
+    return queues.state_counts(queues.replay(drain_events(spark, d))).drop("group_id", "topic")
+
+
+@query("share_dlq_all", SQL["share_dlq"].replace("off < 60 AND ", ""))
+def share_dlq_all(spark, d):
+    return dead_letter_rows(spark, d, drain_events(spark, d))
+
+
 USE = EV + """, us AS (SELECT CAST(user_id % 20 AS VARCHAR) AS user, event_type AS client_id, ts_ms // 600 AS now_ms, amt AS amount FROM ev)"""
 SECS = USE + """, sc AS (SELECT user, client_id, now_ms // 1000 AS sec, sum(amount) AS amount, max(now_ms) AS now_ms FROM us GROUP BY ALL),
 rt AS (SELECT user, client_id, sec, least(greatest(now_ms - min(sec) OVER w * 1000, 10000), 11000) / 1000 AS window_s, sum(amount) OVER w AS total FROM sc WINDOW w AS (PARTITION BY user, client_id ORDER BY sec RANGE BETWEEN 10 PRECEDING AND CURRENT ROW))"""

@@ -10,32 +10,41 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import stage, table
 
-#: Most frequent words whose exact counts are broadcast (16 bytes each); the rest join.
+#: Words before a token that are its context.
+CONTEXT = 3
+#: Most frequent words whose exact counts are broadcast (16 bytes each); the others join by their own key.
 HEAD = 1 << 18
 #: Tokens of one part of the filter, about.
-PART_TOKENS = 2_000_000
+PART_TOKENS = 1_500_000
+#: Contexts of more tokens are resolved before tokens are dealt; there is one for so many tokens at most.
+HOT = 500_000
+#: One token in so many is looked at for such contexts.
+SAMPLED = 64
 #: Quantisation: level l stands for counts from BASE**(l-1) to under BASE**l.
 BASE = 1.5
 LEVELS = 110
-PROBES = 4
-BITS_PER_ENTRY = 10
+PROBES = 5
+BITS_PER_ENTRY = 16
 SEGMENTS = 256
 #: Bound of one part of the filter; a larger corpus has more parts.
 MAX_BITS = 1 << 29
 #: Weight of the unigram distribution in a context, in counts.
-MU = 50.0
+MU = 4.0
 END_KEY = xxhash.xxh3_64_intdigest("\n")  # white space, so never a word
 _U = np.uint64
+#: Of a dealt token's 32-bit code: not learnt from; not one of the head; its context is resolved.
+_OUT, _TAIL, _ALONE = np.uint32(1 << 31), np.uint32(1 << 30), np.uint32(1 << 29)
 #: Columns of a text's or a part's sums, and of the tokens dealt to a part.
 SUMS = [pa.field(k, t) for k, t in (("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_log", pa.float64()), ("score", pa.float64()))]
 PARTIAL = [pa.field(k, pa.binary()) for k in ("rows", "known", "bases", "scores")]
 ANSWER = [pa.field("home", pa.int32()), *SUMS, *PARTIAL]
-DEALT = [pa.field("part", pa.int32()), *SUMS, *[pa.field(k, pa.binary()) for k in ("g", "w", "at", "level", "cap")]]
+TOKENS = ("ctx", "code", "at", "w_word", "w_code", "w_at")
+DEALT = [pa.field("part", pa.int32()), *SUMS, *[pa.field(k, pa.binary()) for k in TOKENS]]
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -85,14 +94,14 @@ def lookup(bits: np.ndarray, seg_bits: int, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[slice, pa.Array]]:
-    """Row ranges with their texts, about 2 MB at a time."""
+def chunks(batch: pa.RecordBatch, column: int, size: int = 2_000_000) -> Iterator[tuple[slice, pa.Array]]:
+    """Row ranges with their texts, about ``size`` bytes at a time."""
     texts = batch.column(column)
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     start = 0
     while start < len(texts):
         done = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + 2_000_000, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, done + size, side="right")))
         yield slice(start, stop), texts.slice(start, stop - start)
         start = stop
 
@@ -147,23 +156,62 @@ class Held:
         return keys, counts
 
 
-def count_words(train: DataFrame) -> DataFrame:
-    """(h, c): exact counts of the training tokens by 64-bit word hash."""
+def contexts(h: np.ndarray, token: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit key of each token's context, whether it has ``CONTEXT`` tokens before it in its text)."""
+    at = np.arange(len(token)) - np.repeat(starts, np.diff([*starts, len(token)]))
+    key = np.full(len(token), CONTEXT, np.uint64)
+    for back in range(CONTEXT, 0, -1):
+        key[back:] = gram(key[back:], h[token[:-back]])
+    return key, at >= CONTEXT
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(kind, h, c) of ``docs`` (row, held_out, text): exact counts of the training tokens by word hash
+    (kind 0), and of all contexts in a sample of the tokens by context key (kind 1)."""
+
+    def out(kind: int, held: Held) -> pa.RecordBatch:
+        h, c = held.take()
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(c)], names=["kind", "h", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, before = Held(), Held()
+        for batch in batches:
+            for rows, texts in chunks(batch, 2):
+                h, token, starts = numbered(texts)
+                row, out_of = (batch.column(i).slice(rows.start, rows.stop - rows.start).to_numpy(zero_copy_only=False) for i in (0, 1))
+                sizes = np.diff([*starts, len(token)])
+                words.add(h, np.bincount(token[~np.repeat(np.asarray(out_of, bool), sizes)], minlength=len(h)))
+                key, some = contexts(h, token, starts)
+                place = np.repeat(mix(row.astype(np.uint64)), sizes) + np.arange(len(token), dtype=np.uint64)
+                key = key[some & (mix(place) % _U(SAMPLED) == 0)]
+                before.add(key, np.ones(len(key), np.int64))
+                for kind, held in ((0, words), (1, before)):
+                    if held.size > 1_000_000:
+                        yield out(kind, held)
+        for kind, held in ((0, words), (1, before)):
+            if held.size:
+                yield out(kind, held)
+
+    return docs.mapInArrow(run, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c")).where("c > 0")
+
+
+def hot_counts(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(ctx, pair, seen, c) of every token after one of the ``hot`` (sorted) contexts: how often the
+    pair occurs at all and in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Held()
         for batch in batches:
-            for _, texts in chunks(batch, 0):
-                h, token, _ = numbered(texts)
-                held.add(h, np.bincount(token, minlength=len(h)))
-                if held.size > 1_000_000:
-                    h, c = held.take()
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
-        if held.size:
-            h, c = held.take()
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+            for rows, texts in chunks(batch, 2):
+                h, token, starts = numbered(texts)
+                out_of = np.repeat(np.asarray(batch.column(1).slice(rows.start, rows.stop - rows.start).to_numpy(zero_copy_only=False), bool), np.diff([*starts, len(token)]))
+                key, some = contexts(h, token, starts)
+                m = some & (find(hot, key) >= 0)
+                both, first, at = np.unique(gram(key[m], h[token[m]]), return_index=True, return_inverse=True)
+                seen, c = np.bincount(at, minlength=len(both)), np.bincount(at[~out_of[m]], minlength=len(both))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key[m][first], both, seen, c)], names=["ctx", "pair", "seen", "c"])
 
-    return train.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    found = docs.mapInArrow(run, "ctx long, pair long, seen long, c long")
+    return found.groupBy("ctx", "pair").agg(F.sum("seen").alias("seen"), F.sum("c").alias("c"))
 
 
 def fill(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -185,127 +233,187 @@ def packed(x: np.ndarray, order: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.array([data[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, head: int = HEAD, mu: float = MU) -> DataFrame:
+def level_value(c: Column) -> Column:
+    """What the level of a count stands for, as a column; as :func:`level_of` and :func:`count_of`."""
+    level = F.floor(F.log(c.cast("double")) / math.log(BASE) + 1e-9) + 1
+    return F.element_at(F.array(*[F.lit(float(x)) for x in count_of()[1:]]), level.cast("int"))
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, head: int = HEAD, mu: float = MU, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
 
     Training texts are those whose crc32(doc_id as text) mod 7 is not 2. ``base_score``
     is the add-one unigram score from exact counts.
 
-    ``score`` reads the counts of all words and of all bigrams as their levels 1..l
-    (logarithmic, base 1.5); a count is what the highest level stands for. With c the
-    count of the context and p1 the add-one unigram probability of the word,
-    p = (c(prev, word) + mu p1(word)) / (c(prev) + mu).
-    The levels of bigrams and of words past the ``head`` most frequent lie in a Bloom
-    filter of 10 bits an entry, which is cut into parts by key: a bigram goes to the part
-    of its word, or to that of the pair where the word is one of the ``head``, whose
-    counts are broadcast. Tokens move once, packed, to their part, which counts, fills its
-    piece of the filter, probes it and sends its sums by text, packed, to a home that adds them up. The number of parts grows with the corpus, so that one
-    has about PART_TOKENS tokens and ``max_bits`` bits at most on average; nothing is left out.
-
-    The context's factor is summed by word, as each token of a text (and its end) is a
-    context once. Two passes over whole texts, nothing sampled. Null and empty texts are one token,
+    ``score`` is the log10 probability under a model of quantised counts: q(c) is what the
+    logarithmic level (base 1.5) of c stands for, 0 for 0. With p1(w) = (q(c(w)) + 1) / (sum of
+    q over all words + V + 1), a token w after the three tokens x has
+    p = (q(c(x, w)) + mu p1(w)) / (sum of q(c(x, .)) + mu); the first three tokens of a text have p1.
+    For every context these add up to 1, but for false positives of the filter.
+
+    The levels of all four-token sequences and of the words past the ``head`` most frequent lie in a
+    Bloom filter of 16 bits an entry, which is cut into parts by key: a sequence goes to the part
+    of its context, and to that of its last word too where that is none of the ``head``, whose
+    counts are broadcast. A context's sum is that of the filter's answers for what was seen after it.
+    Tokens move once, packed, to their parts, which count, fill their piece of the filter, probe it
+    and send their sums by text, packed, to a home that adds them up. The number of
+    parts grows with the corpus, so that one has about PART_TOKENS tokens and ``max_bits`` bits at
+    most on average; nothing is left out. Contexts of more than ``hot`` tokens (found in a sample, then counted
+    exactly) do not gather in one part: their sums, and pairs as frequent, are broadcast, one for
+    each ``hot`` tokens of the corpus at most, and the rest goes to parts by pair.
+
+    Two passes over whole texts, a third if there are hot contexts. Null and empty texts are one token,
     the end. Without training texts every probability is 1. Null ids count as training;
     repeated rows are scored each, extra columns are ignored.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    train = docs.where(~held).select(text.alias("text"))
-    words = stage(count_words(train), "lm-words")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = int(total.n), int(total.v)
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), text.alias("text"))
+    counts = stage(counted(src.select("row", "held_out", "text")), "lm-counts")
+    words = counts.where("kind = 0")
+    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(level_value(F.col("c"))), F.lit(0.0)).alias("q")).first()
+    n, v, whole = int(total.n), int(total.v), float(total.q) + int(total.v) + 1
     top = words.orderBy(F.desc("c"), "h").limit(head).toArrow()
     top_h, top_c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     by_hash = np.argsort(top_h)
-    known = spark.sparkContext.broadcast((top_h[by_hash], top_c[by_hash]))
-    # a part has an entry for each training token and each tail word at most
-    n_parts = max(1, -(-n * 7 // (6 * max(1, min(PART_TOKENS, max_bits // (2 * BITS_PER_ENTRY))))))
-    most = int(level_of(top_c[-1:])[0]) if len(top_c) else 0  # no word of the tail is above this level
+    often = counts.where((F.col("kind") == 1) & (F.col("c") * SAMPLED > hot * 0.9)).select("h").toArrow()["h"].to_numpy().view(np.uint64)
+    hot_x, hot_mass, hot_p, hot_q = np.sort(often), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0)
+    if n and len(hot_x):
+        near = stage(hot_counts(src.select("row", "held_out", "text"), hot_x), "lm-hot")
+        near = near.withColumn("q", F.when(F.col("c") > 0, level_value(F.col("c"))).otherwise(0.0))
+        sums = near.groupBy("ctx").agg(F.sum("q").alias("q")).toArrow()
+        x = sums["ctx"].to_numpy().view(np.uint64)
+        order = np.argsort(x)
+        hot_x, hot_mass = x[order], sums["q"].to_numpy()[order]
+        pairs = near.where(F.col("seen") > hot // 2).select("pair", "q").toArrow()
+        x = pairs["pair"].to_numpy().view(np.uint64)
+        order = np.argsort(x)
+        hot_p, hot_q = x[order], pairs["q"].to_numpy()[order]
+    known = spark.sparkContext.broadcast((top_h[by_hash], top_c[by_hash], hot_x, hot_mass, hot_p, hot_q))
+    # a part has an entry for each training token and each tail word at most; more parts than tasks spread evenly
+    need = -(-n * 7 // (6 * max(1, min(PART_TOKENS, max_bits // (2 * BITS_PER_ENTRY)))))
+    n_parts = max(1, need, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 10_000))
     base = math.log10(n + (v + 1))
+    chunk = min(16_000_000, max(2_000_000, 400 * n_parts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_h, head_c = known.value
+        head_h, head_c, hot_x, hot_mass, hot_p, hot_q = known.value
         values = count_of()
-        head_l = level_of(head_c).astype(np.uint8) if len(head_c) else np.zeros(0, np.uint8)
+        p1 = (values[level_of(head_c)] + 1) / whole if len(head_c) else np.zeros(0)
         schema = pa.schema(DEALT)
         for batch in batches:
-            for rows, texts in chunks(batch, 3):
+            for rows, texts in chunks(batch, 3, chunk):
+                part_of = lambda i: batch.column(i).slice(rows.start, rows.stop - rows.start)  # noqa: E731, B023
                 h, token, starts = numbered(texts)
                 sizes = np.diff([*starts, len(token)])
                 at = find(head_h, h)
-                known_word = at >= 0
-                level = np.where(known_word, head_l[at] if len(head_l) else 0, 0).astype(np.uint8)
-                exact = np.where(known_word, np.log10(head_c[at] + 1.0) if len(head_c) else 0.0, 0.0)
-                c = values[level]
-                alone = np.where(known_word, np.log10(mu * (c + 1) / (n + (v + 1))) - np.log10(c + mu), 0.0)
-                docs_ = {"part": (np.arange(len(texts)) % n_parts).astype(np.int32), "n_tokens": sizes.astype(np.int64), "n_known": np.add.reduceat(known_word[token].astype(np.int64), starts)}
-                docs_ |= {"base_log": np.add.reduceat(exact[token], starts), "score": np.add.reduceat(alone[token], starts)}
-                out = {k: pa.array(x) for k, x in docs_.items()}
-                for i, k in enumerate(("row", "doc_id", "held_out")):
-                    out[k] = batch.column(i).slice(rows.start, rows.stop - rows.start)
+                in_head = at >= 0
+                exact = np.where(in_head, np.log10(head_c[at] + 1.0), 0.0) if len(head_c) else np.zeros(len(h))
+                word_p1 = np.where(in_head, p1[at], 0.0) if len(head_c) else np.zeros(len(h))
+                ctx, full = contexts(h, token, starts)
+                in_hot = find(hot_x, ctx) if len(hot_x) else np.full(len(token), -1)
+                mass = np.where(in_hot >= 0, hot_mass[in_hot], 0.0) if len(hot_x) else np.zeros(len(token))
+                hot_ = full & (in_hot >= 0)
+                headed = in_head[token]
+                alone = np.where(hot_, -np.log10(mass + mu), 0.0)  # what is known here of a token's logarithm
+                alone[~full & headed] += np.log10(word_p1[token[~full & headed]])
+                pair = gram(ctx, h[token])
+                done = np.zeros(len(token), bool)
+                if len(hot_p):
+                    found = np.where(hot_ & headed, find(hot_p, pair), -1)
+                    done = found >= 0
+                    alone[done] += np.log10(hot_q[found[done]] + mu * word_p1[token[done]])
+                docs_ = {"part": (np.arange(len(texts)) % n_parts).astype(np.int32), "n_tokens": sizes.astype(np.int64), "n_known": np.add.reduceat(headed.astype(np.int64), starts)}
+                docs_ |= {"base_log": np.add.reduceat(exact[token], starts), "score": np.add.reduceat(alone, starts) if n else np.zeros(len(texts))}
+                out = {k: pa.array(x) for k, x in docs_.items()} | {k: part_of(i) for i, k in enumerate(("row", "doc_id", "held_out"))}
                 yield pa.RecordBatch.from_arrays([out[f.name] if f.name in out else pa.nulls(len(texts), f.type) for f in schema], schema=schema)
                 if not n:
                     continue
-                prev = np.concatenate([[len(h) - 1], token[:-1]])  # the end is the last of h
-                prev[starts] = len(h) - 1
-                g = gram(h[prev], h[token])
-                tail = level[token] == 0
-                part = ((np.where(tail, h[token], g) >> _U(8)) % _U(n_parts)).astype(np.int32)
-                out_of = np.repeat(np.asarray(batch.column(2).slice(rows.start, rows.stop - rows.start).to_numpy(zero_copy_only=False), bool), sizes)
-                cap = np.where(level[prev] > 0, level[prev], most).astype(np.uint8) | (out_of.astype(np.uint8) << 7)
-                order = np.argsort(part.astype(np.uint16) if n_parts < 1 << 16 else part, kind="stable")
-                used, first = np.unique(part[order], return_index=True)
-                ends = np.append(first[1:], len(order))
-                tails = np.cumsum(tail[order])[ends - 1]
-                row = batch.column(0).slice(rows.start, rows.stop - rows.start).to_numpy(zero_copy_only=False)
-                local = np.repeat(np.arange(len(texts), dtype=np.uint32), sizes)
-                got = {"part": pa.array(used), "g": packed(g, order, ends), "at": packed(local, order, ends), "level": packed(level[token], order, ends), "cap": packed(cap, order, ends)}
-                lead = order[tail[order]]
-                got["w"] = packed(h[token], lead, tails)
-                got["row"] = pa.array(np.full(len(used), row[0]))
-                yield pa.RecordBatch.from_arrays([got[f.name] if f.name in got else pa.nulls(len(used), f.type) for f in schema], schema=schema)
+                flags = np.repeat(np.where(np.asarray(part_of(2).to_numpy(zero_copy_only=False), bool), _OUT, np.uint32(0)).astype(np.uint32), sizes)
+                local = np.repeat(np.arange(len(texts), dtype=np.uint32 if len(texts) > 65_535 else np.uint16), sizes)
+                tail_code = (h >> _U(35)).astype(np.uint32) | _TAIL
+                code = np.where(in_head, at, 0).astype(np.uint32)[token]
+                code = np.where(headed, code, tail_code[token] & ~_ALONE) | flags
+                # to the context's part: all but the tail after a hot context; to the word's: the tail
+                go = np.flatnonzero(full & ~done & (headed | ~hot_))
+                where = np.where(hot_[go], pair[go], ctx[go])
+                code = np.where(hot_[go], code[go] | _ALONE, code[go])
+                low = lambda x: x.astype(np.uint32)
+                got = [(((where >> _U(33)) % _U(n_parts)).astype(np.int32), {"ctx": low(where), "code": code, "at": local[go]})]
+                go = np.flatnonzero(~headed)
+                word = h[token[go]]
+                short = np.where(full[go], low(pair[go]) >> np.uint32(1), np.uint32((1 << 31) - 1))  # the last: no context
+                got.append((((word >> _U(33)) % _U(n_parts)).astype(np.int32), {"w_word": low(word), "w_code": short | flags[go], "w_at": local[go]}))
+                used = np.unique(np.concatenate([p for p, _ in got]))
+                cols = {"part": pa.array(used), "row": pa.array(np.full(len(used), part_of(0)[0].as_py()))}
+                for p, columns in got:
+                    order = np.argsort(p.astype(np.uint16) if n_parts < 1 << 16 else p, kind="stable")
+                    ends = np.searchsorted(p[order], used, side="right")
+                    cols |= {k: packed(x, order, ends) for k, x in columns.items()}
+                yield pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(len(used), f.type) for f in schema], schema=schema)
 
     def home(row: np.ndarray) -> np.ndarray:
         return (mix(row.astype(np.uint64)) % _U(n_parts)).astype(np.int32)
 
     def answer(key: tuple, t: pa.Table) -> pa.Table:
-        infos = t.filter(pc.is_null(t["g"]))
-        t = t.filter(pc.is_valid(t["g"]))
+        infos = t.filter(pc.is_null(t["ctx"]))
+        t = t.filter(pc.is_valid(t["ctx"]))
         out = infos.select([f.name for f in SUMS])
         for f in PARTIAL:
             out = out.append_column(f, pa.nulls(len(out), f.type))
         out = out.add_column(0, ANSWER[0], pa.array(home(infos["row"].to_numpy())))
         if not t.num_rows:
             return out
-        flat = lambda k, kind: np.frombuffer(b"".join(t[k].to_pylist()), kind)
-        g, w, at, level, cap = flat("g", np.uint64), flat("w", np.uint64), flat("at", np.uint32), flat("level", np.uint8), flat("cap", np.uint8)
-        lens = pc.divide(pc.binary_length(t["g"]), 8).to_numpy()
-        row = np.repeat(t["row"].to_numpy(), lens) + at
-        learn, cap = cap < 128, cap & 127
+        head_c = known.value[1]
         values = count_of()
-        pairs, pair = np.unique(g, return_inverse=True)
-        c = np.bincount(pair[learn], minlength=len(pairs))
-        tail = level == 0
-        rare, word = np.unique(w, return_inverse=True)
-        cw = np.bincount(word[learn[tail]], minlength=len(rare))
-        bits, seg_bits = fill(np.concatenate([pairs[c > 0], rare[cw > 0]]), np.concatenate([c[c > 0], cw[cw > 0]]))
-        both = values[np.minimum(lookup(bits, seg_bits, pairs)[pair], cap)]
-        level_w = lookup(bits, seg_bits, rare)[word]
-        count = values[level]
-        count[tail] = values[level_w]
-        p1 = mu * (count + 1) / (n + (v + 1))
-        logs = np.log10((both + p1) / np.where(tail, count + mu, p1))
-        seen = np.zeros(len(g), np.int64)
-        seen[tail] = cw[word] > 0
-        exact = np.zeros(len(g))
-        exact[tail] = np.log10(cw[word] + 1.0)
+        p1 = mu * (values[level_of(head_c)] + 1) / whole if len(head_c) else np.zeros(0)
+        flat = lambda k: np.frombuffer(b"".join(t[k].to_pylist()), np.uint32)
+
+        def rows_of(key: str, at: str) -> np.ndarray:
+            """The row of each token: the chunk's first and the text's place in it, 2 or 4 bytes each."""
+            lens = pc.divide(pc.binary_length(t[key]), 4).to_numpy()
+            size = pc.binary_length(t[at]).to_numpy()
+            local = np.concatenate([np.frombuffer(x, np.uint32 if 4 * n_ == s else np.uint16).astype(np.int64) for x, n_, s in zip(t[at].to_pylist(), lens, size, strict=True)])
+            return np.repeat(t["row"].to_numpy(), lens) + local
+
+        def seen(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(distinct keys, index into these, training count of each)."""
+            distinct, index = np.unique(keys, return_inverse=True)
+            return distinct, index, np.bincount(index[learn], minlength=len(distinct))
+
+        ctx, code, w_word, w_code = (flat(k) for k in ("ctx", "code", "w_word", "w_code"))
+        pairs, pair, c = seen(ctx.astype(np.uint64) << _U(31) | (code & ~_OUT), code < _OUT)
+        rare, word, cw = seen(w_word, w_code < _OUT)
+        w_pairs, w_pair, wc = seen(w_word.astype(np.uint64) << _U(31) | (w_code & ~_OUT), w_code < _OUT)
+        wc[(w_pairs & _U((1 << 31) - 1)) == (1 << 31) - 1] = 0  # tokens without a context
+        named = [gram(np.array([i], np.uint64), x.astype(np.uint64)) for i, x in enumerate((pairs, rare, w_pairs))]
+        on = [k > 0 for k in (c, cw, wc)]
+        bits, seg_bits = fill(np.concatenate([k[m] for k, m in zip(named, on, strict=True)]), np.concatenate([k[m] for k, m in zip((c, cw, wc), on, strict=True)]))
+        q, qw, wq = (values[lookup(bits, seg_bits, k)] for k in named)
+        # contexts: the pairs are sorted by theirs
+        which = np.cumsum(np.diff(pairs >> _U(31), prepend=pairs[:1] >> _U(31)) != 0) if len(pairs) else np.zeros(0, np.int64)
+        own = (pairs & _U((1 << 31) - 1)).astype(np.uint32)
+        resolved, tail = own & _ALONE != 0, own & _TAIL != 0
+        mass = np.bincount(which, np.where(on[0], q, 0.0))[which] if len(pairs) else np.zeros(0)
+        alone = np.where(tail, 0, own & ~(_ALONE | _TAIL)).astype(np.int64)
+        weight = np.where(tail, 1.0, np.where(resolved, q, np.minimum(q, mass)) + (p1[alone] if len(p1) else 0.0))
+        logs = np.log10(weight) - np.where(resolved, 0.0, np.log10(mass + mu))
+        # the tail: a sequence is no more frequent than its word; without a context, p1 alone
+        of_word = np.searchsorted(rare, (w_pairs >> _U(31)).astype(np.uint32))
+        first = (w_pairs & _U((1 << 31) - 1)) == (1 << 31) - 1
+        w_p1 = (qw[of_word] + 1) / whole
+        w_logs = np.log10(np.where(first, w_p1, np.minimum(wq, qw[of_word]) + mu * w_p1))
+        row = np.concatenate([rows_of("ctx", "at"), rows_of("w_word", "w_at")])
         ids, to = np.unique(row, return_inverse=True)
-        sums = {"rows": ids, "known": np.bincount(to, seen).astype(np.int64), "bases": np.bincount(to, exact), "scores": np.bincount(to, logs)}
+        nothing = np.zeros(len(ctx))
+        summed = lambda a, b: np.bincount(to, np.concatenate([a, b]), minlength=len(ids))
+        sums = {"rows": ids, "known": summed(nothing, cw[word] > 0).astype(np.int64), "bases": summed(nothing, np.log10(cw[word] + 1.0)), "scores": summed(logs[pair], w_logs[w_pair])}
         at_home = home(ids)
         order = np.argsort(at_home, kind="stable")
-        used, first = np.unique(at_home[order], return_index=True)
-        ends = np.append(first[1:], len(order))
+        used, first_of = np.unique(at_home[order], return_index=True)
+        ends = np.append(first_of[1:], len(order))
         parts = pa.table([pa.array(used), *[pa.nulls(len(used), f.type) for f in SUMS], *[packed(sums[f.name], order, ends) for f in PARTIAL]], schema=pa.schema(ANSWER))
         return pa.concat_tables([out.cast(parts.schema), parts])
 
@@ -320,9 +428,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
             infos = infos.set_column(infos.schema.get_field_index(k), k, pa.array(infos[k].to_numpy() + more))
         return infos
 
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), text.alias("text"))
-    dealt = src.mapInArrow(deal, "part int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double, g binary, w binary, at binary, level binary, cap binary")
     columns = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double"
+    dealt = src.mapInArrow(deal, f"part int, {columns}, {', '.join(f'{k} binary' for k in TOKENS)}")
     answers = dealt.groupBy("part").applyInArrow(answer, f"home int, {columns}, rows binary, known binary, bases binary, scores binary")
     out = answers.groupBy("home").applyInArrow(total_up, columns)
     return stage(out, "lm-scored").select(

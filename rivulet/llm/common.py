@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,16 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Scratch tables written by this process, oldest first.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once to the shared scratch folder and reads it back.
 
-    Cuts the lineage: later steps re-read files that survive a lost executor.
+    Cuts the lineage: later steps re-read files that survive a lost executor. The
+    files go when :func:`release` is told so, at the latest when the process ends.
     """
     spark = df.sparkSession
     ship(spark)
     path = f"{scratch_root(spark)}/rivulet/{label}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def written() -> int:
+    """A mark for :func:`release`: what is staged after it can be released together."""
+    return len(_WRITTEN)
+
+
+def release(since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes the scratch tables staged after the mark ``since`` but for ``keep``.
+
+    For a caller who has written what was built on them: whatever still reads one fails."""
+    gone = [x for x in _WRITTEN[since:] if x[1] != getattr(keep, "_scratch", None)]
+    _WRITTEN[since:] = [x for x in _WRITTEN[since:] if x not in gone]
+    for spark, path in gone:
+        with contextlib.suppress(Exception):  # the session may have ended before the process
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def whole_row(df: DataFrame) -> Column:
@@ -61,9 +90,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     themselves; component is the smallest id reachable. Each round is two grouped
     minima (combined map-side) joined back on the node, so the hub of a very large
     group costs one partial aggregate per task and a join that AQE can split.
-    Rounds grow with the logarithm of the longest path.
+    Rounds grow with the logarithm of the longest path; a round's edges are deleted once
+    the next are written. Raises RuntimeError if ``max_rounds`` do not suffice, which
+    takes far longer paths than any table holds: nothing is ever returned unfinished.
     """
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    # whatever ``edges`` needs is staged by now, so the last two tables below are always this loop's
     e = stage(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
     )
@@ -80,6 +112,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         e = stage(small.select("e.*").where("a <> b").distinct(), "cc")
         now = mark(e)
+        release(written() - 2, e)
         if now == seen:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
         seen = now

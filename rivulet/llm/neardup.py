@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import connected_components, maybe_broadcast, stage, table, whole_row
+from rivulet.llm.common import connected_components, maybe_broadcast, stage, table, whole_row, words_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -188,7 +188,24 @@ def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     the bound by a join."""
     ids = stage(ids.distinct(), "nd-ids")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return stage(src.join(maybe_broadcast(ids, BROADCAST_IDS), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "nd-texts")
+    digest = F.md5(F.array_join(words_of(F.col("text")), " ").cast("binary"))  # as in signatures()
+    found = src.join(maybe_broadcast(ids, BROADCAST_IDS), "id", "left_semi").where(F.size(words_of(F.col("text"))) > 0)
+    return stage(found.groupBy("id").agg(F.min_by("text", digest).alias("text")), "nd-texts")
+
+
+def alike(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose signatures agree in ``LOW_AGREE`` coordinates; no text travels."""
+    left = known.select(F.col("rep").alias("a"), F.col("low").alias("la"))
+    right = known.select(F.col("rep").alias("b"), F.col("low").alias("lb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                la, lb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                keep = pa.array((la == lb).sum(axis=1) >= LOW_AGREE)
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], names=["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity_: float) -> DataFrame:
@@ -207,27 +224,66 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity_: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def settle(members: DataFrame, known: DataFrame, texts: DataFrame, similarity_: float) -> DataFrame:
+def blocked(members: DataFrame) -> DataFrame:
+    """``members`` of buckets (band) by pairs of blocks (b1, b2) of about ``BLOCK`` of them: each row once
+    for every block of its bucket. Buckets of one block, nearly all, are not looked up anywhere;
+    the sizes of the others are broadcast where they are counted small, so no bucket meets in a task."""
+    size = members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    size = maybe_broadcast(stage(size.select("band", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "nd-large"), BROADCAST_IDS)
+    dealt = members.join(size, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
+
+
+def candidates(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, later rows j, coordinates agreed) of the rows of two blocks sorted by rep: pairs of different
+    components, of the two blocks, that agree enough and have their first common bucket here."""
+    band, two = t["band"][0].as_py(), t["b1"][0].as_py() != t["b2"][0].as_py()
+    block, comp = t["block"].to_numpy(), t["comp"].to_numpy()
+    low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(len(block), -1)
+    buckets = np.array(t["bands"].to_pylist(), np.int64)
+    for i in range(len(block) - 1):
+        ok = comp[i + 1 :] != comp[i]
+        if two:
+            ok &= block[i + 1 :] != block[i]
+        j = np.flatnonzero(ok) + i + 1
+        if len(j):
+            agree = (low[j] == low[i]).sum(axis=1)
+            j, agree = j[agree >= LOW_AGREE], agree[agree >= LOW_AGREE]
+        if len(j):
+            first = (buckets[j] == buckets[i]).argmax(axis=1)
+            here = buckets[i][first] == band
+            if here.any():
+                yield i, j[here], agree[here]
+
+
+def settle(members: DataFrame, known: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity_: float) -> DataFrame:
     """Links between different components inside buckets, enough to join all that have one.
 
-    members: (band, rep, comp); known: (rep, low, bands). A bucket is cut into blocks of
-    about ``BLOCK`` members, and a task sees two blocks, whatever the size of the bucket.
-    There every pair of different components that has its first common bucket here and
-    agrees in ``LOW_AGREE`` of the signature is verified on its shingles, unless links
-    found before already join the two. Only links come out, never pairs.
+    members: (band, rep, comp); known: (rep, low, bands); texts: ids (rep) -> (rep, text). A bucket is
+    cut into blocks of about ``BLOCK`` members, and a task sees two blocks, whatever the size of the
+    bucket. First only signatures travel, and a row comes out for each member of two blocks that has a
+    candidate there; the texts of these few, in the blocks where they have one, travel next. There every candidate is verified
+    on its shingles, unless links found before already join the two. Only links come out, never pairs.
     """
-    size = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    dealt = members.join(size, "band").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other"))
-    rows = dealt.join(known, "rep").join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+    cols = ["band", "b1", "b2", "block", "rep", "comp", "low", "bands"]
+    kind = "band long, b1 long, b2 long, block long, rep long, comp long, low binary, bands array<long>"
+    rows = blocked(members).join(known, "rep").select(*cols)
+
+    def some(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep")
+        has = np.zeros(t.num_rows, bool)
+        for i, j, _ in candidates(t):
+            has[i] = True
+            has[j] = True
+        return t.filter(pa.array(has))
+
+    few = stage(rows.groupBy("band", "b1", "b2").applyInArrow(some, kind), "nd-few")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("rep")
-        band, two = t["band"][0].as_py(), t["b1"][0].as_py() != t["b2"][0].as_py()
-        rep, block = t["rep"].to_pylist(), t["block"].to_numpy()
-        low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(len(rep), -1)
-        buckets = np.array(t["bands"].to_pylist(), np.int64)
+        rep = t["rep"].to_pylist()
         found, own = np.unique(t["comp"].to_numpy(), return_inverse=True)
         top = np.arange(len(found))  # label of each component here
         texts_, sets = t["text"], {}
@@ -238,26 +294,16 @@ def settle(members: DataFrame, known: DataFrame, texts: DataFrame, similarity_:
             return sets[i]
 
         links = []
-        for i in range(len(rep) - 1):
-            ok = top[own[i + 1 :]] != top[own[i]]
-            if two:
-                ok &= block[i + 1 :] != block[i]
-            j = np.flatnonzero(ok) + i + 1
-            if len(j):
-                agree = (low[j] == low[i]).sum(axis=1)
-                j, agree = j[agree >= LOW_AGREE], agree[agree >= LOW_AGREE]
-            if len(j):
-                first = (buckets[j] == buckets[i]).argmax(axis=1)
-                here = buckets[i][first] == band
-                for x in j[here][np.argsort(-agree[here], kind="stable")].tolist():
-                    p, q = top[own[i]], top[own[x]]
-                    if p != q and similarity(words(i), words(x)) >= similarity_:
-                        top[top == max(p, q)] = min(p, q)
-                        links.append((rep[i], rep[x]))
+        for i, j, agree in candidates(t):
+            for x in j[np.argsort(-agree, kind="stable")].tolist():
+                p, q = top[own[i]], top[own[x]]
+                if p != q and similarity(words(i), words(x)) >= similarity_:
+                    top[top == max(p, q)] = min(p, q)
+                    links.append((rep[i], rep[x]))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    cols = ["band", "b1", "b2", "block", "rep", "comp", "low", "bands", "text"]
-    return rows.select(*cols).groupBy("band", "b1", "b2").applyInArrow(run, "a long, b long")
+    with_text = few.join(texts(few.select("rep")), "rep").select(*cols, "text")
+    return with_text.groupBy("band", "b1", "b2").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity_: float = SIMILARITY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,12 +312,14 @@ def near_duplicates(docs: DataFrame, similarity_: float = SIMILARITY, *, id_col:
     component_id is the smallest doc_id reachable by links; two documents link if the
     weighted Jaccard of their five-word shingles (weights: occurrences) is at least
     ``similarity_``. Texts of under five words are one shingle; null, empty and blank
-    texts link with nothing. Rows of one doc_id are one document (the smallest text
-    stands for it). Extra columns are ignored.
+    texts link with nothing. Rows of one doc_id are one document: of its texts that whose words
+    have the smallest MD5 is compared, and equal words tie it to others through any of them.
+    Rows without an id have no row here. Extra columns are ignored.
 
     1. One pass computes signatures; rows with equal words become one representative.
     2. In every band bucket each representative is paired with the bucket's smallest
-       (a star, not all pairs); distinct pairs are verified on whole texts.
+       (a star, not all pairs); distinct pairs whose signatures agree in ``LOW_AGREE`` of ``COORDS``
+       coordinates are verified on whole texts.
     3. Components of those links. Only buckets that still span several components go on,
        to :func:`settle`, which looks for links between them block by block. Links inside
        a component need no row, so none between components is lost and large groups of
@@ -280,18 +328,22 @@ def near_duplicates(docs: DataFrame, similarity_: float = SIMILARITY, *, id_col:
     sig = stage(signatures(docs, id_col, text_col), "nd-sig")
     worded = sig.where("digest IS NOT NULL")
     reps = stage(worded.groupBy("digest").agg(F.min("id").alias("rep")), "nd-reps")
-    known = stage(worded.join(reps, "digest").where("id = rep").groupBy("rep").agg(F.first("low").alias("low"), F.first("bands").alias("bands")), "nd-known")
+    # several texts under one id: that of the smallest digest stands for it
+    lead = F.min_by(F.struct("low", "bands"), "digest")
+    known = stage(worded.join(reps, "digest").where("id = rep").groupBy("rep").agg(lead.alias("s")).select("rep", "s.*"), "nd-known")
     rows = known.select("rep", F.explode("bands").alias("band"))
     hubs = rows.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub")
     shared = stage(rows.join(hubs, "band"), "nd-shared")
     pairs = stage(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "nd-pairs")
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, id_col, text_col)
-    links = stage(verify(pairs, texts, similarity_), "nd-links")
+    close = stage(alike(pairs, known), "nd-close")
+    texts = lambda ids: texts_of(ids, docs, id_col, text_col)
+    links = stage(verify(close, texts(close.select(F.explode(F.array("a", "b")).alias("id"))), similarity_), "nd-links")
     comp = connected_components(links)
 
     named = shared.join(comp, F.col("rep") == F.col("id"), "left").select("rep", "band", F.coalesce("component", "rep").alias("comp"))
     mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2").select("band")
-    more = settle(stage(named.join(mixed, "band"), "nd-mixed"), known, texts, similarity_)
+    by_rep = lambda ids: texts(ids.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
+    more = stage(settle(stage(named.join(mixed, "band"), "nd-mixed"), known, by_rep, similarity_), "nd-more")
     # rows of equal words, and several texts under one id, tie their documents together
     same = worded.join(reps, "digest").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     found = stage(connected_components(links.unionByName(more).unionByName(same)), "nd-comp")

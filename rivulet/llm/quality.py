@@ -10,7 +10,7 @@ import math
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import let, maybe_broadcast, stage, table, whole_row, words_of
@@ -38,12 +38,25 @@ RULES = (
 @dataclass(frozen=True)
 class Risk:
     """``alpha``: largest share of good documents of a stratum that the cutoffs may reject,
-    with probability 1 - ``delta`` over all strata, rules and cutoffs together."""
+    with probability 1 - ``delta`` over all strata and all that is tested."""
 
     alpha: float = 0.02
     delta: float = 0.05
     rules: tuple[Rule, ...] = field(default=RULES)
 
+    def paths(self) -> list[tuple[float, list[dict[str, float]]]]:
+        """(share of delta, settings from loosest to strictest), fixed beforehand: first all rules
+        together, their t-th loosest cutoffs at step t, then each rule alone."""
+        loose = {r.name: sorted(r.cutoffs, reverse=True) for r in self.rules}
+        steps = max(map(len, loose.values()))
+        joint = [{k: c[min(t, len(c) - 1)] for k, c in loose.items()} for t in range(steps)]
+        return [(0.5, joint)] + [(0.5 / len(loose), [{k: x} for x in c]) for k, c in loose.items()]
+
+    @property
+    def least(self) -> float:
+        """Good documents below which a stratum can certify nothing, at the whole of delta."""
+        return math.log(self.delta) / math.log1p(-self.alpha)
+
 
 def _repeat_words(w: Column) -> Column:
     """Words that lie in a 3-word window found twice or more (each word once).
@@ -133,38 +146,41 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def cutoffs(labelled: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """(stratum, cutoffs map rule -> cutoff) from labelled holdout rows.
 
-    labelled: stratum, good boolean, the columns of the statistics. One conditional
-    count per rule and cutoff in a single partially aggregated group-by. A cutoff is
-    certified when the exact bound on its false rejection rate is at most alpha /
-    rules at level delta / (strata * rules * cutoffs); by the union bound all rules
-    together reject at most alpha of a stratum's good documents. Of the certified
-    ones, each rule takes that which rejects most bad documents net of good ones (none
-    if it rejects no bad one), then fewest good ones, then the loosest. Too few labels certify
-    nothing, and nothing is rejected.
+    labelled: stratum, good boolean, the columns of the statistics; a row for each independent
+    document. One conditional count per setting in a single partially aggregated group-by.
+    Along each of the fixed paths (:meth:`Risk.paths`) a setting is certified if the exact bound on its false rejection
+    rate is at most alpha and those before it are certified: a fixed sequence, so the whole level of a path
+    serves each of its steps. Paths share delta, and so do the strata with enough good documents to
+    certify anything (a count that tells nothing of rejections). Of the certified settings a stratum takes
+    that which rejects most bad documents net of good ones, then fewest good ones, then that of
+    the first path and the loosest; one that rejects no bad one is not taken. Too few labels
+    certify nothing, and nothing is rejected.
     """
-    tests = [(r, i, c) for r in risk.rules for i, c in enumerate(r.cutoffs)]
-    over = lambda r, c: F.expr(r.value) > F.lit(c)
+    tests = [(p, i, share, s) for p, (share, path) in enumerate(risk.paths()) for i, s in enumerate(path)]
+    values = {r.name: r.value for r in risk.rules}
     counts = [F.sum(F.col("good").cast("long")).alias("n")]
-    for r, i, c in tests:
-        counts.append(F.sum((over(r, c) & F.col("good")).cast("long")).alias(f"fr_{r.name}_{i}"))
-        counts.append(F.sum((over(r, c) & ~F.col("good")).cast("long")).alias(f"tr_{r.name}_{i}"))
-    by = labelled.groupBy("stratum").agg(*counts)
+    for p, i, _, s in tests:
+        over = F.lit(False)
+        for k, c in s.items():
+            over = over | (F.expr(values[k]) > F.lit(c))
+        counts.append(F.sum((over & F.col("good")).cast("long")).alias(f"fr_{p}_{i}"))
+        counts.append(F.sum((over & ~F.col("good")).cast("long")).alias(f"tr_{p}_{i}"))
+    by = stage(labelled.groupBy("stratum").agg(*counts), "risk")
+    level = math.log(risk.delta / max(1, by.where(F.col("n") >= risk.least).count()))
     rows = F.array(
         *[
-            F.struct(F.lit(r.name).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"fr_{r.name}_{i}").alias("fr"), F.col(f"tr_{r.name}_{i}").alias("tr"))
-            for r, i, c in tests
+            F.struct(
+                F.lit(p).alias("path"), F.lit(i).alias("step"), F.lit(level + math.log(share)).alias("level"), F.col(f"fr_{p}_{i}").alias("fr"), F.col(f"tr_{p}_{i}").alias("tr"),
+                F.create_map(*[F.lit(x) for kv in s.items() for x in kv]).alias("cutoffs"),
+            )
+            for p, i, share, s in tests
         ]
-    )
-    by = stage(by, "risk")
-    level = F.lit(math.log(risk.delta / (len(tests) * max(1, by.count()))))
-    best = (
-        by.select("stratum", "n", F.explode(rows).alias("t"))
-        .where((F.col("t.tr") > 0) & (F.col("n") > 0))
-        .where(binomial_tail(F.col("t.fr"), F.col("n"), risk.alpha / len(risk.rules)) <= level)
-        .groupBy("stratum", F.col("t.rule").alias("rule"))
-        .agg(F.max_by("t.cutoff", F.struct(F.col("t.tr") - F.col("t.fr"), -F.col("t.fr"), "t.cutoff")).alias("cutoff"))
-    )
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    )
+    so_far = Window.partitionBy("stratum", "path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    tried = by.where(F.col("n") >= risk.least).select("stratum", "n", F.explode(rows).alias("t")).select("stratum", "n", "t.*")
+    tried = tried.withColumn("ok", F.bool_and(binomial_tail(F.col("fr"), F.col("n"), risk.alpha) <= F.col("level")).over(so_far))
+    best = F.max_by("cutoffs", F.struct(F.col("tr") - F.col("fr"), -F.col("fr"), -F.col("path"), -F.col("step")))
+    return tried.where("ok AND tr > 0").groupBy("stratum").agg(best.alias("cutoffs"))
 
 
 def judge(
@@ -172,9 +188,10 @@ def judge(
 ) -> DataFrame:
     """Every row of ``docs`` with struct ``__q`` (statistics, base_failed) and ``__kept``.
 
-    labels: doc_id, quality (1: good). Repeated labels of a document count once, good
-    if any says so; null labels are no labels. The holdout is every labelled document
-    that passes the base rules; nothing else is learned from labels, so none needs to
+    labels: doc_id, quality (1: good, 0: bad; null and any other value are no labels). Repeated labels of
+    a document count once, good if any says so. The holdout is every labelled text
+    that passes the base rules, once in a stratum however many rows and ids hold it (copies are no
+    independent trials; good if any is); nothing else is learned from labels, so none needs to
     be set aside. A null stratum is a stratum of its own; strata without enough labels
     reject by the base rules only. The rows with their statistics are written once to
     the scratch folder; the cutoffs (one row a stratum) are broadcast if counted small.
@@ -189,9 +206,10 @@ def _judged(docs: DataFrame, labels: DataFrame, risk: Risk, id_col: str, text_co
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("<null>"))
     row = whole_row(docs) if keep_columns else F.struct(F.col(id_col).cast("long").alias("doc_id"))
     src = docs.select(row.alias("__row"), F.col(id_col).cast("long").alias("__id"), stratum.alias("__stratum"), F.col(text_col).alias("__text"))
-    seen = stage(with_stats(src, "__text").drop("__text"), "quality")
-    good = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg((F.max("quality") == 1).alias("good"))
-    held = seen.where(~F.col("__q.base_failed")).select("__id", F.col("__stratum").alias("stratum"), "__q.*").join(good, "__id")
+    seen = stage(with_stats(src, "__text").withColumn("__key", F.xxhash64("__text")).drop("__text"), "quality")
+    good = labels.where("quality IN (0, 1)").groupBy(F.col("doc_id").alias("__id")).agg((F.max("quality") == 1).alias("good"))
+    held = seen.where(~F.col("__q.base_failed")).select("__id", F.col("__stratum").alias("stratum"), "__key", "__q").join(good, "__id")
+    held = held.groupBy("stratum", "__key").agg(F.bool_or("good").alias("good"), F.first("__q").alias("__q")).select("stratum", "good", "__q.*")
     chosen = maybe_broadcast(stage(cutoffs(held, risk).withColumnRenamed("stratum", "__stratum"), "cutoffs"), 100_000)
     q = seen.join(chosen, "__stratum", "left")
     bad = F.lit(False)
@@ -219,25 +237,29 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle(risk: Risk = Risk()) -> str:
     """DuckDB SQL for :func:`op7_quality_rules`: windows as rows, bounds from log-gamma sums."""
-    tests = [(r.name, r.value, c) for r in risk.rules for c in r.cutoffs]
-    rows = " UNION ALL ".join(f"SELECT doc_id, stratum, good, '{n}' AS rule, {c!r}::DOUBLE AS cutoff, {v} > {c!r} AS over FROM h" for n, v, c in tests)
-    bad = " OR ".join(f"coalesce({r.value.replace('n_words', 'greatest(n_words, 1)')} > max(b.cutoff) FILTER (b.rule = '{r.name}'), FALSE)" for r in risk.rules)
-    p = risk.alpha / len(risk.rules)
-    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r}))"
+    values = {r.name: r.value for r in risk.rules}
+    tests = [(p, i, share, x) for p, (share, path) in enumerate(risk.paths()) for i, x in enumerate(path)]
+    over = lambda x, n="n_words": " OR ".join(f"{values[k].replace('n_words', n)} > {c!r}" for k, c in x.items())
+    rows = " UNION ALL ".join(f"SELECT stratum, good, {p} AS path, {i} AS step, {share!r} AS share, ({over(x)}) AS over FROM h" for p, i, share, x in tests)
+    bad = " ".join(f"WHEN path = {p} AND step = {i} THEN {over(x, 'greatest(n_words, 1)')}" for p, i, _, x in tests)
+    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk.alpha!r}) + (n - i) * ln(1 - {risk.alpha!r}))"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '<null>') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1)) GROUP BY doc_id),
-s AS (SELECT d.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+s AS (SELECT d.doc_id, stratum, t, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
   coalesce(c.n, 0) AS n_repeat_words, CAST(length(t) - length(regexp_replace(t, '[^\p{{L}}\p{{N}}\x09-\x0D\x20]', '', 'g')) AS BIGINT) AS n_marks FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
-h AS (SELECT f.*, good FROM f JOIN (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
+h AS (SELECT stratum, t, bool_or(good) AS good, {", ".join(f"any_value({c}) AS {c}" for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_marks"))}
+  FROM f JOIN (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed GROUP BY stratum, t),
+e AS (SELECT stratum FROM h GROUP BY stratum HAVING count(*) FILTER (good) >= {risk.least!r}),
 x AS ({rows}),
-k AS (SELECT stratum, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND over) AS fr, count(*) FILTER (NOT good AND over) AS tr FROM x GROUP BY ALL),
-v AS (SELECT *, (SELECT sum({term}) FROM (SELECT unnest(range(fr + 1)) AS i)) AS tail, {risk.delta!r} / ({len(tests)} * (SELECT count(DISTINCT stratum) FROM h)) AS level FROM k WHERE tr > 0 AND n > 0),
-b AS (SELECT stratum, rule, cutoff FROM v WHERE tail <= level QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY tr - fr DESC, fr, cutoff DESC) = 1)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({bad}) AS kept
-FROM f LEFT JOIN b ON b.stratum = f.stratum GROUP BY f.doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_marks, base_failed
+k AS (SELECT stratum, path, step, share, count(*) FILTER (good) AS n, count(*) FILTER (good AND over) AS fr, count(*) FILTER (NOT good AND over) AS tr FROM x WHERE stratum IN (SELECT stratum FROM e) GROUP BY ALL),
+v AS (SELECT *, (SELECT sum({term}) FROM (SELECT unnest(range(fr + 1)) AS i)) <= share * {risk.delta!r} / (SELECT count(*) FROM e) AS good FROM k),
+o AS (SELECT *, bool_and(good) OVER (PARTITION BY stratum, path ORDER BY step) AS ok FROM v),
+b AS (SELECT stratum, path, step FROM o WHERE ok AND tr > 0 QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY tr - fr DESC, fr, path, step) = 1)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(CASE {bad} END, FALSE) AS kept
+FROM f LEFT JOIN b ON b.stratum = f.stratum
 """

@@ -3,6 +3,7 @@ capacities, run independently in randomised groups."""
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -13,16 +14,33 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import stage, table
+from rivulet.llm.common import maybe_broadcast, stage, table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Texts with any other character are left to the library whole: up to here all
 #: versions of Unicode agree, composition changes nothing and lower case is one
 #: to one. Excluded: C0 separators (blank to Python alone) and U+0130.
-_UNUSUAL = re.compile("[^\t-\r -įı-ɏ]")
+_UNUSUAL = re.compile("[^\t-\r -\u012f\u0131-\u024f]")
 _WORDS, _PIECES = 250_000, 60_000
-#: The vocabulary's own split of a text into pieces (a fixed value).
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The steps of a vocabulary that :class:`WordIds` takes word by word. Its pieces never
+#: join across white space.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(tokenizer: dict) -> bool:
+    """Whether a vocabulary's own description has exactly the steps that are known here."""
+    model, added = tokenizer["model"], tokenizer.get("added_tokens") or []
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges", "byte_fallback", "unk_token"))
+    exact = not any(t[k] for t in added for k in ("normalized", "lstrip", "rstrip", "single_word"))
+    return plain and exact and tokenizer["normalizer"] == _NORMALIZER and tokenizer["pre_tokenizer"] == _PRE_TOKENIZER
 
 
 def byte_letters() -> dict[int, str]:
@@ -49,9 +67,10 @@ class PieceIds(dict):
 class WordIds(dict):
     """Word -> its ids as little-endian uint32 bytes.
 
-    The vocabulary's split never joins across white space and merges stay inside a
-    piece, so a text's ids are those of the pieces of its blank-separated words in
-    order. The first words and pieces seen are kept, up to a fixed number: frequent ones
+    Where :func:`by_words` knows the vocabulary's steps, a text's ids are those of the pieces of its
+    blank-separated words in order, merged by the library's model. Texts that hold an added token's string or an
+    unusual character, and all texts of any other vocabulary, go to the library whole. The first
+    words and pieces seen are kept, up to a fixed number: frequent ones
     come early, and rare ones are not worth their room.
     """
 
@@ -64,6 +83,11 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        parts = json.loads(self.tokenizer.to_str())
+        self.known = by_words(parts)
+        self.split = regex.compile(_SPLIT)
+        added = "|".join(re.escape(t["content"]) for t in parts.get("added_tokens") or [])
+        self.whole_only = re.compile(f"{_UNUSUAL.pattern}|{added}" if added else _UNUSUAL.pattern)
         self.pieces = PieceIds(self.tokenizer.model)
 
     def whole(self, text: str) -> bytes:
@@ -71,14 +95,13 @@ class WordIds(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        out = b"".join(map(self.pieces.__getitem__, _SPLIT.findall(word)))
+        out = b"".join(map(self.pieces.__getitem__, self.split.findall(word)))
         if len(self) < _WORDS and len(word) <= 64:
             self[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
-        # "<|" could begin a special token's string, which the library finds in the raw text.
-        if _UNUSUAL.search(text) or "<|" in text:
+        if not self.known or self.whole_only.search(text):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.lower().split()))
 
@@ -147,12 +170,32 @@ class Tournament:
         return at, room
 
 
+def occurrences(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with occ: 0, and 0 to n - 1 for n equal pieces, which need not meet in a task.
+
+    Equal ones are looked for by narrow columns, counted map-side; only they are gathered,
+    as one row with a count, and written out again from it."""
+    own = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    again = stage(pieces.groupBy(*own).agg(F.count("*").alias("n")).where("n > 1").select(*own), "pieces-again")
+    if again.isEmpty():
+        return pieces.withColumn("occ", F.lit(0).cast("long"))
+    again = maybe_broadcast(again, 1_000_000).select(*[F.col(c).alias(f"__{c}") for c in own])
+    same = F.lit(True)
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    once = pieces.join(again, same, "left_anti").withColumn("occ", F.lit(0).cast("long"))
+    many = pieces.join(again, same, "left_semi").groupBy(*pieces.columns).agg(F.count("*").alias("n"))
+    many = many.withColumn("occ", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
+    return once.unionByName(many)
+
+
 def pack(pieces: DataFrame, capacity: int = 2048, *, group_pieces: int = 8192, seed: int = 11) -> DataFrame:
     """Adds sequence_id (group * 2^32 + bin, unique) and offset (gapless from 0).
 
-    Pieces go to groups by a seeded hash of their place in ``pieces``, a written table, so
-    that null and repeated ids spread as others do: about ``group_pieces`` in each. Every
-    group is packed by itself: largest first, ties by doc_id and start, each into the
+    Pieces go to groups by a seeded hash of their document, place and ids, and of the number of the
+    copy among equal pieces, so that neither the files of ``pieces``, a written table, nor null and
+    repeated ids matter: about ``group_pieces`` in each. Every
+    group is packed by itself: largest first, ties by doc_id, start, ids and copy, each into the
     first bin with room. The groups are independent, bounded and re-run alike, so a
     lost executor costs only its groups.
     """
@@ -161,7 +204,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, *, group_pieces: int = 8192, s
     schema = pieces.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id bigint, offset bigint"
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        t = t.sort_by([("length", "descending"), *[(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "occ")]])
         lengths = t["length"].to_pylist()
         tree = Tournament(len(lengths), capacity)
         base = key[0].as_py() << 32
@@ -170,10 +213,11 @@ def pack(pieces: DataFrame, capacity: int = 2048, *, group_pieces: int = 8192, s
             at, room = tree.put(size)
             ids.append(base + at)
             offsets.append(capacity - room)
-        t = t.drop_columns(["grp"])
+        t = t.drop_columns(["grp", "occ"])
         return t.append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).cast("long"))
+    at = F.xxhash64("doc_id", "start", "ids_crc32", "occ", F.lit(seed))
+    grouped = occurrences(pieces).withColumn("grp", F.pmod(at, F.lit(groups)).cast("long"))
     return grouped.groupBy("grp").applyInArrow(run, schema)
 
 

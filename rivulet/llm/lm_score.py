@@ -19,8 +19,8 @@ from rivulet.llm.common import stage, table
 CONTEXT = 3
 #: Most frequent words whose exact counts are broadcast (16 bytes each); the others join by their own key.
 HEAD = 1 << 18
-#: Tokens of one part of the filter, about.
-PART_TOKENS = 1_500_000
+#: Tokens of one part of the filter, about: the lesser, until there are ``PARTS`` of them, then more, up to the greater.
+PART_TOKENS, PARTS = (500_000, 2_000_000), 20_000
 #: Contexts of more tokens are resolved before tokens are dealt; there is one for so many tokens at most.
 HOT = 500_000
 #: One token in so many is looked at for such contexts.
@@ -258,7 +258,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     counts are broadcast. A context's sum is that of the filter's answers for what was seen after it.
     Tokens move once, packed, to their parts, which count, fill their piece of the filter, probe it
     and send their sums by text, packed, to a home that adds them up. The number of
-    parts grows with the corpus, so that one has about PART_TOKENS tokens and ``max_bits`` bits at
+    parts grows with the corpus, so that one has 500,000 to 2,000,000 tokens and ``max_bits`` bits at
     most on average; nothing is left out. Contexts of more than ``hot`` tokens (found in a sample, then counted
     exactly) do not gather in one part: their sums, and pairs as frequent, are broadcast, one for
     each ``hot`` tokens of the corpus at most, and the rest goes to parts by pair.
@@ -293,7 +293,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
         hot_p, hot_q = x[order], pairs["q"].to_numpy()[order]
     known = spark.sparkContext.broadcast((top_h[by_hash], top_c[by_hash], hot_x, hot_mass, hot_p, hot_q))
     # a part has an entry for each training token and each tail word at most; more parts than tasks spread evenly
-    need = -(-n * 7 // (6 * max(1, min(PART_TOKENS, max_bits // (2 * BITS_PER_ENTRY)))))
+    each = min(PART_TOKENS[1], max(PART_TOKENS[0], n // PARTS), max_bits // (2 * BITS_PER_ENTRY))
+    need = -(-n * 7 // (6 * max(1, each)))
     n_parts = max(1, need, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 10_000))
     base = math.log10(n + (v + 1))
     chunk = min(16_000_000, max(2_000_000, 400 * n_parts))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm.common import stage, table
+from rivulet.llm.common import release, stage, table, written
 from rivulet.llm.mixing import mix
 from rivulet.llm.neardup import drop_near_duplicates
 from rivulet.llm.packing import pack_documents
@@ -43,8 +43,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written and read again. What a stage and
+    the ones before it have left in the scratch folder is deleted once its result is written."""
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        release(mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -58,6 +58,23 @@ def apportion(targets: DataFrame, houses: list[int]) -> DataFrame:
     return h.join(won, ["house", "srank"], "left").select("srank", "house", (F.col("low") + F.coalesce("won", F.lit(0))).alias("seats"))
 
 
+#: Copies of one row that may share a key.
+HOT = 20_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` with a key of its own for every copy of a row that is repeated more than ``HOT`` times. Such
+    rows are gathered as one with a count, map-side, and written out again, numbered."""
+    hot = stage(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), "mix-hot")
+    if hot.isEmpty():
+        return rows
+    hot = maybe_broadcast(hot, 200_000)
+    many = rows.join(hot, "key", "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("__n"))
+    many = many.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    many = many.withColumn("key", F.md5(F.concat("key", F.lit("|"), F.col("__i").cast("string")).cast("binary")))
+    return stage(rows.join(hot, "key", "left_anti").unionByName(many.select(*rows.columns)), "mix-spread")
+
+
 def plan_mix(
     docs: DataFrame,
     *,
@@ -77,7 +94,8 @@ def plan_mix(
     Sources by code point, null last, weigh ``weights`` repeating; their targets share
     ``share`` of all words and stop at ``limit`` times their size (:func:`fill`).
 
-    A source's documents, in order of a seeded MD5 of doc_id (ties by doc_id and size),
+    A source's documents, in order of a seeded MD5 of doc_id and the text's MD5, so that rows that
+    share a key are equal but for other columns,
     are one run of words cut in blocks of ``block``; all targets make N blocks, dealt to
     the sources by :func:`apportion`. The awards of shard j are those from house
     N*j/n_shards to N*(j+1)/n_shards, so each shard has integer quotas. Seat t of a
@@ -87,10 +105,13 @@ def plan_mix(
     the row; ``spans`` lists (pass, from, to) in words, ``to`` exclusive.
 
     Running word counts come from sums over (source, first bits of the MD5), so no
-    window holds more than a small part of a hot source. Null texts have no words;
-    empty tables, repeated rows and extra columns are allowed.
+    window holds more than a small part of a hot source; rows without ids spread by their text, and of a row
+    that is repeated more than ``HOT`` times each copy gets an MD5 of its own (:func:`spread`). Null texts have no
+    words; empty tables, repeated rows and extra columns are allowed. All sources, one row
+    each, meet in one task: they are thousands, not millions.
     """
-    key = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    own = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), own).cast("binary"))
     rows = stage(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
@@ -101,6 +122,7 @@ def plan_mix(
         ),
         "mix-rows",
     )
+    rows = spread(rows)
     n = rows.count()
     bits = min(28, max(8, (n // 20_000).bit_length()))
     bucket = F.shiftright(F.conv(F.substring("key", 1, 7), 16, 10).cast("long"), 28 - bits)
@@ -195,7 +217,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS k
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][CAST(r % 3 AS INT) + 1] AS w, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),

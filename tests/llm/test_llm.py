@@ -439,6 +439,55 @@ def test_mixing_against_sql(spark, docs):
     assert mixing.plan_mix(docs.limit(0)).count() == 0
 
 
+def brute_mix(rows, seed="mix-1", block=64):
+    """(doc_id, text) of the mix of (doc_id, source, text) rows with distinct ids: seats one by one, blocks word by word."""
+    parts = {i: re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t or "") for i, _, t in rows}
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(len(parts[i]) for i, x, _ in rows if x == s) for s in names}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    total, stopped = 1.5 * sum(size.values()), set()
+    while True:
+        rest = [s for s in names if s not in stopped]
+        level = (total - sum(2.0 * size[s] for s in stopped)) / max(1, sum(weight[s] for s in rest))
+        more = {s for s in rest if level * weight[s] >= 2.0 * size[s]}
+        if not more:
+            break
+        stopped |= more
+    target = {s: 2.0 * size[s] if s in stopped else level * weight[s] for s in names}
+    seats = dict.fromkeys(names, 0)
+    for _ in range(int(total / block + 0.5)):
+        seats[max((s for s in names if target[s] > 0), key=lambda s: (target[s] / (2 * seats[s] + 1), -names.index(s)))] += 1
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    out = []
+    for s in names:
+        mine = sorted((md5(f"{seed}|{i}|{md5(t or '')}"), i, t) for i, x, t in rows if x == s)
+        blocks = max(1, -(-size[s] // block))
+        shift = int(md5(f"{seed}/{s or ''}")[:15], 16) % blocks
+        quota, place = min(seats[s], 2 * blocks), 0
+        for _, i, t in mine:
+            n = len(parts[i])
+            for k in range(2):
+                took = [(t_ + shift) % blocks for t_ in range(k * blocks, min(quota, (k + 1) * blocks))]
+                # the run up to the end of the source, and what wraps round to its start
+                for run in ({b for b in took if b >= shift}, {b for b in took if b < shift}):
+                    words = [j for j in range(n) if (place + j) // block in run]
+                    if words:
+                        out.append((i, t if len(words) == n else "".join(parts[i][words[0] : words[-1] + 1])))
+            place += n
+    return out
+
+
+def test_mixing_spreads_copies_of_one_row(spark, monkeypatch):
+    """Rows without ids and rows repeated very often: all are there, none is taken more than twice, reruns agree."""
+    monkeypatch.setattr(mixing, "HOT", 50)
+    rows = [(None, f"text {i} of a row without an id", "s") for i in range(300)] + [(7, "the same row " * 5, "s")] * 400 + [(8, "other", None)] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (sorted(map(repr, mixing.plan_mix(d).collect())) for d in (df.repartition(3), df.repartition(5)))
+    assert a == b and len(a) == len(rows)
+    plan = mixing.plan_mix(df).collect()
+    assert all(r.taken <= 2 * r["size"] for r in plan) and abs(sum(r.taken for r in plan) - 1.5 * sum(r["size"] for r in plan)) <= 128
+
+
 def test_apportionment(spark):
     rng = np.random.default_rng(6)
     t = [float(x) for x in rng.integers(0, 10_000, 9)] + [0.0]
@@ -672,15 +721,40 @@ def test_packing_spreads_rows_without_ids(spark):
 
 
 def test_pipeline(spark):
+    """run() against all four stages by brute force: the same pieces, and sequences as first-fit decreasing packs each group."""
+    from tokenizers import Tokenizer
+
     pipeline = pytest.importorskip("corpus_pipeline")
-    out = pipeline.run(spark, DIR).toPandas()
-    docs = spark.read.parquet(f"{DIR}/documents.parquet").toPandas()
-    good = {r.doc_id: r.text for r in docs.itertuples() if not text_stats(r.text)[-1]}
-    keep = {i for i, root in shingle_components(good).items() if i == root}
-    assert set(out.doc_id) <= keep
-    for _, g in out.groupby("sequence_id"):
-        g = g.sort_values("offset")
-        assert (g.offset == g.length.cumsum() - g.length).all() and g.length.sum() <= 2048
+    sf = "/root/testdata/sf0.01"
+    marks = common.written()
+    out = pipeline.run(spark, sf).toPandas()
+    assert len(common._WRITTEN) - marks < 12  # earlier stages have left nothing but what the last reads
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    passed = {x[0] for x in con.execute(f"SELECT doc_id FROM ({quality.oracle()}) WHERE kept").fetchall()}
+    docs = {r[0]: r[1:] for r in con.execute("SELECT doc_id, source, text FROM documents").fetchall()}
+    assert any(not text_stats(t)[-1] for i, (_, t) in docs.items() if i not in passed)  # certified cutoffs reject some
+    alone = {i for i, root in shingle_components({i: docs[i][1] for i in sorted(passed)}).items() if i == root}
+    mixed = brute_mix([(i, *docs[i]) for i in sorted(alone)])
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for i, t in mixed:
+        ids = [*tk.encode(t, add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 2048):
+            part = struct.pack(f"<{len(ids[k : k + 2048])}I", *ids[k : k + 2048])
+            want[i, k, len(part) // 4, zlib.crc32(part), len(ids), part] += 1
+    got = Counter((int(r.doc_id), int(r.start), int(r.length), int(r.ids_crc32), int(r.doc_tokens), bytes(r.ids)) for r in out.itertuples())
+    assert got == want
+    for g, rows in out.groupby(out.sequence_id // 2**32):
+        room, packed = [], Counter()
+        for n in sorted(rows.length, reverse=True):
+            at = next((k for k, x in enumerate(room) if x >= n), len(room))
+            if at == len(room):
+                room.append(2048)
+            packed[at, 2048 - room[at], n] += 1
+            room[at] -= n
+        assert packed == Counter((int(r.sequence_id) - (int(g) << 32), int(r.offset), int(r.length)) for r in rows.itertuples())
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "near_duplicates", "source_mix", "packing"]
 
 

@@ -83,6 +83,24 @@ def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df.hint("merge")
 
 
+#: Keys that more than one row in so many has are broadcast by :func:`join_spread`.
+HOT_SHARE = 10_000
+
+
+def join_spread(rows: DataFrame, other: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
+    """Inner join of ``rows`` with ``other``, which has narrow rows and one for a key at most.
+
+    Keys held by more than one row in ``share`` (that many at most, whatever the input) are broadcast with
+    their row, so no task gets all rows of one; the others join by shuffle. Both should be staged.
+    """
+    fields = [c for c in other.columns if c != key]
+    often = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > F.greatest(F.lit(rows.count() / share), F.lit(1.0)))
+    hot = stage(other.join(often.select(key), key, "left_semi"), "hot-keys")
+    marked = rows.join(F.broadcast(hot.select(key, F.struct(*fields).alias("__hot"))), key, "left")
+    rest = marked.where("__hot IS NULL").drop("__hot").join(other, key)
+    return marked.where("__hot IS NOT NULL").select(*rows.columns, "__hot.*").unionByName(rest.select(*rows.columns, *fields))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star.
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import connected_components, stage, table
+from rivulet.llm.common import connected_components, join_spread, stage, table
 
 COSINE = 0.95
 #: Rows that the rotations are learnt from, those of the smallest id hashes.
@@ -188,14 +188,9 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, *, id_col: str = "vec_
     comp = connected_components(part.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     total = part.groupBy("rep").agg(F.sum("links").alias("links"))
     named = classes.join(total, "rep", "left").join(comp, F.col("rep") == F.col("id"), "left")
-    named = named.select("v", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = named.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     named = stage(named, "ve-named")
-    # vectors of more than one row in HOT_SHARE (so that many at most) are broadcast: no task gets all copies of one
-    often = F.col("copies") > F.greatest(F.lit(classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] / HOT_SHARE), F.lit(1.0))
-    hot = F.broadcast(named.where(often).select("v", F.struct("n_links", "component_id").alias("hot")))
-    marked = src.where(fit).join(hot, "v", "left")
-    rest = marked.where("hot IS NULL").join(named.where(~often), "v").select("vec_id", "n_links", "component_id")
-    member = marked.where("hot IS NOT NULL").select("vec_id", "hot.*").unionByName(rest)
+    member = join_spread(src.where(fit), named, "v", HOT_SHARE).drop("v")
     alone = src.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return member.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

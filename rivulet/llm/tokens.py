@@ -11,11 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import stage, table
+from rivulet.llm.common import join_spread, stage, table
 from rivulet.session import scratch_root
 
-#: Digests of more than one row in so many are broadcast with their counts (40 bytes each).
-HOT_SHARE = 10_000
 CACHE = "tokenizer string, digest binary, n_tokens long"
 _MODELS: dict[str, object] = {}
 
@@ -76,7 +74,7 @@ def count_tokens(
     cache on the digest, and only what is left is encoded; the counts are appended
     as files under a new name, so a failed or repeated run leaves no half entry. The
     rows then join their counts on the digest alone, without texts; digests of more than
-    one row in ``HOT_SHARE`` (so that many at most) are broadcast, so no task gets all copies of one.
+    one row in 10,000 (so that many at most) are broadcast, so no task gets all copies of one.
 
     Null and empty texts count as the empty text; a text is encoded whole; equal
     texts, repeated rows, empty tables and extra columns need nothing special.
@@ -103,11 +101,7 @@ def count_tokens(
     misses.mapInArrow(run, CACHE).write.parquet(f"{cache}/add-{uuid.uuid4().hex}")
     found = read_cache(spark, cache, tokenizer)
     rows = stage(keyed.select("doc_id", "n_bytes", "digest"), "token-rows")
-    often = rows.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > F.greatest(F.lit(rows.count() / HOT_SHARE), F.lit(1.0)))
-    hot = F.broadcast(stage(often.join(found, "digest").select("digest", F.col("n_tokens").alias("hot")), "token-hot"))
-    marked = rows.join(hot, "digest", "left")
-    rest = marked.where("hot IS NULL").drop("hot").join(found, "digest")
-    out = marked.where("hot IS NOT NULL").withColumnRenamed("hot", "n_tokens").unionByName(rest)
+    out = join_spread(rows, found, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import connected_components, maybe_broadcast, stage, table, whole_row, words_of
+from rivulet.llm.common import connected_components, join_spread, maybe_broadcast, stage, table, whole_row, words_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -188,8 +188,9 @@ def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     the bound by a join."""
     ids = stage(ids.distinct(), "nd-ids")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    digest = F.md5(F.array_join(words_of(F.col("text")), " ").cast("binary"))  # as in signatures()
-    found = src.join(maybe_broadcast(ids, BROADCAST_IDS), "id", "left_semi").where(F.size(words_of(F.col("text"))) > 0)
+    words = words_of(F.col("text"))
+    digest = F.when(F.size(words) > 0, F.md5(F.array_join(words, " ").cast("binary")))  # as in signatures(); null is passed over
+    found = src.join(maybe_broadcast(ids, BROADCAST_IDS), "id", "left_semi")
     return stage(found.groupBy("id").agg(F.min_by("text", digest).alias("text")), "nd-texts")
 
 

@@ -242,6 +242,18 @@ def test_near_duplicates(spark, docs, texts):
     assert neardup.near_duplicates(twice.unionByName(twice)).count() == 6
 
 
+def test_several_texts_under_one_id(spark):
+    """Of the texts of an id that of the smallest digest of its words is compared; blank ones never stand for it."""
+    rng = np.random.default_rng(2)
+    a, b, c = (" ".join(f"v{int(x)}" for x in rng.integers(0, 10**6, 120)) for _ in range(3))
+    near = lambda t: t.replace(t.split()[60], "other")
+    low, high = sorted((a, b), key=lambda t: hashlib.md5(t.encode()).digest())
+    rows = [(1, high), (1, low), (1, " "), (1, None), (2, near(low)), (3, near(high)), (4, c), (5, c + " \n"), (6, None), (6, ""), (7, high)]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows[::-1], "doc_id long, text string")):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()}
+        assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 1}
+
+
 def test_a_large_family_of_near_copies(spark):
     """Copies with more and more edits: most pairs are under the threshold, chains join them."""
     rng = np.random.default_rng(5)

@@ -32,16 +32,18 @@ def get(v: Column, dotted: str, kind: str = "variant") -> Column:
 
 
 def get_fold(v: Column, dotted: str) -> Column:
-    """As :func:`get`, each segment falling back to a key equal but for case (the smallest such)."""
-    for name in dotted.split("."):
-        v = _step_fold(v, name)
-    return v
+    """As :func:`get`, each segment falling back to a key equal but for case (the smallest such).
 
+    A fold over the segments, so the expression does not grow with the path."""
 
-def _step_fold(v: Column, name: str) -> Column:
-    members = F.try_variant_get(v, "$", "map<string,variant>")
-    fold = F.array_min(F.filter(F.map_keys(members), lambda k: F.lower(k) == name.lower()))
-    return F.when(F.map_contains_key(members, F.lit(name)), F.try_element_at(members, F.lit(name))).otherwise(F.try_element_at(members, fold))
+    def step_fold(at: Column, name: Column) -> Column:
+        def pick(members: Column) -> Column:
+            fold = F.array_min(F.filter(F.map_keys(members), lambda k: F.lower(k) == F.lower(name)))
+            return F.try_element_at(members, F.when(F.map_contains_key(members, name), name).otherwise(fold))
+
+        return let(F.try_variant_get(at, "$", "map<string,variant>"), pick)
+
+    return F.aggregate(F.array(*[F.lit(n) for n in dotted.split(".")]), v, step_fold)
 
 
 def kind_of(v: Column) -> Column:

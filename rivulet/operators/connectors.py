@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -42,33 +43,40 @@ TOPIC_SETTINGS = {
     "any": (
         "cleanup.policy", "compression.type", "message.timestamp.type", "message.format.version", "message.timestamp.difference.max.ms", "message.downconversion.enable",
         "follower.replication.throttled.replicas", "leader.replication.throttled.replicas", "remote.storage.enable", "local.retention.ms", "local.retention.bytes",
-        "iceberg.enabled", "iceberg.catalog", "iceberg.table",
+        "iceberg.enabled", "iceberg.catalog", "iceberg.table", "confluent.value.schema.validation",
     ),
 }
 
 
-def topic_config_error(config: dict[str, str | None]) -> str | None:
-    """First unknown name or bad value; None if all are good."""
+def topic_config_error(config: dict[str, str | None], own_prefix: str = "rivulet.") -> str | None:
+    """First unknown name or bad value; None if all are good. Names under the broker's ``own_prefix`` are let
+    through. Whole numbers are an optional sign and
+    ASCII digits, within 64 or 32 bits; ratios lie between 0 and 1."""
     kinds = {k: kind for kind, names in TOPIC_SETTINGS.items() for k in names}
 
     def good(kind: str, v: str) -> bool:
-        try:
-            if kind == "ratio":
-                return 0.0 <= float(v) <= 1.0
-            if kind in ("long", "int"):
-                return abs(int(v)) < 1 << (63 if kind == "long" else 31)
-        except ValueError:
-            return False
+        if kind in ("long", "int"):
+            top = 1 << (63 if kind == "long" else 31)
+            return bool(re.fullmatch(r"[+-]?[0-9]+", v)) and -top <= int(v) < top
+        if kind == "ratio":
+            return bool(re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", v)) and 0.0 <= float(v) <= 1.0
         return kind != "boolean" or v in ("true", "false")
 
     for k, v in config.items():
-        if k not in kinds:
+        if k not in kinds and not k.startswith(own_prefix):
             return f"Unknown topic config name: {k}"
-        if v is not None and not good(kinds[k], v):
+        if v is not None and not good(kinds.get(k, "any"), v):
             return f"Invalid value {v} for configuration {k}"
     return None
 
 
+@dataclass
+class Task:
+    id: int
+    state: str = "RUNNING"
+    trace: str = ""
+
+
 @dataclass
 class Connector:
     name: str
@@ -76,15 +84,12 @@ class Connector:
     config: dict[str, str]
     state: str = "RUNNING"
     topics: set[str] = field(default_factory=set)
-    restarts: int = 0
-
-    @property
-    def tasks(self) -> list[dict]:
-        return [{"id": i, "state": self.state} for i in range(int(self.config.get("tasks.max") or 1))]
+    tasks: list[Task] = field(default_factory=list)
+    error: str = ""
 
 
 class Connectors:
-    """register, list, status, pause, resume, stop, restart, delete."""
+    """register, list, status, pause, resume, stop, fail, restart (of a connector, its tasks or one), delete."""
 
     def __init__(self) -> None:
         self._by: dict[str, Connector] = {}
@@ -95,7 +100,8 @@ class Connectors:
         wrong = [e for es in validate(plugin, {"name": name, "connector.class": plugin} | config).values() for e in es]
         if wrong:
             raise ValueError("; ".join(wrong))
-        self._by[name] = Connector(name, plugin, config, topics={t.strip() for t in config.get("topics", config.get("topic", "")).split(",") if t.strip()})
+        topics = {t.strip() for t in config.get("topics", config.get("topic", "")).split(",") if t.strip()}
+        self._by[name] = Connector(name, plugin, config, topics=topics, tasks=[Task(i) for i in range(int(config.get("tasks.max") or 1))])
         return self._by[name]
 
     def list(self) -> list[str]:
@@ -104,24 +110,55 @@ class Connectors:
     def status(self, name: str) -> Connector:
         return self._by[name]
 
+    def _set(self, name: str, state: str) -> None:
+        c = self._by[name]
+        c.state = state
+        for t in c.tasks:
+            t.state = state
+
     def pause(self, name: str) -> None:
-        self._by[name].state = "PAUSED"
+        self._set(name, "PAUSED")
 
     def resume(self, name: str) -> None:
-        self._by[name].state = "RUNNING"
+        self._set(name, "RUNNING")
 
     def stop(self, name: str) -> None:
-        self._by[name].state = "STOPPED"
-
-    def restart(self, name: str) -> None:
-        self._by[name].state = "RUNNING"
-        self._by[name].restarts += 1
+        self._set(name, "STOPPED")
+
+    def fail(self, name: str, error: str, task: int | None = None) -> None:
+        c = self._by[name]
+        if task is None:
+            c.state, c.error = "FAILED", error
+        else:
+            c.tasks[task].state, c.tasks[task].trace = "FAILED", error
+
+    def restart(self, name: str, *, include_tasks: bool = False, only_failed: bool = False) -> None:
+        """The connector, with its tasks if asked; ``only_failed`` leaves alone whatever has not failed."""
+        c = self._by[name]
+        if not only_failed or c.state == "FAILED":
+            c.state, c.error = "RUNNING", ""
+        for t in c.tasks if include_tasks else ():
+            if not only_failed or t.state == "FAILED":
+                t.state, t.trace = "RUNNING", ""
+
+    def restart_task(self, name: str, task: int) -> None:
+        c = self._by[name]
+        if not 0 <= task < len(c.tasks):
+            raise KeyError(f"connector {name!r} has no task {task}")
+        c.tasks[task].state, c.tasks[task].trace = "RUNNING", ""
 
     def delete(self, name: str) -> None:
         del self._by[name]
 
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        """What a registered source reads: its ``format`` (of :data:`FORMATS`) at its ``path``."""
+        c = self._by[name]
+        if c.state != "RUNNING":
+            raise ValueError(f"connector {name!r} is {c.state}")
+        return FORMATS[c.config["format"]](spark, c.config["path"])
+
 
-#: Sources and sinks by URI scheme that Spark reaches itself; others need their jar on the class path.
+#: Formats that Spark reads itself, from any file system it reaches; others need their jar on the class path.
 FORMATS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parquet": lambda s, p: s.read.parquet(p),
     "json": lambda s, p: s.read.json(p),

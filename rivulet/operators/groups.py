@@ -120,8 +120,11 @@ def choose_replica(replicas: DataFrame, reads: DataFrame) -> DataFrame:
     return j.withColumn("rank", rank).where("rank IS NOT NULL").groupBy("read_id").agg(best.alias("broker_id"))
 
 
-def elect(replicas: DataFrame) -> DataFrame:
-    """New leader: furthest live in-sync replica, else furthest live one, ties to the lowest id, else 0."""
+def elect(replicas: DataFrame, exclude: int | None = None) -> DataFrame:
+    """New leader: furthest live in-sync replica, else furthest live one, ties to the lowest id, else 0;
+    never the broker ``exclude``, which is on its way out."""
+    if exclude is not None:
+        replicas = replicas.withColumn("alive", F.col("alive") & (F.col("broker_id") != exclude))
     rank = F.when(F.col("alive") & F.col("in_sync"), 0).when(F.col("alive"), 1)
     best = F.min_by(F.when(F.col("rank").isNotNull(), F.col("broker_id")), F.struct(F.coalesce("rank", F.lit(2)), -F.col("end_offset"), "broker_id"))
     return replicas.withColumn("rank", rank).groupBy("topic", "partition").agg(F.coalesce(best, F.lit(0)).alias("leader"))

@@ -30,9 +30,10 @@ def snapshot(table_log: DataFrame, key_field: str | None = None) -> DataFrame:
 
 
 def as_json(value: Column) -> Column:
-    """JSON text as it is; anything else as a JSON string."""
+    """JSON text as it is; anything else as a JSON string; null for null."""
     text = value.cast("string")
-    return F.when(F.try_parse_json(text).isNull(), F.to_json(F.array(text))).otherwise(text)
+    quoted = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.when(F.try_parse_json(text).isNotNull(), text).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2)))
 
 
 def join_latest(stream: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:

@@ -21,7 +21,7 @@ def _closed(segmented: DataFrame) -> DataFrame:
     a key with very many records is combined map-side and its join can be split.
     """
     last = segmented.groupBy("topic", "partition").agg(F.max("segment_id").alias("active"))
-    rows = segmented.join(F.broadcast(last), ["topic", "partition"]).withColumn("closed", F.col("segment_id") < F.col("active")).drop("active")
+    rows = segmented.join(last, ["topic", "partition"]).withColumn("closed", F.col("segment_id") < F.col("active")).drop("active")
     latest = rows.where("closed AND key IS NOT NULL AND NOT is_control").groupBy("topic", "partition", "key").agg(F.max("offset").alias("latest"))
     return rows.join(latest, ["topic", "partition", "key"], "left")
 
@@ -57,53 +57,51 @@ def needs_compaction(ratios: DataFrame, threshold: float = 0.5) -> DataFrame:
 def dedup(log: DataFrame) -> DataFrame:
     """Adds status accepted, duplicate, gap or fenced for idempotent producers, by arrival.
 
-    For producers whose sequences arrive in order but for repeats: a sequence seen before
-    is a duplicate, one that does not continue the run from 0 is a gap, as is all after
-    it in its epoch; a record of an older epoch is fenced. :func:`dedup_fold` takes any order.
+    A record is accepted if it continues the run of its producer's epoch (or begins a new, higher
+    epoch at 0); a sequence accepted before is a duplicate, a later one a gap until what is missing
+    arrives, and a record of an older epoch is fenced. Producers whose sequences arrive in order but for
+    repeats, nearly all, are decided by windows; those with any gap go to :func:`dedup_fold`, without payloads.
     """
     who = ["topic", "partition", "producer_id"]
     by = Window.partitionBy(*who).orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
     epoch = Window.partitionBy(*who, "producer_epoch").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.max("sequence").over(epoch), F.lit(-1))
-    rows = log.withColumn("__top", F.max("producer_epoch").over(by)).withColumn("__seen", seen)
-    jump = F.when(F.col("sequence") > F.col("__seen") + 1, 1).otherwise(0)
-    rows = rows.withColumn("__jump", jump)
-    broken = F.max("__jump").over(epoch.rowsBetween(Window.unboundedPreceding, 0))
-    status = (
-        F.when(F.col("producer_epoch") < F.col("__top"), "fenced")
-        .when(broken == 1, "gap")
-        .when(F.col("sequence") <= F.col("__seen"), "duplicate")
-        .otherwise("accepted")
-    )
-    return rows.withColumn("status", status).drop("__top", "__seen", "__jump")
+    slim = log.select(*who, "producer_epoch", "sequence", "arrival_seq").withColumn("__top", F.max("producer_epoch").over(by))
+    slim = slim.withColumn("__seen", F.coalesce(F.max("sequence").over(epoch), F.lit(-1)))
+    jump = (F.col("sequence") > F.col("__seen") + 1) & (F.col("producer_epoch") == F.col("__top"))
+    slim = slim.withColumn("__jump", F.max(jump.cast("int")).over(Window.partitionBy(*who)) == 1)
+    status = F.when(F.col("producer_epoch") < F.col("__top"), "fenced").when(F.col("sequence") <= F.col("__seen"), "duplicate").otherwise("accepted")
+    plain = slim.where("NOT __jump").select(*who, "arrival_seq", status.alias("status"))
+    decided = plain.unionByName(dedup_fold(slim.where("__jump")).select(*who, "arrival_seq", "status"))
+    return log.join(decided, [*who, "arrival_seq"]).select(*log.columns, "status")
 
 
 def dedup_fold(log: DataFrame) -> DataFrame:
     """(topic, partition, producer_id, arrival_seq, status) for any order of arrival: a fold per
-    producer, after a gap accepting again once the missing sequence arrives."""
+    producer, after a gap accepting again once the missing sequence arrives. With a record_count
+    column a row is a batch of so many sequences from its own on."""
     schema = "topic string, partition int, producer_id long, arrival_seq long, status string"
 
     def run(pdf):
         pdf = pdf.sort_values("arrival_seq")
         epoch, last, out = None, -1, []
-        for e, s in zip(pdf.producer_epoch, pdf.sequence, strict=True):
+        for e, s, n in zip(pdf.producer_epoch, pdf.sequence, pdf.record_count, strict=True):
+            n = max(1, n)
             if epoch is not None and e < epoch:
                 out.append("fenced")
             elif epoch is None or e > epoch:
+                out.append("accepted" if s == 0 else "gap")
                 if s == 0:
-                    epoch, last = e, 0
-                    out.append("accepted")
-                else:
-                    out.append("gap")
+                    epoch, last = e, n - 1
             elif s == last + 1:
-                last = s
+                last = s + n - 1
                 out.append("accepted")
             else:
                 out.append("duplicate" if s <= last else "gap")
         return pdf.assign(status=out)[["topic", "partition", "producer_id", "arrival_seq", "status"]]
 
-    cols = ["topic", "partition", "producer_id", "producer_epoch", "sequence", "arrival_seq"]
-    return log.select(*cols).groupBy("topic", "partition", "producer_id").applyInPandas(run, schema)
+    count = F.col("record_count").cast("int") if "record_count" in log.columns else F.lit(1)
+    rows = log.select("topic", "partition", "producer_id", "producer_epoch", "sequence", "arrival_seq", F.coalesce(count, F.lit(1)).alias("record_count"))
+    return rows.groupBy("topic", "partition", "producer_id").applyInPandas(run, schema)
 
 
 def split_batches(batches: DataFrame) -> DataFrame:
@@ -124,19 +122,26 @@ def aborted_ranges(transactions: DataFrame, from_offset: int, to_offset: int) ->
     return transactions.where((F.col("state") == "aborted") & (F.col("first_offset") < to_offset) & (F.col("last_offset") > from_offset))
 
 
+#: Offsets that share a join key in :func:`read_committed`.
+BLOCK = 1024
+
+
 def read_committed(log: DataFrame, transactions: DataFrame, ends: DataFrame) -> DataFrame:
     """Visible rows: below the last stable offset, no control record, not aborted.
 
-    Rows carry their last transaction's start forward in a run per producer, so the range
-    test is one union and window instead of a range join.
+    Aborted ranges are cut into blocks of offsets, so the range test is an anti-join on equal
+    keys: no rows are sorted, and no producer, however busy, meets in a task.
     """
-    lso = last_stable_offset(ends, transactions).select("topic", "partition", "lso")
-    rows = log.join(F.broadcast(lso), ["topic", "partition"]).where("offset < lso AND NOT is_control").drop("lso")
-    gone = transactions.where("state = 'aborted'").select("topic", "partition", "producer_id", F.col("first_offset").alias("offset"), F.lit(0).alias("side"), "last_offset")
-    tagged = rows.withColumn("side", F.lit(1)).withColumn("last_offset", F.lit(None).cast("long"))
-    w = Window.partitionBy("topic", "partition", "producer_id").orderBy("offset", "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = tagged.unionByName(gone, allowMissingColumns=True).withColumn("end", F.last("last_offset", ignorenulls=True).over(w))
-    return both.where("side = 1 AND (end IS NULL OR offset >= end)").select(*log.columns)
+    p = ["topic", "partition"]
+    lso = last_stable_offset(ends, transactions).select(*p, "lso")
+    rows = log.join(lso, p).where("offset < lso AND NOT is_control").drop("lso").withColumn("__block", F.floor(F.col("offset") / BLOCK))
+    gone = transactions.where("state = 'aborted' AND last_offset > first_offset")
+    blocks = F.sequence(F.floor(F.col("first_offset") / BLOCK), F.floor((F.col("last_offset") - 1) / BLOCK))
+    gone = gone.select(*[F.col(c).alias(f"__{c}") for c in (*p, "producer_id", "first_offset", "last_offset")], F.explode(blocks).alias("__b"))
+    same = (F.col("__block") == F.col("__b")) & (F.col("offset") >= F.col("__first_offset")) & (F.col("offset") < F.col("__last_offset"))
+    for c in (*p, "producer_id"):
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    return rows.join(gone, same, "left_anti").select(*log.columns)
 
 
 def high_watermark(replicas: DataFrame, max_lag: int) -> DataFrame:

@@ -24,13 +24,14 @@ class SharePartition:
     due: float = float("inf")  # no lock ends before
     records: dict[int, list] = field(default_factory=dict)  # offset -> [state, deliveries, member, deadline, reason]
 
-    def acquire(self, member: str, now: int, high: int, limit: int, skipped: frozenset[int] = frozenset()) -> list[int]:
-        """Available records first, then new ones below ``high``; skipped offsets are archived."""
-        got = []
+    def acquire(self, member: str, now: int, high: int, limit: int, skipped: frozenset[int] = frozenset(), sizes: dict[int, int] | None = None, max_bytes: float = float("inf")) -> list[int]:
+        """Available records first, then new ones below ``high``, until ``limit`` records or ``max_bytes`` bytes (one
+        record at least); skipped offsets are archived without being delivered."""
+        got, used = [], 0
         self.due = min(self.due, now + self.lock_ms)
         room = min(limit, self.max_in_flight - sum(r[0] == "acquired" for r in self.records.values()))
         offsets = sorted(o for o, r in self.records.items() if r[0] == "available")
-        while len(got) < room:
+        while len(got) < room and not (got and used >= max_bytes):
             if offsets:
                 o = offsets.pop(0)
             elif self.end < high:
@@ -42,7 +43,9 @@ class SharePartition:
                 break
             n = self.records.get(o, [None, 0])[1] + 1
             self.records[o] = ["acquired", n, member, now + self.lock_ms, None]
+            used += sizes.get(o, 0) if sizes else 0
             got.append(o)
+        self.trim()
         return got
 
     def acknowledge(self, member: str, first: int, last: int, kind: int, now: int) -> bool:
@@ -81,24 +84,46 @@ class SharePartition:
             self.start += 1
 
 
-def replay(events: DataFrame, max_attempts: int = 5, lock_ms: int = 30_000) -> DataFrame:
+def undeliverable(log: DataFrame, transactions: DataFrame | None = None) -> DataFrame:
+    """(topic, partition, offset) that a share group must not deliver: control records and, for readers of
+    committed data, records of aborted ``transactions``."""
+    out = log.where("is_control").select("topic", "partition", "offset")
+    if transactions is not None:
+        gone = transactions.where("state = 'aborted'").select("topic", "partition", "producer_id", F.explode(F.sequence("first_offset", F.col("last_offset") - 1)).alias("offset"))
+        out = out.unionByName(log.where("is_transactional AND NOT is_control").join(gone, ["topic", "partition", "producer_id", "offset"], "left_semi").select("topic", "partition", "offset"))
+    return out
+
+
+def replay(events: DataFrame, max_attempts: int = 5, lock_ms: int = 30_000, *, max_in_flight: int = 2000, skipped: DataFrame | None = None, sizes: DataFrame | None = None, max_bytes: float = float("inf")) -> DataFrame:
     """Final record states of every (group_id, topic, partition) from its events in order.
 
     events: group_id, topic, partition, seq, now_ms, kind (acquire, ack, tick), member,
-    first, last (for acquire: high watermark and most records), ack_type. A share
+    first, last (for acquire: the bound, which is the high watermark or for readers of committed data the last
+    stable offset, and most records), ack_type. skipped: (topic, partition, offset) that are archived without
+    delivery (:func:`undeliverable`, and offsets that the log no longer has). sizes: (topic, partition, offset,
+    bytes), against which an acquire's ``max_bytes`` is counted. A share
     partition is one fold, as each event depends on the ones before.
     """
     schema = "group_id string, topic string, partition int, offset long, state string, delivery_count int, reason string, start_offset long, end_offset long"
+    cols = ["group_id", "topic", "partition", "seq", "now_ms", "kind", "member", "first", "last", "ack_type"]
+    each = events.select("group_id", "topic", "partition").distinct()
+    for more, kind, value in ((skipped, "skip", F.lit(0).cast("long")), (sizes, "size", F.col("bytes").cast("long") if sizes is not None else None)):
+        if more is not None:
+            rows = more.join(each, ["topic", "partition"]).select("group_id", "topic", "partition", F.lit(-1).cast("long").alias("seq"), F.lit(0).cast("long").alias("now_ms"), F.lit(kind).alias("kind"), F.lit("").alias("member"), F.col("offset").alias("first"), value.alias("last"), F.lit(0).alias("ack_type"))
+            events = events.select(*cols).unionByName(rows)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = SharePartition(max_attempts, lock_ms)
-        for e in pdf.sort_values("seq").itertuples():
+        s = SharePartition(max_attempts, lock_ms, max_in_flight)
+        skip = frozenset(pdf["first"][pdf.kind == "skip"].astype(int))
+        given = pdf[pdf.kind == "size"]
+        bytes_ = dict(zip(given["first"].astype(int), given["last"].astype(int), strict=True))
+        head = tuple(pdf[["group_id", "topic", "partition"]].iloc[0])
+        for e in pdf[~pdf.kind.isin(["skip", "size"])].sort_values("seq").itertuples():
             s.expire(e.now_ms)
             if e.kind == "acquire":
-                s.acquire(e.member, e.now_ms, int(e.first), int(e.last))
+                s.acquire(e.member, e.now_ms, int(e.first), int(e.last), skip, bytes_, max_bytes)
             elif e.kind == "ack":
                 s.acknowledge(e.member, int(e.first), int(e.last), int(e.ack_type), e.now_ms)
-        head = tuple(pdf[["group_id", "topic", "partition"]].iloc[0])
         rows = [(*head, o, r[0], r[1], r[4], s.start, s.end) for o, r in sorted(s.records.items())]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 

@@ -18,7 +18,8 @@ def rates(usage: DataFrame) -> DataFrame:
 
 
 def throttle_ms(rate: Column, quota: Column, window_s: Column) -> Column:
-    over = F.ceil(F.try_divide(rate - quota, quota) * window_s * 1000)
+    """Milliseconds until the rate is down to the quota, rounded up (but for the noise of division)."""
+    over = F.ceil(F.round(F.try_divide(rate - quota, quota) * window_s * 1000, 3))
     return F.when(quota <= 0, MAX_THROTTLE_MS).when(rate <= quota, 0).otherwise(F.least(over, F.lit(MAX_THROTTLE_MS))).cast("int")
 
 

@@ -88,35 +88,79 @@ class JsonMap:
         )
 
     def __call__(self, value: Column) -> Column:
-        m = members(value)
         stamp = {"_transformed_at": self.now, "_engine": self.engine} if self.now else {}
-        for k, v in (stamp | self.add | self.set).items():
-            m = put(m, k, text_variant(F.lit(v)))
-        for old, new in self.rename:
-            moved = put(without(m, old), new, F.try_element_at(m, F.lit(old)))
-            m = F.when(F.map_contains_key(m, F.lit(old)), moved).otherwise(m)
+        m = members(value)
+        if put_ := stamp | self.add | self.set:
+            made = F.create_map(*[x for k, v in put_.items() for x in (F.lit(k), text_variant(F.lit(v)))])
+            m = F.map_concat(F.map_filter(m, lambda k, _: ~k.isin(*put_)), made)
+        if self.rename:
+            # a fold over the renames: the map is one variable, however many there are
+            m = F.aggregate(F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in self.rename]), m, renamed)
         if self.remove:
             m = F.map_filter(m, lambda k, _: ~k.isin(*self.remove))
         return render(m)
 
 
-def without(m: Column, key: str) -> Column:
-    return F.map_filter(m, lambda k, _: k != key)
+def renamed(m: Column, r: Column) -> Column:
+    """``m`` with key r.old, if there, moved over r.new."""
+    rest = F.map_filter(m, lambda k, _: (k != r["old"]) & (k != r["new"]))
+    moved = F.map_concat(rest, F.map_from_arrays(F.array(r["new"]), F.array(F.try_element_at(m, r["old"]))))
+    return F.when(F.map_contains_key(m, r["old"]), moved).otherwise(m)
+
+
+def uppercased(m: Column) -> Column:
+    """Keys in upper case; of two that become equal the last in key order stays."""
+    sorted_ = F.array_sort(F.map_entries(m), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))
+    groups = J.let(sorted_, lambda e: F.map_from_arrays(F.transform(e, lambda x: x["key"]), F.transform(e, lambda x: F.upper(x["key"]))))
 
+    def last(up: Column) -> Column:
+        """Whether no later key has the same upper case."""
+        return F.map_filter(m, lambda k, _: ~F.exists(F.map_keys(up), lambda o: (o > k) & (F.try_element_at(up, o) == F.upper(k))))
 
-def put(m: Column, key: str, value: Column) -> Column:
-    return F.map_concat(without(m, key), F.create_map(F.lit(key), value))
+    return F.transform_keys(J.let(groups, last), lambda k, _: F.upper(k))
 
 
 def uppercase_keys(value: Column) -> Column:
-    """Top-level keys in upper case; of two that become equal the last in key order stays."""
-    entries = F.map_entries(members(value))
-    last = F.aggregate(
-        F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)),
-        F.lit(None).cast("map<string,variant>"),
-        lambda acc, e: F.map_concat(F.coalesce(F.map_filter(acc, lambda k, _: k != F.upper(e["key"])), F.map_from_arrays(F.array().cast("array<string>"), F.slice(F.array(e["value"]), 1, 0))), F.map_from_arrays(F.array(F.upper(e["key"])), F.array(e["value"]))),
-    )
-    return render(last)
+    """Top-level keys in upper case."""
+    return render(uppercased(members(value)))
+
+
+#: Report of the user-function slot (fixed values).
+EXECUTION = '{"runtime":"wazero-wasm32-wasi","status":"COMPLETED","gas_used":318,"execution_us":48,"source_module":%s}'
+
+
+def run_module(value: Column, module: str, action: str = "") -> Column:
+    """The user-function slot without a function: an object's keys in upper case if ``action`` is
+    uppercase_keys, and a report of the run; anything else as text after a comment line."""
+    report = F.parse_json(F.lit(EXECUTION % json.dumps(module)))
+    m = members(value)
+    m = uppercased(m) if action == "uppercase_keys" else m
+    made = render(F.map_concat(F.map_filter(m, lambda k, _: k != "_wasm_execution"), F.create_map(F.lit("_wasm_execution"), report)))
+    return F.coalesce(made, F.concat(F.lit(f"// WASM Processed by {module}\n"), value.cast("string")))
+
+
+#: Tokens of compact JSON: empty containers, strings, marks, other values.
+_TOKENS = r'\{\}|\[\]|"(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\[\]{},:"]+'
+
+
+def indent(compact: Column) -> Column:
+    """Compact JSON text with two spaces a level, as the REST output has it: ``<``, ``>`` and ``&``
+    escaped, empty containers on one line. A fold over the tokens, JVM-side."""
+    for c in "<>&":
+        compact = F.replace(compact, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    line = lambda depth: F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth))
+
+    def step(acc: Column, t: Column) -> Column:
+        depth = acc["depth"] + F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+        text = (
+            F.when(t.isin("{", "["), F.concat(t, line(depth))).when(t.isin("}", "]"), F.concat(line(depth), t))
+            .when(t == ",", F.concat(t, line(depth))).when(t == ":", F.lit(": ")).otherwise(t)
+        )
+        return F.struct(depth.cast("int").alias("depth"), F.concat(acc["text"], text).alias("text"))
+
+    tokens = F.regexp_extract_all(compact, F.lit(_TOKENS), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+    return F.when(compact.isNotNull(), F.aggregate(tokens, start, step, lambda acc: acc["text"]))
 
 
 def map_upper(value: Column) -> Column:
@@ -155,16 +199,23 @@ class Transform:
         if self.type == "FILTER":
             rows = filters.filter_log(rows, filters.expression_of(self.config))
         else:
-            rows = rows.withColumn("value", self.column(now)(F.col("value")).cast("binary"))
+            rows = rows.withColumn("value", self.output(now)(F.col("value")).cast("binary"))
         return rows.withColumn("topic", F.lit(self.target_topic))
 
+    def output(self, now: str | None) -> Callable[[Column], Column]:
+        """What comes out: JSON indented, text that is no JSON and what a user function returns as it is."""
+        made = self.column(now)
+        if self.type == "UDF" and self.udf:
+            return made
+        return lambda value: J.let(made(value), lambda x: F.when(x.startswith("//"), x).otherwise(indent(x)))
+
     def column(self, now: str | None) -> Callable[[Column], Column]:
         if self.type == "MASK_PII":
             return mask_nested(self.config.get("fields_to_mask"), self.config.get("mask_pattern", "***"))
         if self.type == "JSON_MAP":
             return JsonMap.of(self.config, now)
         if self.type == "UDF":
-            return self.udf or uppercase_keys
+            return self.udf or (lambda value: run_module(value, self.name, self.config.get("action", "")))
         raise ValueError(f"unknown transform type {self.type!r}")
 
 
@@ -199,4 +250,4 @@ class Transforms:
         if t.type == "FILTER":
             keep = filters.condition(filters.expression_of(t.config), F.col("value"))
             return payloads.select("value", F.when(keep, F.col("value").cast("string")).alias("output"), (~keep).alias("drop"))
-        return payloads.select("value", t.column(None)(F.col("value")).alias("output"), F.lit(False).alias("drop"))
+        return payloads.select("value", t.output(None)(F.col("value")).alias("output"), F.lit(False).alias("drop"))

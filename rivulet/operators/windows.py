@@ -6,11 +6,14 @@ last event, inclusive, that of tumbling and hopping windows exclusive.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.operators.ranges import numbered
+
 HOUR_MS = 3_600_000
 
 
@@ -121,6 +124,31 @@ def sessions(rows: DataFrame, gap_ms: int) -> DataFrame:
     return named.groupBy("key", "__id").agg(F.min("ts").alias("window_start"), F.max("ts").alias("window_end"), *aggregates()).drop("__id")
 
 
+def session_changelog(rows: DataFrame, gap_ms: int) -> DataFrame:
+    """The running result after every row: the session that holds it, of what had arrived by then.
+
+    Sessions merge as rows arrive, so this is a fold per key in order of arrival, over (arrival_seq, ts, x)."""
+    schema = "arrival_seq long, key string, window_start long, window_end long, count long, sum double, min double, max double, avg double"
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("arrival_seq")
+        live, out = [], []  # sessions that do not touch, in order: start, end, count, sum, min, max
+        for seq, key, ts, x in pdf[["arrival_seq", "key", "ts", "x"]].itertuples(index=False):
+            lo = bisect_left(live, ts - gap_ms, key=lambda s: s[1])
+            hi = bisect_right(live, ts + gap_ms, key=lambda s: s[0])
+            now = [ts, ts, 0, 0.0, x, x]
+            for s in live[lo:hi]:
+                now = [min(now[0], s[0]), max(now[1], s[1]), now[2] + s[2], now[3] + s[3], min(now[4], s[4]), max(now[5], s[5])]
+            now[2:4] = now[2] + 1, now[3] + x
+            live[lo:hi] = [now]
+            out.append((seq, key, *now, now[3] / now[2]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return rows.select("arrival_seq", "key", "ts", "x").groupBy("key").applyInPandas(run, schema)
+
+
 def sliding_in_order(rows: DataFrame, size_ms: int) -> DataFrame:
     """Final state per (key, ts) where rows arrive in order of time: a range frame, no join."""
     w = Window.partitionBy("key").orderBy("ts").rangeBetween(-(size_ms - 1), 0)
@@ -171,8 +199,7 @@ def query(state: DataFrame, key: str, from_ms: int = 0, to_ms: int = 0) -> DataF
 
 def running_count(rows: DataFrame) -> DataFrame:
     """Unwindowed count per key, after every row."""
-    w = Window.partitionBy("key").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("arrival_seq", "key", F.count("*").over(w).alias("count"))
+    return numbered(rows, ["key"], ["arrival_seq"], "count").select("arrival_seq", "key", "count")
 
 
 def distinct_keys(state: DataFrame) -> DataFrame:
@@ -180,10 +207,28 @@ def distinct_keys(state: DataFrame) -> DataFrame:
 
 
 def metrics(rows: DataFrame, skipped: DataFrame, spec: WindowSpec, grace_ms: int) -> DataFrame:
-    """processed, late, skipped, stream_time and live keys of a job over a batch."""
-    t = late_rows(rows, spec, grace_ms).agg(F.count("*").alias("late"))
-    p = rows.agg(F.count("*").alias("n"), F.max("ts").alias("stream_time"), F.countDistinct("key").alias("keys"))
+    """processed, late, skipped, emitted, stream_time and live keys of an aggregating job over a batch. Every
+    accepted update of a window is emitted, so a row may emit several."""
+    t = stream_time(rows)
+    if spec.type == "sliding":
+        on_time = F.when(F.col("ts") + grace_ms >= F.col("stream_t") - spec.size_ms, 1).otherwise(0)
+    elif spec.type == "session":
+        on_time = F.lit(1)
+    else:
+        advance = spec.size_ms if spec.type == "tumbling" else spec.advance_ms
+        open_ = F.filter(starts(F.col("ts"), spec.size_ms, advance), lambda s: s + spec.size_ms + grace_ms > F.col("stream_t"))
+        on_time = F.size(open_)
+    p = t.withColumn("__n", on_time).agg(
+        F.count("*").alias("n"), F.count_if(F.col("__n") == 0).alias("late"), F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("emitted"),
+        F.max("ts").alias("stream_time"), F.countDistinct("key").alias("keys"),
+    )
     s = skipped.agg(F.count("*").alias("skipped"))
+    one = F.lit(1).alias("one")  # two results of one row each
+    return p.select("*", one).join(s.select("*", one), "one").select((F.col("n") + F.col("skipped")).alias("processed"), "late", "skipped", "emitted", "stream_time", "keys")
+
+
+def join_metrics(stream: DataFrame, joined: DataFrame, table: DataFrame) -> DataFrame:
+    """processed, unmatched, emitted and table_rows of a join job: ``joined`` is its left join with ``table``."""
+    n = joined.agg(F.count("*").alias("processed"), F.count_if(F.col("table").isNull()).alias("unmatched"), F.count_if(F.col("table").isNotNull()).alias("matched"))
     one = F.lit(1).alias("one")
-    j = p.withColumn("one", one).join(t.withColumn("one", one), "one").join(s.withColumn("one", one), "one")
-    return j.select((F.col("n") + F.col("skipped")).alias("processed"), "late", "skipped", "stream_time", "keys")
+    return n.select("*", one).join(table.agg(F.count("*").alias("table_rows")).select("*", one), "one").select("processed", "unmatched", "matched", "table_rows")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.functions import jsonpath as J
@@ -86,7 +86,7 @@ def aggregate(log: DataFrame, job: JobConfig, *, emit: str = "final") -> DataFra
     rows = prepared(log, job).where("NOT skipped").drop("skipped")
     w = job.window
     if w.type == "session":
-        out = windows.sessions(rows, w.gap_ms)
+        out = windows.session_changelog(rows, w.gap_ms) if emit == "updates" else windows.sessions(rows, w.gap_ms)
     elif w.type == "sliding":
         out = windows.sliding(rows, w.size_ms, job.grace_ms, every_update=emit == "updates")
     elif emit == "updates":
@@ -112,11 +112,47 @@ def run(log: DataFrame, job: JobConfig, **kw) -> DataFrame:
     return aggregate(log, job, **kw) if job.type == "AGGREGATE" else join(log, job, **kw)
 
 
+def number(x: Column) -> Column:
+    """A double as JSON has it: without a fraction of zero or an exponent."""
+    return F.parse_json(J.text_of(F.parse_json(x.cast("string"))))
+
+
 def as_records(results: DataFrame, job: JobConfig) -> DataFrame:
-    """Results as JSON records of the target topic, partition 0, without a key."""
+    """Results as JSON records of the target topic, partition 0, without a key: of an aggregate key, window_start,
+    window_end, count, sum, min, max, avg and value, of a join key, stream and table (null if there is none)."""
+    if job.type == "JOIN":
+        raw = lambda c: F.coalesce(F.try_parse_json(c), F.parse_json(F.coalesce(joins.as_json(F.col(c)), F.lit("null")))).alias(c)
+        doc = F.struct("key", raw("stream"), raw("table"))
+    else:
+        doc = F.struct("key", "window_start", "window_end", "count", *[number(F.col(c)).alias(c) for c in ("sum", "min", "max", "avg", "value")])
     return results.select(
-        F.lit(job.target_topic).alias("topic"), F.lit(0).alias("partition"), F.lit(None).cast("binary").alias("key"), F.to_json(F.struct("*")).cast("binary").alias("value")
-    )
+        F.lit(job.target_topic).alias("topic"), F.lit(0).alias("partition"), F.lit(None).cast("binary").alias("key"), F.to_json(doc, {"ignoreNullFields": "false"}).cast("binary").alias("value"),
+        *([F.col("arrival_seq")] if "arrival_seq" in results.columns else []),
+    )
+
+
+def interactive(log: DataFrame, job: JobConfig, key: str = "", from_ms: int = 0, to_ms: int = 0) -> DataFrame:
+    """What a job knows after the log: without a key its keys; of a join the key's table row (key, table); of an
+    aggregate the key's windows that overlap [from, to], 0 for no bound, in order of start."""
+    job = job.validate()
+    if job.type == "JOIN":
+        table = joins.snapshot(log.where(F.col("topic") == job.table_topic), job.table_key_field)
+        return table.where(F.col("key") == key).select("key", F.col("value").alias("table")) if key else table.select("key").orderBy("key")
+    state = aggregate(log, job)
+    return windows.query(state, key, from_ms, to_ms) if key else windows.distinct_keys(state).orderBy("key")
+
+
+def metrics(log: DataFrame, job: JobConfig) -> DataFrame:
+    """One row of a job's counters over the log."""
+    job = job.validate()
+    if job.type == "JOIN":
+        stream = log.where(F.col("topic") == job.source_topic)
+        table = joins.snapshot(log.where(F.col("topic") == job.table_topic), job.table_key_field)
+        m = windows.join_metrics(stream, join(log, replace(job, join_type="left")), table)
+        emitted = F.col("processed") if job.join_type == "left" else F.col("matched")
+        return m.select("processed", emitted.alias("emitted"), "unmatched", "table_rows")
+    rows = prepared(log, job)
+    return windows.metrics(rows.where("NOT skipped"), rows.where("skipped"), job.window, job.grace_ms)
 
 
 class Jobs:

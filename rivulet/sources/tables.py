@@ -18,13 +18,14 @@ def headers_json() -> Column:
     return F.when(F.col("headers").isNotNull(), F.to_json(pairs))
 
 
-def project(log: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
-    """System columns, and typed top-level JSON fields if named (name -> string, long, int,
-    double or boolean; null on mismatch)."""
+def project(log: DataFrame, fields: dict[str, str | tuple[str, str]] | None = None) -> DataFrame:
+    """System columns, and typed top-level JSON fields if named (column -> string, long, int,
+    double or boolean, or a pair of the field's name and one of these; null on mismatch)."""
+    specs = {c: (c, x) if isinstance(x, str) else x for c, x in (fields or {}).items()}
     v = J.parse(F.col("value"))
     return log.select(
         "topic", "partition", "offset", F.timestamp_millis("timestamp_ms").alias("timestamp"), "key", "value", headers_json().alias("headers"),
-        *[J.typed(v, name, kind).alias(name) for name, kind in (fields or {}).items()],
+        *[J.typed(v, name, kind).alias(c) for c, (name, kind) in specs.items()],
     )
 
 

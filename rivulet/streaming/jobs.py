@@ -139,6 +139,18 @@ def start(result: DataFrame, name: str, checkpoint: str, mode: str = "update", *
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="500 milliseconds")).start()
 
 
+def start_files(result: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Takes all that is there into Parquet below ``path`` and ends; started again from the same checkpoint it
+    goes on where it ended, with its state, stream time and offsets. A micro-batch has a folder of its own, so one that is
+    repeated after a failure is overwritten, not added."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    w = result.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
+    return w.trigger(availableNow=True).start()
+
+
 def recent(results: DataFrame, limit: int = 50) -> DataFrame:
     """The last results, newest last, 200 at most."""
     last = results.orderBy(F.desc("arrival_seq")).limit(min(limit, 200))

@@ -1,13 +1,20 @@
 """Filters, transforms, joins, log maintenance, queues, groups, schemas, connectors."""
 
 import json
+import random
+import struct
+import uuid
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rivulet.functions import hashing
 from rivulet.functions import jsonpath as J
-from rivulet.operators import connectors, filters, groups, joins, logops, queues, schemas, transforms
+from rivulet.operators import acl, connectors, filters, groups, joins, logops, queues, ranges, schemas, transforms
+from rivulet.sources import batches
 from rivulet.sources import log as logs
 from rivulet.sources.tables import SnapshotTable
 
@@ -54,6 +61,53 @@ def test_filter_errors(spark):
     assert filters.expression_of({"code": "// x\nfilter: a == 1;"}) == "a == 1"
 
 
+def test_long_paths_and_many_renames(spark):
+    """Plans do not grow with the path or the number of renames."""
+    doc = '{"A":{"b":{"C":{"d":{"e":{"f":{"g":{"H":7}}}}}}}}'
+    df = spark.createDataFrame([(doc,)] * 500, "value string")
+    assert df.where(filters.condition("a.B.c.D.E.F.G.h == 7", F.col("value"))).count() == 500
+    assert df.where(filters.condition("a.B.c.D.E.F.G.x != 7", F.col("value"))).count() == 500
+    m = transforms.JsonMap.of({"add_fields": "k0:v", "rename_fields": ",".join(f"k{i}:k{i + 1}" for i in range(12)) + ",a:k12"})
+    assert json.loads(df.select(m(F.col("value"))).first()[0]) == {"k12": "v", "A": json.loads(doc)["A"]}
+    swapped = transforms.JsonMap.of({"add_fields": "a:1,b:2", "rename_fields": "a:t,b:a,t:b"})
+    assert json.loads(df.select(swapped(F.lit("{}"))).first()[0]) == {"a": "2", "b": "1"}
+
+
+JSON = st.recursive(st.none() | st.booleans() | st.integers(-(10**9), 10**9) | st.text("ab<>&{}[]:,\"\\\n é", max_size=6), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text("ab", max_size=3), x, max_size=3), max_leaves=12)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.dictionaries(st.text("abc", min_size=1, max_size=3), JSON, max_size=4), min_size=1, max_size=6))
+def test_indented_output(spark, docs):
+    df = spark.createDataFrame([(json.dumps(d, sort_keys=True, separators=(",", ":"), ensure_ascii=False),) for d in docs], "v string")
+    got = [r[0] for r in df.select(transforms.indent(F.col("v"))).collect()]
+    want = [json.dumps(d, sort_keys=True, indent=2, ensure_ascii=False) for d in docs]
+    for c in "<>&":
+        want = [w.replace(c, f"\\u{ord(c):04x}") for w in want]
+    assert got == want
+
+
+def test_user_function_slot(spark):
+    df = spark.createDataFrame([('{"a":1,"A":2,"b":{}}',), ("plain",), (None,)], "value string")
+    t = transforms.Transforms()
+    t.create(transforms.Transform("up", "UDF", "a", "b", {"action": "uppercase_keys"}))
+    t.create(transforms.Transform("own", "UDF", "a", "b", udf=lambda v: F.reverse(v.cast("string"))))
+    out = [r.output for r in t.test("up", df).collect()]
+    doc = json.loads(out[0])
+    assert doc.pop("_wasm_execution")["source_module"] == "up" and doc == {"A": 1, "B": {}} and out[0].startswith("{\n  ")
+    assert out[1] == "// WASM Processed by up\nplain" and out[2] is None
+    assert [r.output for r in t.test("own", df).collect()] == ['}}{:"b",2:"A",1:"a"{', "nialp", None]
+
+
+def test_globs(spark):
+    cases = [
+        ("p[^u]x", "pax", True), ("p[^u]x", "pux", False), ("p[uv]x", "pux", True), ("a\\*b", "a*b", True), ("a\\*b", "axb", False), ("a*b", "a/b", False), ("a?b", "a.b", True),
+        ("a.b", "axb", False), ("[a-c]z", "bz", True), ("[^a-c]z", "bz", False), ("[", "[", False), ("a\\", "a", False), ("x[\\]]y", "x]y", True), ("a+(c)", "a+(c)", True), ("", "", True), ("[[]q", "[q", True), ("a[&&]b", "a&b", True),
+    ]
+    df = spark.createDataFrame(cases, "p string, n string, want boolean")
+    assert df.where(F.rlike("n", acl.glob(F.col("p"))) != F.col("want")).count() == 0
+
+
 def test_json_rules(spark):
     docs = ['{"t":1700000000}', '{"t":1700000000123}', '{"t":"2023-11-14T22:13:20.5Z"}', '{"t":"1700000000"}', '{"t":"x"}', '{"t":null}', "{}"]
     df = spark.createDataFrame([(d,) for d in docs], "v string")
@@ -108,11 +162,142 @@ def test_compaction(spark):
     assert (r.dirty_bytes, r.total_bytes, r["keys"]) == (2 + 2 + 1, 2 * 3 + 1 + 1, 2)
 
 
-def test_dedup_fold_recovers_after_a_gap(spark):
+SENT = "topic string, partition int, producer_id long, producer_epoch int, sequence int, arrival_seq long"
+
+
+def test_dedup_recovers_after_a_gap(spark):
     rows = [(0, 0, 0), (1, 0, 2), (2, 0, 1), (3, 0, 2), (4, 0, 1), (5, 1, 0), (6, 0, 3), (7, 1, 5)]
-    df = spark.createDataFrame([("t", 0, 1, e, s, a) for a, e, s in rows], "topic string, partition int, producer_id long, producer_epoch int, sequence int, arrival_seq long")
-    out = {r.arrival_seq: r.status for r in logops.dedup_fold(df).collect()}
-    assert [out[i] for i in range(8)] == ["accepted", "gap", "accepted", "accepted", "duplicate", "accepted", "fenced", "gap"]
+    df = spark.createDataFrame([("t", 0, 1, e, s, a) for a, e, s in rows], SENT)
+    for f in (logops.dedup, logops.dedup_fold):
+        out = {r.arrival_seq: r.status for r in f(df).collect()}
+        assert [out[i] for i in range(8)] == ["accepted", "gap", "accepted", "accepted", "duplicate", "accepted", "fenced", "gap"]
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 4), st.integers(0, 2), st.integers(0, 4)), min_size=1, max_size=40))
+def test_dedup_is_the_fold(spark, sent):
+    """The windows that decide producers without gaps agree with the fold in any order of arrival."""
+    df = spark.createDataFrame([("t", 0, p, e, s, a) for a, (p, e, s) in enumerate(sent)], SENT)
+    rows = lambda x: sorted((r.arrival_seq, r.status) for r in x.collect())
+    assert rows(logops.dedup(df)) == rows(logops.dedup_fold(df))
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 130)), min_size=1, max_size=60), st.integers(1, 40))
+def test_segments_roll_one_entry_at_a_time(spark, entries, block):
+    """A segment rolls before an entry that would exceed its size, unless it is empty; over gaps in offsets and block ends."""
+    step, at, rows, want = random.Random(len(entries)), {}, [], {}
+    held: dict[int, tuple[int, int]] = {}
+    for p, size in entries:
+        at[p] = at.get(p, -1) + step.choice((1, 1, 1, 9))
+        segment, n = held.get(p, (0, 0))
+        if n + size > 100 and n > 0:
+            segment, n = segment + 1, 0
+        held[p] = (segment, n + size)
+        want[p, at[p]] = segment
+        rows.append((p, at[p], b"x" * size))
+    df = spark.createDataFrame(rows, "partition int, offset long, value binary").selectExpr("'t' AS topic", "*", "CAST(NULL AS BINARY) AS key").repartition(3)
+    old, logs.BLOCK = logs.BLOCK, block
+    try:
+        assert {(r.partition, r.offset): r.segment_id for r in logs.with_segments(df, 100).collect()} == want
+    finally:
+        logs.BLOCK = old
+
+
+def test_ten_entries_make_ten_segments(spark):
+    df = spark.range(10).selectExpr("'t' AS topic", "0 AS partition", "id AS offset", "CAST(NULL AS BINARY) AS key", "CAST(repeat('x', 61) AS BINARY) AS value")
+    assert sorted(r.segment_id for r in logs.with_segments(df, 100).collect()) == list(range(10))
+
+
+def test_running_sums_in_ranges(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), i * 3 + rng.randrange(3), rng.randrange(9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, at long, n long")
+    got = {r.at: r.run for r in ranges.running(df, ["k"], ["at"], F.col("n"), "run", width=17).collect()}
+    sums: dict = {}
+    for k, at, n in sorted(rows, key=lambda r: r[1]):
+        sums[k] = sums.get(k, 0) + n
+        assert got[at] == sums[k]
+
+
+def legacy(magic, offset, key, value, ts=7, codec=0):
+    field = lambda x: struct.pack(">i", -1) if x is None else struct.pack(">i", len(x)) + x
+    tail = bytes([magic, codec]) + (struct.pack(">q", ts) if magic else b"") + field(key) + field(value)
+    return struct.pack(">qiI", offset, 4 + len(tail), batches.message_crc(tail)) + tail
+
+
+def test_record_batches():
+    records = [batches.Record(None if i == 1 else b"k%d" % i, None if i == 2 else b"v" * i, 1_700_000_000_000 + i * 77, i, [("h", b"1"), ("é", b"")], (9, 2, 5)) for i in range(5)]
+    for codec in range(5):
+        got = batches.decode(batches.encode(records, codec, batches.TRANSACTIONAL, base_offset=40))
+        assert [(x.key, x.value, x.timestamp, x.offset, x.headers, x.producer) for x in got] == [(x.key, x.value, x.timestamp, 40 + x.offset, x.headers, (9, 2, 5 + i)) for i, x in enumerate(records)]
+        assert all(x.attributes == batches.TRANSACTIONAL for x in got)
+    old = legacy(0, 3, None, b"a") + legacy(1, 4, b"k", None)
+    assert [(x.key, x.value, x.timestamp, x.offset) for x in batches.decode(old + b"\0" * 9)] == [(None, b"a", 0, 3), (b"k", None, 7, 4)]
+    inner = legacy(1, 0, b"a", b"1") + legacy(1, 1, b"b", b"2")
+    assert [(x.key, x.offset) for x in batches.decode(legacy(1, 50, None, batches._stream("gzip", inner), codec=1))] == [(b"a", 49), (b"b", 50)]
+    raw = pa.Codec("snappy").compress(b"x" * 50, asbytes=True)
+    framed = b"\x82SNAPPY\x00" + struct.pack(">ii", 1, 1) + (struct.pack(">i", len(raw)) + raw) * 2
+    assert batches.decompress(2, framed) == b"x" * 100
+    whole = batches.encode(records)
+    for bad in (whole[:-3], whole[:16] + b"\x07" + whole[17:], batches.encode(records, 4)[:61] + b"junk" * 20):
+        with pytest.raises((ValueError, struct.error)):
+            batches.decode(bad)
+    for codec in (1, 2, 3, 4, 5):
+        with pytest.raises(ValueError):
+            batches.decompress(codec, b"\xff" * 9)
+
+
+def test_bad_payloads_are_rows(spark):
+    good = batches.encode([batches.Record(b"k", b"v", 5, producer=(1, 0, 0))], attributes=batches.CONTROL)
+    df = spark.createDataFrame([("t", 0, 1, good), ("t", 0, 2, good[:40]), ("t", 0, 3, None)], "topic string, partition int, arrival_seq long, value binary")
+    out = {r.arrival_seq: (r.error is None, r.is_control) for r in batches.decoded(df).collect()}
+    assert out == {1: (True, True), 2: (False, False)}
+    key = df.select("arrival_seq", batches.payload_key(F.col("value")).alias("k")).collect()
+    assert all(r.k.key is None and not r.k.is_tombstone for r in key)
+
+
+def test_share_group_bounds(spark):
+    s = queues.SharePartition()
+    assert s.acquire("m", 0, 9, 9, sizes={i: 10 for i in range(9)}, max_bytes=25) == [0, 1, 2]
+    assert s.acquire("m", 0, 9, 9, frozenset({3, 4}), {i: 10 for i in range(9)}, 1) == [5] and s.records[3][0] == "archived"
+    assert s.acknowledge("m", 0, 2, queues.GAP, 1) and s.start == 5 and s.records[0][4] is None
+
+
+def test_restarts():
+    reg = connectors.Connectors()
+    reg.register("c", "S3ArchivalSinkConnector", {"topics": "t", "s3.bucket": "b", "tasks.max": "3"})
+    states = lambda: (reg.status("c").state, [t.state[0] for t in reg.status("c").tasks])
+    reg.fail("c", "lost")
+    reg.fail("c", "disk full", task=1)
+    reg.restart("c")
+    assert states() == ("RUNNING", ["R", "F", "R"]) and reg.status("c").tasks[1].trace == "disk full"
+    reg.stop("c")
+    reg.fail("c", "again", task=2)
+    reg.restart("c", include_tasks=True, only_failed=True)
+    assert states() == ("STOPPED", ["S", "S", "R"])
+    reg.restart_task("c", 0)
+    assert states() == ("STOPPED", ["R", "S", "R"])
+    with pytest.raises(KeyError):
+        reg.restart_task("c", 3)
+
+
+def test_sources_by_format(spark, tmp_path):
+    spark.range(3).write.json(f"file://{tmp_path}/j")
+    reg = connectors.Connectors()
+    reg.register("r", "DatabaseCdcSourceConnector", {"db.host": "h", "format": "json", "path": f"file://{tmp_path}/j"})
+    assert reg.read(spark, "r").count() == 3
+    reg.pause("r")
+    with pytest.raises(ValueError):
+        reg.read(spark, "r")
+
+
+def test_protobuf_fields():
+    text = """syntax = "proto3"; // int32 no = 9;
+    message M { /* string no = 8;
+    */ string a = 1; repeated int64 b = 2 [packed = true]; map<string, Inner> c = 3; reserved 4; oneof x { bool d = 5; Inner e = 6; }
+      option (o) = "string no = 7;"; enum E { ZERO = 0; } }"""
+    assert schemas.proto_fields(text) == {"1": "string", "2": "int64", "3": "map<string,Inner>", "5": "bool", "6": "Inner"}
 
 
 def test_transaction_states(spark):
@@ -189,13 +374,17 @@ def test_connectors():
     assert reg.status("c").state == "PAUSED"
     assert connectors.validate("httpwebhooksinkconnector", {"tasks.max": "0"})["tasks.max"]
     assert connectors.topic_config_error({"retention.ms": "x"}) and connectors.topic_config_error({"no": "x"})
+    assert connectors.topic_config_error({"retention.ms": "1_000"}) and connectors.topic_config_error({"retention.ms": " 5"})
+    assert connectors.topic_config_error({"retention.ms": str(-(1 << 63)), "own.x": "y"}, own_prefix="own.") is None
     assert connectors.topic_config_error({"retention.ms": "5", "iceberg.enabled": "true", "min.cleanable.dirty.ratio": "0.5"}) is None
 
 
 def test_hashes():
     assert hashing.crc32c(b"123456789") == 0xE3069283
     assert hashing.fnv1a64(b"a") == 0xAF63DC4C8601EC8C
-    assert hashing.coordinator("g", [3, 1]) in (1, 3)
+    assert hashing.coordinator("g", [3, 1]) == [1, 3][hashing.fnv1a64(b"g") % 2]
+    u = hashing.topic_uuid("events")
+    assert u == hashing.topic_uuid("events") != hashing.topic_uuid("event") and u.variant == uuid.RFC_4122 and u.version == 8
 
 
 def test_snapshot_table(spark, tmp_path):
@@ -212,6 +401,24 @@ def test_snapshot_table(spark, tmp_path):
     assert [capped.commit(log, max_rows=4)["added"], capped.commit(log, max_rows=4)["added"]] == [4, 2]
 
 
+def test_written_log_in_each_codec(spark, tmp_path):
+    rows = spark.range(50).selectExpr("'t' AS topic", "CAST(id % 2 AS INT) AS partition", "id AS arrival_seq", "CAST(CAST(id AS STRING) AS BINARY) AS value")
+    log = logs.append(None, rows)
+    for codec in ("none", "snappy", "gzip", "lz4", "zstd"):
+        logs.write(log, f"file://{tmp_path}/{codec}", codec)
+        assert spark.read.parquet(f"file://{tmp_path}/{codec}").agg(F.sum("offset")).first()[0] == 2 * sum(range(25))
+
+
+def test_offload_is_repeated_safely(spark, tmp_path):
+    log = spark.range(30).selectExpr("'t' AS topic", "0 AS partition", "id AS offset", "CAST(NULL AS BINARY) AS key", "CAST(repeat('x', 30) AS BINARY) AS value")
+    seg = logs.with_segments(log, 100)
+    for _ in range(2):
+        assert logs.offload(seg, f"file://{tmp_path}/cold").agg(F.sum("entries"), F.count("*")).first() == (27, 9)
+    back = spark.read.schema(seg.schema).parquet(f"file://{tmp_path}/cold").drop("segment_id")
+    both = logs.with_archive(log.where("offset >= 20"), back)
+    assert sorted(r.offset for r in both.collect()) == list(range(30))
+
+
 def test_log_round_trip(spark, tmp_path):
     rows = spark.range(20).selectExpr("'t' AS topic", "CAST(id % 2 AS INT) AS partition", "id AS arrival_seq", "CAST(id AS STRING) AS v")
     log = logs.append(None, rows)

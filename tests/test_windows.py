@@ -77,6 +77,9 @@ def test_any_arrival_agrees_with_the_model(spark, rows):
         want, late = model(rows, job)
         assert got(windows.changelog(df, spec, 400), "arrival_seq", "key", "window_start", "count", "sum") == sorted((r[0], r[1], r[2], r[4], r[5]) for r in want)
         assert windows.late_rows(df, spec, 400).count() == late
+    job = {"window": {"type": "session", "size_ms": 0, "advance_ms": 0, "gap_ms": 500}, "grace_ms": 0, "retention_ms": 0}
+    want, _ = model(rows, job)
+    assert got(windows.session_changelog(df, 500), "arrival_seq", "key", "window_start", "window_end", "count", "sum", "min", "max") == sorted(r[:8] for r in want)
     job = {"window": {"type": "sliding", "size_ms": 900, "advance_ms": 0, "gap_ms": 0}, "grace_ms": 400, "retention_ms": 0}
     want, _ = model(rows, job)
     assert got(windows.sliding(df, 900, 400, every_update=True), "arrival_seq", "key", "window_end", "count", "sum") == sorted((r[0], r[1], r[3], r[4], r[5]) for r in want)
@@ -92,6 +95,43 @@ def test_stream_time_over_ranges(spark):
         assert t[i] == top
 
 
+def test_a_job_goes_on_after_a_restart(spark, tmp_path):
+    """State, stream time and offsets outlive the query: three records, none after a restart, then one more."""
+    from rivulet.sources import log as logs
+    from rivulet.streaming import jobs as stream
+
+    job = JobConfig("j", "AGGREGATE", "s", key_field="user", window=WindowSpec("tumbling", 1000), grace_ms=100)
+    path, out, state = (f"file://{tmp_path}/{x}" for x in ("log", "out", "state"))
+
+    def send(*records):
+        rows = [("s", 0, i, t, None, b'{"user":"%s"}' % u.encode(), [], -1, -1, -1, False, False, i) for i, u, t in records]
+        spark.createDataFrame(rows, logs.SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+    def run():
+        q = stream.start_files(stream.exact_aggregate(stream.read_log(spark, path, max_files=1), job), out, state)
+        q.awaitTermination()
+        assert q.exception() is None
+        return got(spark.read.parquet(out), "arrival_seq", "key", "window_start", "count")
+
+    send((0, "a", 100), (1, "a", 200), (2, "b", 900))
+    first = [(0, "a", 0, 1), (1, "a", 0, 2), (2, "b", 0, 1)]
+    assert run() == first
+    assert run() == first  # nothing new
+    send((3, "a", 1050))
+    assert run() == [*first, (3, "a", 1000, 1)]
+    send((4, "a", 300))  # the first window is open until 1100
+    assert run() == [*first, (3, "a", 1000, 1), (4, "a", 0, 3)]
+    send((5, "b", 1200))
+    send((6, "a", 300))  # late against a stream time that two queries before have reached
+    assert run() == [*first, (3, "a", 1000, 1), (4, "a", 0, 3), (5, "b", 1000, 1)]
+
+
+def test_session_updates_of_a_job(spark):
+    job = JobConfig("j", "AGGREGATE", "s", key_field="user", window=WindowSpec("session", gap_ms=100))
+    log = spark.createDataFrame([("s", i, t, None, b'{"user":"a"}') for i, t in enumerate((0, 300, 90, 180, 250))], "topic string, arrival_seq long, timestamp_ms long, key binary, value binary")
+    assert got(jobs.run(log, job, emit="updates"), "arrival_seq", "window_start", "window_end", "count") == [(0, 0, 0, 1), (1, 300, 300, 1), (2, 0, 90, 2), (3, 0, 180, 3), (4, 0, 300, 5)]
+
+
 def test_empty_input(spark):
     none = frame(spark, [("a", 1, 1)]).limit(0)
     assert windows.fixed(none, WindowSpec("tumbling", 10), 0).count() == 0

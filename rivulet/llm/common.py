@@ -42,17 +42,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def written() -> int:
-    """A mark for :func:`release`: what is staged after it can be released together."""
-    return len(_WRITTEN)
+def written() -> set[str]:
+    """What is staged now; :func:`release` takes away what is staged besides."""
+    return {path for _, path in _WRITTEN}
 
 
-def release(since: int = 0, keep: DataFrame | None = None) -> None:
-    """Deletes the scratch tables staged after the mark ``since`` but for ``keep``.
+def release(keep: set[str] = frozenset(), *frames: DataFrame) -> None:
+    """Deletes all scratch tables but those in ``keep`` and the staged ``frames``.
 
     For a caller who has written what was built on them: whatever still reads one fails."""
-    gone = [x for x in _WRITTEN[since:] if x[1] != getattr(keep, "_scratch", None)]
-    _WRITTEN[since:] = [x for x in _WRITTEN[since:] if x not in gone]
+    keep = keep | {getattr(f, "_scratch", None) for f in frames}
+    gone = [x for x in _WRITTEN if x[1] not in keep]
+    _WRITTEN[:] = [x for x in _WRITTEN if x[1] in keep]
     for spark, path in gone:
         with contextlib.suppress(Exception):  # the session may have ended before the process
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -113,7 +114,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     takes far longer paths than any table holds: nothing is ever returned unfinished.
     """
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-    # whatever ``edges`` needs is staged by now, so the last two tables below are always this loop's
+    kept = written()  # of the loop's own tables only the last is needed
     e = stage(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
     )
@@ -130,7 +131,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         e = stage(small.select("e.*").where("a <> b").distinct(), "cc")
         now = mark(e)
-        release(written() - 2, e)
+        release(kept, e)
         if now == seen:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
         seen = now

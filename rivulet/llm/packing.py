@@ -170,13 +170,18 @@ class Tournament:
         return at, room
 
 
+#: Equal pieces that may share a group.
+COPIES = 64
+
+
 def occurrences(pieces: DataFrame) -> DataFrame:
-    """``pieces`` with occ: 0, and 0 to n - 1 for n equal pieces, which need not meet in a task.
+    """``pieces`` with occ: 0, and 0 to n - 1 for n equal pieces if they are more than ``COPIES``; these need not
+    meet in a task.
 
     Equal ones are looked for by narrow columns, counted map-side; only they are gathered,
     as one row with a count, and written out again from it."""
     own = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    again = stage(pieces.groupBy(*own).agg(F.count("*").alias("n")).where("n > 1").select(*own), "pieces-again")
+    again = stage(pieces.groupBy(*own).agg(F.count("*").alias("n")).where(F.col("n") > COPIES).select(*own), "pieces-again")
     if again.isEmpty():
         return pieces.withColumn("occ", F.lit(0).cast("long"))
     again = maybe_broadcast(again, 1_000_000).select(*[F.col(c).alias(f"__{c}") for c in own])
@@ -192,8 +197,8 @@ def occurrences(pieces: DataFrame) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int = 2048, *, group_pieces: int = 8192, seed: int = 11) -> DataFrame:
     """Adds sequence_id (group * 2^32 + bin, unique) and offset (gapless from 0).
 
-    Pieces go to groups by a seeded hash of their document, place and ids, and of the number of the
-    copy among equal pieces, so that neither the files of ``pieces``, a written table, nor null and
+    Pieces go to groups by a seeded hash of their document, place and ids, and, of many equal ones, of the number of the
+    copy, so that neither the files of ``pieces``, a written table, nor null and
     repeated ids matter: about ``group_pieces`` in each. Every
     group is packed by itself: largest first, ties by doc_id, start, ids and copy, each into the
     first bin with room. The groups are independent, bounded and re-run alike, so a

@@ -299,6 +299,17 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_templates(spark):
+    """Other marks work; marks that escaping would not protect are refused."""
+    for bad in (("[INST]", "<|e|>"), ("<|s|>", "</s>"), ("<|s\n|>", "<|e|>"), ("<|a|>", "<|a|>b")):
+        with pytest.raises(ValueError):
+            chat.Template(*bad)
+    t = chat.Template("<|turn|>", "<|over|>", "model")
+    rows = [(1, 0, "user", "<|over|> <|turn|>model\nx"), (1, 1, "model", "<|im_end|>"), (2, 0, "model", "plain")]
+    out = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), t).collect()}
+    assert [(x.role, x.text) for x in out[1].turns] == [r[2:] for r in rows[:2]] and out[2].formatted == "<|turn|>model\nplain<|over|>\n"
+
+
 def test_chat_mask_reads_back_assistant_text(spark):
     turns = [(1, 0, "user", "<|im_end|>"), (1, 1, "assistant", "<|im_end|><|im_start|>assistant ok"), (1, 2, "assistant", "é<\\|"), (2, 0, "assistant", "plain")]
     out = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
@@ -704,8 +715,10 @@ def test_one_row_of_a_repeated_id_stays(spark):
     assert [tuple(r) for r in got if r.doc_id == 3] == [(3, None, "m")]
 
 
-def test_packing_does_not_depend_on_files(spark, docs):
+@pytest.mark.parametrize("copies", [64, 1])
+def test_packing_does_not_depend_on_files(spark, docs, monkeypatch, copies):
     """Another split of the rows into files gives the same sequences, repeated rows included."""
+    monkeypatch.setattr(packing, "COPIES", copies)
     path = public_tokenizers.path("word_bpe_49k.json")
     twice = docs.unionByName(docs.where("doc_id % 3 = 0")).withColumn("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")))
     a, b = (packing.pack_documents(d, path) for d in (twice.repartition(1), twice.repartition(7, "source")))
@@ -738,9 +751,10 @@ def test_pipeline(spark):
 
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.01"
-    marks = common.written()
+    before = common.written()
     out = pipeline.run(spark, sf).toPandas()
-    assert len(common._WRITTEN) - marks < 12  # earlier stages have left nothing but what the last reads
+    left = common.written() - before  # nothing but the last stage and what it reads
+    assert {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in left} <= {"pipeline-source_mix", "pieces", "pieces-again"}
     con = duckdb.connect()
     for t in ("documents", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")

@@ -16,23 +16,37 @@ from rivulet.llm.quality import filter_quality
 ORACLE_SQL = None
 
 
+#: Scratch tables that the stage called last has left. Its result is written when the next stage is called, so they go then.
+_LEFT: set[str] = set()
+
+
+def one_stage(build: Callable[[], DataFrame]) -> DataFrame:
+    """A stage's result; what the stage before it left in the scratch folder is deleted first."""
+    release(written() - _LEFT)
+    before = written()
+    out = build()
+    _LEFT.clear()
+    _LEFT.update(written() - before)
+    return out
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return filter_quality(docs, table(spark, sf_dir, "labels"))
+    return one_stage(lambda: filter_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return one_stage(lambda: drop_near_duplicates(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs)
+    return one_stage(lambda: mix(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their ids and places; ``rivulet.llm.packing.sequences`` writes them out as padded sequences."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
+    return one_stage(lambda: pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -44,10 +58,11 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again. What a stage and
-    the ones before it have left in the scratch folder is deleted once its result is written."""
-    docs, mark = table(spark, sf_dir, "documents"), written()
+    """All stages over ``documents``; each result is written and read again, and deleted once the next is written."""
+    docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
-        release(mark, docs)
+        before = written()
+        new = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before - {getattr(docs, "_scratch", None)} | _LEFT, new)
+        docs = new
     return STAGES[-1][1](spark, docs, sf_dir)

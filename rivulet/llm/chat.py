@@ -25,6 +25,13 @@ class Template:
     end: str = "<|im_end|>"
     learn: str = "assistant"
 
+    def __post_init__(self) -> None:
+        for mark in (self.start, self.end):
+            if not mark.startswith("<|") or "\n" in mark or len(mark) < 3:
+                raise ValueError(f"a mark begins with <| and has no line end: {mark!r}")
+        if self.start.startswith(self.end) or self.end.startswith(self.start):
+            raise ValueError("one mark begins the other")
+
 
 TEMPLATE = Template()
 
@@ -80,7 +87,8 @@ def format_chats(
     and texts are empty; a null conv_id is a conversation of its own; an empty table
     gives no rows; repeated rows are turns. First every conversation is rendered as it
     is; those whose parse differs from the source are rendered again with conflicting
-    turns escaped, and the parse must then be identical, else the query fails.
+    turns escaped, and the parse must then be identical. A conversation for which it is not (none is
+    known) keeps its row with formatted, loss_spans and turns null: nothing that cannot be read back goes out.
     ``loss_spans`` are (from, length) in characters of ``formatted``: the texts of
     ``template.learn`` turns. ``turns`` are those parsed from ``formatted``.
 
@@ -115,7 +123,7 @@ def format_chats(
     got = got.withColumn("formatted", F.when(F.col("escaped"), whole("role1", "text1")).otherwise(F.col("raw")))
     got = got.withColumn("turns", F.when(F.col("escaped"), parse(F.col("formatted"), t)).otherwise(F.col("turns0")))
     same = F.coalesce(F.col("turns") == turns, F.lit(False))
-    got = got.withColumn("formatted", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("no round trip: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))))
+    got = got.withColumn("formatted", F.when(same, F.col("formatted"))).withColumn("turns", F.when(same, F.col("turns")))
     learn = F.filter("src", lambda s: s["role"] == t.learn)
     spans = F.transform(
         learn,
@@ -124,7 +132,7 @@ def format_chats(
             F.when(F.col("escaped"), F.length(s["text1"])).otherwise(F.length(s["text"])).cast("long").alias("length"),
         ),
     )
-    return got.select("conv_id", "formatted", "escaped", spans.alias("loss_spans"), "turns")
+    return got.select("conv_id", "formatted", "escaped", F.when(F.col("formatted").isNotNull(), spans).alias("loss_spans"), "turns")
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:

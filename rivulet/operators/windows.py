@@ -68,6 +68,11 @@ def stream_time(rows: DataFrame, range_rows: int = 100_000) -> DataFrame:
     return out.withColumn("stream_t", F.greatest("stream_t", "__before")).drop("__range", "__before")
 
 
+def timed(rows: DataFrame) -> DataFrame:
+    """``rows`` with stream_t, which a caller who knows it better has added already."""
+    return rows if "stream_t" in rows.columns else stream_time(rows)
+
+
 def starts(ts: Column, size_ms: int, advance_ms: int) -> Column:
     """Starts of all windows that hold ``ts``, latest first; right for negative times."""
     last = F.floor(ts / advance_ms).cast("long") * advance_ms
@@ -91,7 +96,7 @@ def accepted(rows: DataFrame, spec: WindowSpec, grace_ms: int) -> DataFrame:
 
 def fixed(rows: DataFrame, spec: WindowSpec, grace_ms: int | None = None) -> DataFrame:
     """Final state of tumbling or hopping windows; without grace nothing is late and no order is needed."""
-    w = in_windows(rows, spec) if grace_ms is None else accepted(stream_time(rows), spec, grace_ms)
+    w = in_windows(rows, spec) if grace_ms is None else accepted(timed(rows), spec, grace_ms)
     return w.groupBy("key", "window_start", "window_end").agg(*aggregates())
 
 
@@ -111,7 +116,7 @@ def changelog(rows: DataFrame, spec: WindowSpec, grace_ms: int) -> DataFrame:
     """The running result after every accepted update of a fixed window."""
     run = Window.partitionBy("key", "window_start").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
     names = ("count", "sum", "min", "max", "avg")
-    return accepted(stream_time(rows), spec, grace_ms).select(
+    return accepted(timed(rows), spec, grace_ms).select(
         "arrival_seq", "key", "window_start", "window_end", *[c.over(run).alias(n) for c, n in zip((F.count("x"), F.sum("x"), F.min("x"), F.max("x"), F.avg("x")), names, strict=True)]
     )
 
@@ -165,7 +170,7 @@ def sliding(rows: DataFrame, size_ms: int, grace_ms: int, *, every_update: bool
     ``size`` milliseconds of its key. The last arrival per (key, t) is the final state;
     ``every_update`` returns all.
     """
-    live = stream_time(rows).where(F.col("ts") + grace_ms >= F.col("stream_t") - size_ms)
+    live = timed(rows).where(F.col("ts") + grace_ms >= F.col("stream_t") - size_ms)
     bucket = F.floor(F.col("ts") / size_ms)
     a = live.withColumn("b", F.explode(F.array(bucket, bucket - 1))).alias("a")
     b = live.withColumn("b", bucket).alias("b")

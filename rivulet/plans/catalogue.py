@@ -1285,10 +1285,49 @@ def stream_join_static(spark, d):
 
 @query("stream_exact_sliding", f"WITH {EV}, p AS (SELECT a.event_id AS arrival_seq, a.key, a.ts_ms, b.amt FROM ev a JOIN ev b ON a.key = b.key AND b.event_id <= a.event_id AND b.ts_ms > a.ts_ms - {DAY} AND b.ts_ms <= a.ts_ms) SELECT arrival_seq, key, ts_ms - {DAY - 1} AS window_start, ts_ms AS window_end, {AGG} FROM p GROUP BY arrival_seq, key, ts_ms")
 def stream_exact_sliding(spark, d):
+    job = jobs.JobConfig("x", "AGGREGATE", "events", key_field="user", value_field="amt", agg="sum", window=WindowSpec("sliding", DAY), grace_ms=DAY)
+    return rounded(exact(spark, d, logs.events(spark, d), job), "arrival_seq", "key", "window_start", "window_end")
+
+
+def exact(spark, d, log: DataFrame, job: jobs.JobConfig) -> DataFrame:
+    """A job's exact updates over a streamed copy of ``log``, in three micro-batches."""
+    import uuid
+
     from rivulet.streaming import jobs as stream
 
-    job = jobs.JobConfig("x", "AGGREGATE", "events", key_field="user", value_field="amt", agg="sum", window=WindowSpec("sliding", DAY), grace_ms=DAY)
-    return rounded(streamed(spark, d, "exact", lambda s: stream.exact_aggregate(s, job), "update"), "arrival_seq", "key", "window_start", "window_end")
+    root = f"{scratch_root(spark)}/exact-{uuid.uuid4().hex}"
+    n = log.agg(F.max("arrival_seq")).first()[0] + 1
+    for i in range(3):  # in order of arrival, a file each
+        log.where((F.col("arrival_seq") >= n * i // 3) & (F.col("arrival_seq") < n * (i + 1) // 3)).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    q = stream.exact_files(stream.read_log(spark, f"{root}/log", max_files=1), job, f"{root}/result", f"{root}/checkpoint")
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return spark.read.parquet(f"{root}/result/out").drop("batch")
+
+
+@query("stream_exact_late", SQL["changelog_tumbling"])
+def stream_exact_late(spark, d):
+    """Tumbling updates of the events in their late order: what is late is dropped as a single stream time over all batches says."""
+    late = numbered(logs.events(spark, d).withColumn("delayed", F.col("timestamp_ms") + (F.col("arrival_seq") * 7919 % 11) * HOUR), [], ["delayed", "arrival_seq"], "n", DAY)
+    late = late.withColumn("arrival_seq", F.col("n")).drop("n", "delayed")
+    job = jobs.JobConfig("x", "AGGREGATE", "events", key_field="user", value_field="amt", agg="sum", window=WindowSpec("tumbling", 2 * HOUR), grace_ms=HOUR)
+    return rounded(exact(spark, d, late, job), "arrival_seq", "key", "window_start", "window_end")
+
+
+@query(
+    "poll_table_first",
+    f"""WITH {TAB}, t AS (SELECT 'customers' AS topic, 0 AS partition, row_number() OVER (ORDER BY arr, key) - 1 AS off FROM tab), a AS (SELECT topic, partition, off, 0 AS side FROM t WHERE off < 70 UNION ALL SELECT 'events', part, off, 1 FROM ev WHERE off >= part * 5 AND off < part * 5 + 70)
+    SELECT topic, partition, off AS offset, row_number() OVER (ORDER BY side, topic, partition, off) - 1 AS arrival_seq FROM a""",
+)
+def poll_table_first(spark, d):
+    """One pass of at most 70 entries a partition: the table's topic first, the stream from where the last pass ended."""
+    e = logs.events(spark, d).select("topic", "partition", "offset", "arrival_seq", F.col("key").cast("string").alias("key"))
+    c = customers(spark, d).withColumn("k", F.col("key").cast("string"))
+    c = numbered(c, [], ["arrival_seq", "k"], "n").selectExpr("'customers' AS topic", "0 AS partition", "n - 1 AS offset", "arrival_seq", "k AS key")
+    at = spark.createDataFrame([("events", p, 5 * p) for p in range(1, 4)], "topic string, partition int, next_offset long")
+    job = jobs.JobConfig("j", "JOIN", "events", table_topic="customers", table_key_field="id")
+    return jobs.poll(e.unionByName(c), job, at, 70)[0].select("topic", "partition", "offset", "arrival_seq")
 
 
 @query("table_sink_snapshots", f"WITH {EV} SELECT part AS partition, off AS offset, event_type AS type, amt FROM ev")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions import jsonpath as J
 from rivulet.operators import joins, windows
+from rivulet.operators.ranges import numbered
 from rivulet.operators.windows import WindowSpec
 
 AGGS = ("count", "sum", "min", "max", "avg")
@@ -155,6 +156,22 @@ def metrics(log: DataFrame, job: JobConfig) -> DataFrame:
     return windows.metrics(rows.where("NOT skipped"), rows.where("skipped"), job.window, job.grace_ms)
 
 
+def poll(log: DataFrame, job: JobConfig, positions: DataFrame, limit: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(rows, positions): one pass over a job's topics from the positions (topic, partition, next_offset; from 0
+    where there is none), at most ``limit`` entries of each partition. The table's topic comes before the stream's:
+    arrival_seq numbers the rows of the pass so. The positions returned are where the next pass begins."""
+    p = ["topic", "partition"]
+    rows = log.where(F.col("topic").isin(*[t for t in (job.source_topic, job.table_topic) if t])).join(positions, p, "left")
+    rows = rows.where(F.col("offset") >= F.coalesce("next_offset", F.lit(0))).drop("next_offset")
+    rows = numbered(rows, p, ["offset"], "__n").where(F.col("__n") <= limit).drop("__n")
+    side = F.when(F.col("topic") == job.table_topic, 0).otherwise(1)
+    order = Window.orderBy(side, *p, "offset")  # limit rows a partition at most
+    rows = rows.drop("arrival_seq").withColumn("arrival_seq", (F.row_number().over(order) - 1).cast("long"))
+    ends = rows.groupBy(*p).agg((F.max("offset") + 1).alias("next_offset"))
+    kept = positions.join(ends.select(*p), p, "left_anti").select(*p, "next_offset")
+    return rows, kept.unionByName(ends)
+
+
 class Jobs:
     """Definitions by name: register, get, list, pause, delete, and those that a topic feeds."""
 

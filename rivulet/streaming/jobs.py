@@ -1,8 +1,8 @@
 """Stream jobs as Structured Streaming queries.
 
 Built-in windows drop late rows by the watermark of the previous micro-batch, so they
-keep what exact lateness would drop within a batch; :func:`exact_aggregate` keeps
-the job-wide stream time itself and is exact, at the price of one state group.
+keep what exact lateness would drop within a batch. :func:`exact_files` is exact and spreads over
+keys; :func:`exact_aggregate` is exact too, for sessions as well, at the price of one state group.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rivulet.operators import joins
-from rivulet.operators.windows import aggregates
+from rivulet.operators.windows import aggregates, changelog, sliding, stream_time
 from rivulet.plans.jobs import JobConfig, prepared
 from rivulet.sources import log as logs
 
@@ -133,6 +133,45 @@ def exact_aggregate(stream: DataFrame, job: JobConfig) -> DataFrame:
     return rows.groupBy("one").applyInPandasWithState(run, OUT, "state binary", "update", "NoTimeout")
 
 
+def exact_files(stream: DataFrame, job: JobConfig, path: str, checkpoint: str) -> StreamingQuery:
+    """Every running result of a tumbling, hopping or sliding job, with lateness exact to the record, as Parquet below
+    ``path/out``: takes all that is there and ends; started again it goes on.
+
+    State is the rows that an open window can still need (event times of the last size and grace), each with the
+    stream time of its arrival, as a table of its own for every micro-batch. A micro-batch adds its rows, whose
+    stream time goes on from the state's, and runs the batch operators over both, by key and
+    window on all executors; what it writes for a number is overwritten if it is repeated.
+    """
+    job = job.validate()
+    w = job.window
+    if w.type == "session":
+        raise ValueError("sessions are never late: use aggregate()")
+    spark = stream.sparkSession
+    schema = "arrival_seq long, key string, ts long, x double, stream_t long"
+
+    def state(number: int) -> DataFrame:
+        if number < 0:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{path}/state/batch={number}")
+
+    def step(batch: DataFrame, number: int) -> None:
+        old = state(number - 1)
+        before = old.agg(F.max("stream_t")).first()[0]
+        new = stream_time(prepared(batch, job).where("NOT skipped").drop("skipped"))
+        if before is not None:
+            new = new.withColumn("stream_t", F.greatest("stream_t", F.lit(before)))
+        new = new.select(*old.columns)
+        rows = old.unionByName(new)
+        updates = sliding(rows, w.size_ms, job.grace_ms, every_update=True) if w.type == "sliding" else changelog(rows, w, job.grace_ms)
+        updates.join(new.select("arrival_seq"), "arrival_seq", "left_semi").write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        top = rows.agg(F.max("stream_t").alias("__top"))
+        live = rows.join(F.broadcast(top)).where(F.col("ts") >= F.col("__top") - (w.size_ms + job.grace_ms)).drop("__top")  # one row
+        live.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+
+    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return q.trigger(availableNow=True).start()
+
+
 def start(result: DataFrame, name: str, checkpoint: str, mode: str = "update", *, once: bool = True) -> StreamingQuery:
     """Runs into a memory table; ``once`` takes all that is there and ends."""
     w = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)

@@ -108,10 +108,14 @@ def test_a_job_goes_on_after_a_restart(spark, tmp_path):
         spark.createDataFrame(rows, logs.SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
     def run():
-        q = stream.start_files(stream.exact_aggregate(stream.read_log(spark, path, max_files=1), job), out, state)
-        q.awaitTermination()
-        assert q.exception() is None
-        return got(spark.read.parquet(out), "arrival_seq", "key", "window_start", "count")
+        rows = lambda: stream.read_log(spark, path, max_files=1)
+        both = stream.start_files(stream.exact_aggregate(rows(), job), out, state), stream.exact_files(rows(), job, f"{out}2", f"{state}2")
+        for q in both:
+            q.awaitTermination()
+            assert q.exception() is None
+        a, b = (got(spark.read.parquet(x), "arrival_seq", "key", "window_start", "count") for x in (out, f"{out}2/out"))
+        assert a == b
+        return a
 
     send((0, "a", 100), (1, "a", 200), (2, "b", 900))
     first = [(0, "a", 0, 1), (1, "a", 0, 2), (2, "b", 0, 1)]

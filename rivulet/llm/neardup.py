@@ -153,13 +153,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     row; nulls where there is no word."""
 
     def chunks(batch: pa.RecordBatch) -> Iterator[list[tuple[int, list[bytes]]]]:
-        """Rows with their words, about 100,000 words at a time."""
+        """Rows with their words, so many at a time that about 500,000 words and darts are held."""
         part, n = [], 0
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             words = (text.as_py() or "").encode().split()
             part.append((doc_id, words))
-            n += len(words)
-            if n > 100_000:
+            n += len(words) + 8 * COORDS  # darts: coords (ln coords + 2)
+            if n > 500_000:
                 yield part
                 part, n = [], 0
         yield part

@@ -20,9 +20,11 @@ ORACLE_SQL = None
 _LEFT: set[str] = set()
 
 
-def one_stage(build: Callable[[], DataFrame]) -> DataFrame:
-    """A stage's result; what the stage before it left in the scratch folder is deleted first."""
-    release(written() - _LEFT)
+def one_stage(build: Callable[[], DataFrame], first: bool = False) -> DataFrame:
+    """A stage's result; what the stage before it left in the scratch folder is deleted, but for the first: a
+    result of an earlier run may not have been read yet."""
+    if not first:
+        release(written() - _LEFT)
     before = written()
     out = build()
     _LEFT.clear()
@@ -31,7 +33,7 @@ def one_stage(build: Callable[[], DataFrame]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_stage(lambda: filter_quality(docs, table(spark, sf_dir, "labels")))
+    return one_stage(lambda: filter_quality(docs, table(spark, sf_dir, "labels")), first=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

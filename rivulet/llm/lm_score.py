@@ -20,7 +20,7 @@ CONTEXT = 3
 #: Most frequent words whose exact counts are broadcast (16 bytes each); the others join by their own key.
 HEAD = 1 << 18
 #: Tokens of one part of the filter, about: the lesser, until there are ``PARTS`` of them, then more, up to the greater.
-PART_TOKENS, PARTS = (500_000, 2_000_000), 20_000
+PART_TOKENS, PARTS = (1_500_000, 2_000_000), 20_000
 #: Contexts of more tokens are resolved before tokens are dealt; there is one for so many tokens at most.
 HOT = 500_000
 #: One token in so many is looked at for such contexts.
@@ -233,6 +233,20 @@ def packed(x: np.ndarray, order: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.array([data[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
 
 
+def even_labels(spark: SparkSession, n: int) -> np.ndarray:
+    """n different ints that a shuffle by one int column deals evenly: few parts, numbered at random, would often
+    meet in a task. Many parts need no care."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n > 20 * tasks:
+        return np.arange(n, dtype=np.int32)
+    tried = spark.range(16 * max(n, tasks)).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(tasks))).toArrow().column(0).to_numpy()
+    turn = np.zeros(len(tried), np.int64)  # how many of the same task come before
+    order = np.argsort(tried, kind="stable")
+    starts = np.flatnonzero(np.diff(tried[order], prepend=-1))
+    turn[order] = np.arange(len(tried)) - np.repeat(starts, np.diff([*starts, len(tried)]))
+    return np.argsort(turn * tasks + tried, kind="stable")[:n].astype(np.int32)
+
+
 def level_value(c: Column) -> Column:
     """What the level of a count stands for, as a column; as :func:`level_of` and :func:`count_of`."""
     level = F.floor(F.log(c.cast("double")) / math.log(BASE) + 1e-9) + 1
@@ -258,7 +272,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     counts are broadcast. A context's sum is that of the filter's answers for what was seen after it.
     Tokens move once, packed, to their parts, which count, fill their piece of the filter, probe it
     and send their sums by text, packed, to a home that adds them up. The number of
-    parts grows with the corpus, so that one has 500,000 to 2,000,000 tokens and ``max_bits`` bits at
+    parts grows with the corpus, so that one has 1,500,000 to 2,000,000 tokens and ``max_bits`` bits at
     most on average; nothing is left out. Contexts of more than ``hot`` tokens (found in a sample, then counted
     exactly) do not gather in one part: their sums, and pairs as frequent, are broadcast, one for
     each ``hot`` tokens of the corpus at most, and the rest goes to parts by pair.
@@ -296,6 +310,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     each = min(PART_TOKENS[1], max(PART_TOKENS[0], n // PARTS), max_bits // (2 * BITS_PER_ENTRY))
     need = -(-n * 7 // (6 * max(1, each)))
     n_parts = max(1, need, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 10_000))
+    labels = even_labels(spark, n_parts)
     base = math.log10(n + (v + 1))
     chunk = min(16_000_000, max(2_000_000, 400 * n_parts))
 
@@ -326,7 +341,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
                     found = np.where(hot_ & headed, find(hot_p, pair), -1)
                     done = found >= 0
                     alone[done] += np.log10(hot_q[found[done]] + mu * word_p1[token[done]])
-                docs_ = {"part": (np.arange(len(texts)) % n_parts).astype(np.int32), "n_tokens": sizes.astype(np.int64), "n_known": np.add.reduceat(headed.astype(np.int64), starts)}
+                docs_ = {"part": labels[np.arange(len(texts)) % n_parts], "n_tokens": sizes.astype(np.int64), "n_known": np.add.reduceat(headed.astype(np.int64), starts)}
                 docs_ |= {"base_log": np.add.reduceat(exact[token], starts), "score": np.add.reduceat(alone, starts) if n else np.zeros(len(texts))}
                 out = {k: pa.array(x) for k, x in docs_.items()} | {k: part_of(i) for i, k in enumerate(("row", "doc_id", "held_out"))}
                 yield pa.RecordBatch.from_arrays([out[f.name] if f.name in out else pa.nulls(len(texts), f.type) for f in schema], schema=schema)
@@ -348,7 +363,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
                 short = np.where(full[go], low(pair[go]) >> np.uint32(1), np.uint32((1 << 31) - 1))  # the last: no context
                 got.append((((word >> _U(33)) % _U(n_parts)).astype(np.int32), {"w_word": low(word), "w_code": short | flags[go], "w_at": local[go]}))
                 used = np.unique(np.concatenate([p for p, _ in got]))
-                cols = {"part": pa.array(used), "row": pa.array(np.full(len(used), part_of(0)[0].as_py()))}
+                cols = {"part": pa.array(labels[used]), "row": pa.array(np.full(len(used), part_of(0)[0].as_py()))}
                 for p, columns in got:
                     order = np.argsort(p.astype(np.uint16) if n_parts < 1 << 16 else p, kind="stable")
                     ends = np.searchsorted(p[order], used, side="right")
@@ -356,7 +371,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
                 yield pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(len(used), f.type) for f in schema], schema=schema)
 
     def home(row: np.ndarray) -> np.ndarray:
-        return (mix(row.astype(np.uint64)) % _U(n_parts)).astype(np.int32)
+        return labels[(mix(row.astype(np.uint64)) % _U(n_parts)).astype(np.int32)]
 
     def answer(key: tuple, t: pa.Table) -> pa.Table:
         infos = t.filter(pc.is_null(t["ctx"]))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions import jsonpath as J
+from rivulet.operators.ranges import WIDTH
 
 
 def is_tombstone(value: Column) -> Column:
@@ -42,16 +43,24 @@ def join_latest(stream: DataFrame, table: DataFrame, how: str = "inner") -> Data
     return stream.select("arrival_seq", "key", F.col("value").cast("string").alias("stream")).join(t, "key", how).select("arrival_seq", "key", "stream", "table")
 
 
-def join_as_of(stream: DataFrame, table_changes: DataFrame, how: str = "inner") -> DataFrame:
+def join_as_of(stream: DataFrame, table_changes: DataFrame, how: str = "inner", width: int = WIDTH) -> DataFrame:
     """As :func:`join_latest`, each row against the table as it was when the row arrived.
 
-    Both sides in one run per key in order of arrival; the last change before a row is
-    carried forward. A table change that arrives together with a row comes first.
+    Both sides in one run in order of arrival, the last change before a row carried forward. A table change
+    that arrives together with a row comes first. In two levels, so that no key meets in one task: inside ranges of arrival,
+    and over the last changes of the ranges, which a row takes where its own range has none before it.
     """
     t = table_changes.select("key", "arrival_seq", F.lit(0).alias("side"), F.struct("value", "deleted").alias("row"), F.lit(None).cast("string").alias("stream"))
     s = stream.select("key", "arrival_seq", F.lit(1).alias("side"), F.lit(None).cast("struct<value:string,deleted:boolean>").alias("row"), F.col("value").cast("string").alias("stream"))
-    w = Window.partitionBy("key").orderBy("arrival_seq", "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = t.unionByName(s).withColumn("last", F.last("row", ignorenulls=True).over(w)).where("side = 1")
+    both = t.unionByName(s).withColumn("range", F.floor(F.col("arrival_seq") / width))
+    ends = t.groupBy("key", F.floor(F.col("arrival_seq") / width).alias("range")).agg(F.max_by("row", "arrival_seq").alias("row"))
+    seen = ends.unionByName(s.select("key", F.floor(F.col("arrival_seq") / width).alias("range")).distinct(), allowMissingColumns=True)
+    seen = seen.groupBy("key", "range").agg(F.first("row", ignorenulls=True).alias("row"))
+    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = seen.select("key", "range", F.last("row", ignorenulls=True).over(before).alias("before"))
+    w = Window.partitionBy("key", "range").orderBy("arrival_seq", "side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("last", F.last("row", ignorenulls=True).over(w)).where("side = 1").join(carried, ["key", "range"])
+    both = both.withColumn("last", F.coalesce("last", "before"))
     out = both.select("arrival_seq", "key", "stream", F.when(~F.col("last.deleted"), F.col("last.value")).alias("table"))
     return out if how == "left" else out.where("table IS NOT NULL")
 

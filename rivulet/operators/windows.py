@@ -122,11 +122,22 @@ def changelog(rows: DataFrame, spec: WindowSpec, grace_ms: int) -> DataFrame:
 
 
 def sessions(rows: DataFrame, gap_ms: int) -> DataFrame:
-    """Sessions of events at most ``gap_ms`` apart, bounds inclusive; arrival order does not matter."""
-    w = Window.partitionBy("key").orderBy("ts", "arrival_seq")
-    new = F.when(F.col("ts") - F.lag("ts").over(w) > gap_ms, 1).otherwise(0)
-    named = rows.withColumn("__new", new).withColumn("__id", F.sum("__new").over(w))
-    return named.groupBy("key", "__id").agg(F.min("ts").alias("window_start"), F.max("ts").alias("window_end"), *aggregates()).drop("__id")
+    """Sessions of events at most ``gap_ms`` apart, bounds inclusive; arrival order does not matter.
+
+    In two levels: the events of a key are cut into spans of ``SPAN`` gaps, whose sessions are found first; only
+    these, aggregated, meet by key and merge where they are close enough."""
+    inside = Window.partitionBy("key", "__span").orderBy("ts")
+    cut = rows.withColumn("__span", F.floor(F.col("ts") / (SPAN * gap_ms)))
+    named = cut.withColumn("__new", F.when(F.col("ts") - F.lag("ts").over(inside) > gap_ms, 1).otherwise(0)).withColumn("__id", F.sum("__new").over(inside))
+    part = named.groupBy("key", "__span", "__id").agg(F.min("ts").alias("s"), F.max("ts").alias("e"), F.count("x").alias("n"), F.sum("x").alias("t"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    whole = Window.partitionBy("key").orderBy("s")
+    named = part.withColumn("__new", F.when(F.col("s") - F.lag("e").over(whole) > gap_ms, 1).otherwise(0)).withColumn("__id", F.sum("__new").over(whole))
+    out = named.groupBy("key", "__id").agg(F.min("s").alias("window_start"), F.max("e").alias("window_end"), F.sum("n").alias("count"), F.sum("t").alias("sum"), F.min("lo").alias("min"), F.max("hi").alias("max"))
+    return out.withColumn("avg", F.try_divide("sum", "count")).drop("__id")
+
+
+#: Gaps, or window sizes, of a key's time that are looked at together.
+SPAN = 64
 
 
 def session_changelog(rows: DataFrame, gap_ms: int) -> DataFrame:
@@ -155,11 +166,17 @@ def session_changelog(rows: DataFrame, gap_ms: int) -> DataFrame:
 
 
 def sliding_in_order(rows: DataFrame, size_ms: int) -> DataFrame:
-    """Final state per (key, ts) where rows arrive in order of time: a range frame, no join."""
-    w = Window.partitionBy("key").orderBy("ts").rangeBetween(-(size_ms - 1), 0)
+    """Final state per (key, ts) where rows arrive in order of time: a range frame, no join.
+
+    A key's time is cut into spans of ``SPAN`` window sizes, so a busy key is spread; what the first windows of a span
+    need of the one before is copied there."""
+    span = F.floor(F.col("ts") / (SPAN * size_ms))
+    nearly = (F.col("ts") + size_ms - 1) >= (span + 1) * (SPAN * size_ms)
+    cut = rows.select("key", "ts", "x", span.alias("__own"), F.explode(F.when(nearly, F.array(span, span + 1)).otherwise(F.array(span))).alias("__span"))
+    w = Window.partitionBy("key", "__span").orderBy("ts").rangeBetween(-(size_ms - 1), 0)
     cols = (F.count("x"), F.sum("x"), F.min("x"), F.max("x"), F.avg("x"))
     names = ("count", "sum", "min", "max", "avg")
-    out = rows.select("key", "ts", *[c.over(w).alias(n) for c, n in zip(cols, names, strict=True)]).dropDuplicates(["key", "ts"])
+    out = cut.select("key", "ts", "__own", "__span", *[c.over(w).alias(n) for c, n in zip(cols, names, strict=True)]).where("__own = __span").dropDuplicates(["key", "ts"])
     return out.select("key", (F.col("ts") - size_ms + 1).alias("window_start"), F.col("ts").alias("window_end"), *names)
 
 

@@ -146,6 +146,23 @@ def test_join_with_tombstones(spark):
     assert joins.join_latest(stream, joins.snapshot(table.where("arrival_seq < 5"), "id")).count() == 3
 
 
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.sampled_from("ab"), st.sampled_from(["x", "y", ""])), min_size=1, max_size=40), st.integers(1, 9))
+def test_as_of_join_in_ranges(spark, rows, width):
+    """Against a table kept row by row, whatever the ranges."""
+    table, want = {}, []
+    for i, (change, k, v) in enumerate(rows):
+        if change:
+            table[k] = v or None
+        else:
+            want.append((i, table.get(k)))
+    schema = "arrival_seq long, key string, value string"
+    changes = spark.createDataFrame([(i, k, v) for i, (c, k, v) in enumerate(rows) if c], schema)
+    stream = spark.createDataFrame([(i, k, "s") for i, (c, k, _) in enumerate(rows) if not c], schema)
+    out = joins.join_as_of(stream, joins.changes(changes), "left", width=width)
+    assert sorted((r.arrival_seq, r.table) for r in out.collect()) == want
+
+
 def log_frame(spark, rows):
     """rows: (offset, key, value, ts)."""
     df = spark.createDataFrame([(o, k, v, t) for o, k, v, t in rows], "offset long, key binary, value binary, timestamp_ms long")

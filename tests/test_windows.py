@@ -61,6 +61,29 @@ def test_sliding(spark):
     assert out == [(100, 1), (600, 2), (1300, 2)]
 
 
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 9), st.integers(-900, 900)), min_size=1, max_size=40), st.sampled_from([1, 2, 64]))
+def test_spans_of_time_change_nothing(spark, rows, span):
+    """Sessions and sliding windows of busy keys are found in spans of time; a model looks at all events of a key at once."""
+    old, windows.SPAN = windows.SPAN, span
+    try:
+        df = frame(spark, rows)
+        want = []
+        for k in {r[0] for r in rows}:
+            mine = sorted((t, x) for key, x, t in rows if key == k)
+            group = [mine[0]]
+            for e in [*mine[1:], (10**9, 0)]:
+                if e[0] - group[-1][0] > 50:
+                    want.append((k, group[0][0], group[-1][0], len(group), float(sum(x for _, x in group))))
+                    group = []
+                group.append(e)
+        assert got(windows.sessions(df, 50), "key", "window_start", "window_end", "count", "sum") == sorted(want)
+        want = {(k, t, len(m), float(sum(m)), float(min(m))) for k, _, t in rows for m in ([x for key, x, ts in rows if key == k and t - 70 < ts <= t],)}
+        assert got(windows.sliding_in_order(df, 70), "key", "window_end", "count", "sum", "min") == sorted(want)
+    finally:
+        windows.SPAN = old
+
+
 def model(rows, job):
     fold, out = Fold(job), []
     for i, (k, x, t) in enumerate(rows):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import connected_components, join_spread, stage, table
+from rivulet.session import ship
 
 COSINE = 0.95
 #: Rows that the rotations are learnt from, those of the smallest id hashes.
@@ -127,6 +128,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, *, id_col: str = "vec_
     link to a root for each vector come out of a block, never pairs, and no candidate
     is dropped.
     """
+    ship(rows.sparkSession)
     src = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     fit = usable(F.col("v")) & F.col("vec_id").isNotNull()
     classes = stage(src.where(fit).groupBy("v").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies")), "ve-classes")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import table
+from rivulet.session import ship
 
 THRESHOLD = 0.8
 #: Whole licence texts, a file for each: the identifier, and after a plus sign a variant.
@@ -251,6 +252,7 @@ def scan_licenses(docs: DataFrame, known: list[Template] | None = None, threshol
     no matches; repeated rows and extra columns change nothing; an empty table gives no rows. The
     templates (by default :func:`templates`, 300 KB) are broadcast."""
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(templates() if known is None else known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

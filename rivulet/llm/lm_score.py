@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import stage, table
+from rivulet.session import ship
 
 #: Words before a token that are its context.
 CONTEXT = 3
@@ -282,6 +283,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     repeated rows are scored each, extra columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     held = F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), text.alias("text"))

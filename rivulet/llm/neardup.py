@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import connected_components, join_spread, maybe_broadcast, stage, table, whole_row, words_of
+from rivulet.session import ship
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -326,6 +327,7 @@ def near_duplicates(docs: DataFrame, similarity_: float = SIMILARITY, *, id_col:
        a component need no row, so none between components is lost and large groups of
        copies never pair all with all.
     """
+    ship(docs.sparkSession)
     sig = stage(signatures(docs, id_col, text_col), "nd-sig")
     worded = sig.where("digest IS NOT NULL")
     reps = stage(worded.groupBy("digest").agg(F.min("id").alias("rep")), "nd-reps")

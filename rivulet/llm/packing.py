@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import maybe_broadcast, stage, table
+from rivulet.session import ship
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Texts with any other character are left to the library whole: up to here all
@@ -138,6 +139,7 @@ def token_pieces(
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
+    ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     schema = PIECES + (", ids binary" if keep_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(run, schema)
@@ -204,6 +206,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, *, group_pieces: int = 8192, s
     first bin with room. The groups are independent, bounded and re-run alike, so a
     lost executor costs only its groups.
     """
+    ship(pieces.sparkSession)
     n = pieces.count()
     groups = max(1, -(-n // group_pieces))
     schema = pieces.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id bigint, offset bigint"

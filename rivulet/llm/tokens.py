@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import join_spread, stage, table
-from rivulet.session import scratch_root
+from rivulet.session import scratch_root, ship
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
 _MODELS: dict[str, object] = {}
@@ -80,6 +80,7 @@ def count_tokens(
     texts, repeated rows, empty tables and extra columns need nothing special.
     """
     spark = docs.sparkSession
+    ship(spark)
     tokenizer = tokenizer_digest(path, normal.__name__)
     text = normal(F.col(text_col))
     keyed = docs.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.session import ship
 from rivulet.sources.log import entry_bytes
 
 DAY_MS = 86_400_000
@@ -100,6 +101,7 @@ def dedup_fold(log: DataFrame) -> DataFrame:
         return pdf.assign(status=out)[["topic", "partition", "producer_id", "arrival_seq", "status"]]
 
     count = F.col("record_count").cast("int") if "record_count" in log.columns else F.lit(1)
+    ship(log.sparkSession)
     rows = log.select("topic", "partition", "producer_id", "producer_epoch", "sequence", "arrival_seq", F.coalesce(count, F.lit(1)).alias("record_count"))
     return rows.groupBy("topic", "partition", "producer_id").applyInPandas(run, schema)
 
@@ -191,4 +193,5 @@ def transaction_states(log: DataFrame) -> DataFrame:
 
         return pd.DataFrame([(pdf.transactional_id.iloc[0], state, epoch, refused, done)], columns=["transactional_id", "state", "epoch", "refused", "committed_offsets"])
 
+    ship(log.sparkSession)
     return log.groupBy("transactional_id").applyInPandas(run, schema)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.session import ship
+
 #: Acknowledgement types (fixed values).
 GAP, ACCEPT, RELEASE, REJECT, RENEW = 0, 1, 2, 3, 4
 
@@ -127,6 +129,7 @@ def replay(events: DataFrame, max_attempts: int = 5, lock_ms: int = 30_000, *, m
         rows = [(*head, o, r[0], r[1], r[4], s.start, s.end) for o, r in sorted(s.records.items())]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
+    ship(events.sparkSession)
     return events.groupBy("group_id", "topic", "partition").applyInPandas(run, schema)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import jsonpath as J
 from rivulet.operators import filters
+from rivulet.session import ship_active
 
 #: Fields masked when none are named (fixed values).
 SENSITIVE = ("ssn", "credit_card", "password", "email", "cvv", "phone", "secret", "token", "auth_token")
@@ -50,6 +51,7 @@ def mask_nested(listed: str | None = None, pattern: str = "***") -> Callable[[Co
     Recursion over unknown shapes has no built-in, so this is an Arrow-batched pandas
     UDF. A value that is not JSON fails.
     """
+    ship_active()
     hide = names(listed)
 
     def hidden(x):

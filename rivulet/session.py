@@ -24,6 +24,13 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
+def ship_active() -> None:
+    """As :func:`ship`, for columns, which do not know their session."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names; one of our own only where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.operators.ranges import numbered, running
+from rivulet.session import ship
 
 SCHEMA = (
     "topic string, partition int, offset long, timestamp_ms long, key binary, value binary, "
@@ -242,6 +243,7 @@ def segment_starts(log: DataFrame, segment_bytes: int) -> DataFrame:
         kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["topic", "partition", "block", "segment", "starts"])
 
+    ship(log.sparkSession)
     narrow = log.select("topic", "partition", "offset", entry_bytes().alias("size")).repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset")
     return narrow.mapInArrow(run, "topic string, partition int, block long, segment long, starts array<long>")
 

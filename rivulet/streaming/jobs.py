@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rivulet.operators import joins
 from rivulet.operators.windows import aggregates, changelog, sliding, stream_time
 from rivulet.plans.jobs import JobConfig, prepared
+from rivulet.session import ship
 from rivulet.sources import log as logs
 
 
@@ -119,6 +120,7 @@ def exact_aggregate(stream: DataFrame, job: JobConfig) -> DataFrame:
     state group, which takes the throughput of one task."""
     import pickle
 
+    ship(stream.sparkSession)
     job = job.validate()
     doc = asdict(job)
 

@@ -1,11 +1,13 @@
 """Filters, transforms, joins, log maintenance, queues, groups, schemas, connectors."""
 
 import json
+import os
 import random
 import struct
 import uuid
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from rivulet.functions import hashing
 from rivulet.functions import jsonpath as J
 from rivulet.operators import acl, connectors, filters, groups, joins, logops, queues, ranges, schemas, transforms
-from rivulet.sources import batches
+from rivulet.sources import avro, batches
 from rivulet.sources import log as logs
 from rivulet.sources.tables import SnapshotTable
 
@@ -418,6 +420,44 @@ def test_snapshot_table(spark, tmp_path):
     assert [capped.commit(log, max_rows=4)["added"], capped.commit(log, max_rows=4)["added"]] == [4, 2]
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.fixed_dictionaries({"a": st.integers(-(1 << 62), 1 << 62), "b": st.none() | st.text(max_size=5), "c": st.lists(st.booleans(), max_size=3), "d": st.dictionaries(st.text(max_size=3), st.floats(allow_nan=False), max_size=2), "e": st.fixed_dictionaries({"f": st.binary(max_size=4)})}), max_size=5))
+def test_avro_round_trip(rows):
+    inner = {"type": "record", "name": "i", "fields": [{"name": "f", "type": "bytes"}]}
+    kinds = {"a": "long", "b": ["null", "string"], "c": {"type": "array", "items": "boolean"}, "d": {"type": "map", "values": "double"}, "e": inner}
+    schema = {"type": "record", "name": "r", "fields": [{"name": k, "type": t} for k, t in kinds.items()]}
+    got, head = avro.read(avro.write(schema, rows, {"x": "y"}))
+    assert got == rows and head["x"] == b"y" and json.loads(head["avro.schema"]) == schema
+
+
+def test_table_metadata(spark, tmp_path):
+    """Documents of every version, manifests and lists that name each other, field ids in the files, one writer of two."""
+    log = spark.range(10).selectExpr("'t' AS topic", "CAST(id % 2 AS INT) AS partition", "id div 2 AS offset", "id AS timestamp_ms", "CAST(NULL AS BINARY) AS key", "CAST(concat('{\"n\":', id, '}') AS BINARY) AS value")
+    log = log.withColumn("headers", F.lit(None).cast("array<struct<key:string,value:binary>>"))
+    t = SnapshotTable(spark, f"file://{tmp_path}/t")
+    assert t.metadata() is None and t.snapshots().count() == 0
+    for part in (log.where("offset < 2"), log.where("offset < 4"), log):
+        t.commit(part, {"n": "long"})
+    meta = json.loads((tmp_path / "t/metadata/v3.metadata.json").read_text())
+    assert (tmp_path / "t/metadata/version-hint.text").read_text() == "3" and meta["format-version"] == 2
+    assert [f["id"] for f in meta["schemas"][0]["fields"]] == [1, 2, 3, 4, 5, 6, 10]
+    assert [(s["sequence-number"], s["summary"]["added-records"], s["summary"]["total-records"]) for s in meta["snapshots"]] == [(1, "4", "4"), (2, "4", "8"), (3, "2", "10")]
+    assert meta["snapshots"][2]["parent-snapshot-id"] == meta["snapshots"][1]["snapshot-id"] and meta["current-snapshot-id"] == meta["snapshots"][2]["snapshot-id"]
+    assert json.loads(meta["properties"][t.OFFSETS]) == {"t/0": 5, "t/1": 5}
+    lists = [avro.read(t.files.read(s["manifest-list"]))[0] for s in meta["snapshots"]]
+    assert [len(x) for x in lists] == [1, 2, 3] and lists[2][:2] == lists[1] and [m["added_rows_count"] for m in lists[2]] == [4, 4, 2]
+    entries = [e["data_file"] for m in lists[2] for e in avro.read(t.files.read(m["manifest_path"]))[0]]
+    assert sum(e["record_count"] for e in entries) == 10 and [e["file_path"] for e in entries] == t.data_files()
+    for e in entries:
+        local = e["file_path"].split(":", 1)[1].replace("//", "")
+        schema = pq.read_schema(local)
+        assert os.path.getsize(local) == e["file_size_in_bytes"] and {f.name: int(f.metadata[b"PARQUET:field_id"]) for f in schema if f.name != "topic"} == {"partition": 1, "offset": 2, "timestamp": 3, "key": 4, "value": 5, "headers": 6, "n": 10}
+        assert schema.field("timestamp").type == pa.timestamp("us", "UTC")
+    assert t.read(2).count() == 8 and t.snapshots().agg(F.sum("added")).first()[0] == 10
+    with pytest.raises(Exception, match="exist"):  # a second writer of the same version
+        t.files.write(f"{t.path}/metadata/v3.metadata.json", b"{}")
+
+
 def test_written_log_in_each_codec(spark, tmp_path):
     rows = spark.range(50).selectExpr("'t' AS topic", "CAST(id % 2 AS INT) AS partition", "id AS arrival_seq", "CAST(CAST(id AS STRING) AS BINARY) AS value")
     log = logs.append(None, rows)

@@ -196,19 +196,20 @@ def occurrences(pieces: DataFrame) -> DataFrame:
     return once.unionByName(many)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, *, group_pieces: int = 8192, seed: int = 11) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, *, group_pieces: int | None = None, seed: int = 11) -> DataFrame:
     """Adds sequence_id (group * 2^32 + bin, unique) and offset (gapless from 0).
 
     Pieces go to groups by a seeded hash of their document, place and ids, and, of many equal ones, of the number of the
     copy, so that neither the files of ``pieces``, a written table, nor null and
-    repeated ids matter: about ``group_pieces`` in each. Every
+    repeated ids matter: about ``group_pieces`` in each (8,192, or 2,048 where
+    pieces carry their ids, 8 KB each at most). Every
     group is packed by itself: largest first, ties by doc_id, start, ids and copy, each into the
     first bin with room. The groups are independent, bounded and re-run alike, so a
     lost executor costs only its groups.
     """
     ship(pieces.sparkSession)
     n = pieces.count()
-    groups = max(1, -(-n // group_pieces))
+    groups = max(1, -(-n // (group_pieces or (2048 if "ids" in pieces.columns else 8192))))
     schema = pieces.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id bigint, offset bigint"
 
     def run(key: tuple, t: pa.Table) -> pa.Table:

@@ -9,11 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch, where the application has not said how many: a row may hold a whole text or two.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, for their Python workers."""
     sc = spark.sparkContext
+    if not sc.getConf().contains(BATCH[0]) and spark.conf.get(BATCH[0]) != BATCH[1]:
+        spark.conf.set(*BATCH)
     if sc.applicationId not in _SHIPPED:
         top = Path(__file__).resolve().parent
         to = Path(tempfile.mkdtemp(prefix="rivulet-ship-")) / "rivulet_src.zip"

@@ -88,14 +88,17 @@ def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 HOT_SHARE = 10_000
 
 
-def join_spread(rows: DataFrame, other: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
+def join_spread(rows: DataFrame, other: DataFrame, key: str, share: int = HOT_SHARE, counts: DataFrame | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``other``, which has narrow rows and one for a key at most.
 
     Keys held by more than one row in ``share`` (that many at most, whatever the input) are broadcast with
-    their row, so no task gets all rows of one; the others join by shuffle. Both should be staged.
+    their row, so no task gets all rows of one; the others join by shuffle. Both should be staged. counts:
+    (key, n) of ``rows``, staged, where the caller has them.
     """
     fields = [c for c in other.columns if c != key]
-    often = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > F.greatest(F.lit(rows.count() / share), F.lit(1.0)))
+    total = rows.count() if counts is None else counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    often = counts.where(F.col("n") > F.greatest(F.lit(total / share), F.lit(1.0)))
     hot = stage(other.join(often.select(key), key, "left_semi"), "hot-keys")
     marked = rows.join(F.broadcast(hot.select(key, F.struct(*fields).alias("__hot"))), key, "left")
     rest = marked.where("__hot IS NULL").drop("__hot").join(other, key)

@@ -309,14 +309,14 @@ def settle(members: DataFrame, known: DataFrame, texts: Callable[[DataFrame], Da
 
 
 def near_duplicates(docs: DataFrame, similarity_: float = SIMILARITY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs`` with a non-null id: doc_id, component_id, kept.
+    """One row per row of ``docs``: doc_id, component_id, kept.
 
     component_id is the smallest doc_id reachable by links; two documents link if the
     weighted Jaccard of their five-word shingles (weights: occurrences) is at least
     ``similarity_``. Texts of under five words are one shingle; null, empty and blank
     texts link with nothing. Rows of one doc_id are one document: of its texts that whose words
     have the smallest MD5 is compared, and equal words tie it to others through any of them.
-    Rows without an id have no row here. Extra columns are ignored.
+    A row without an id cannot be named: it is kept, without a component. Extra columns are ignored.
 
     1. One pass computes signatures; rows with equal words become one representative.
     2. In every band bucket each representative is paired with the bucket's smallest
@@ -335,8 +335,8 @@ def near_duplicates(docs: DataFrame, similarity_: float = SIMILARITY, *, id_col:
     lead = F.min_by(F.struct("low", "bands"), "digest")
     known = stage(worded.join(reps, "digest").where("id = rep").groupBy("rep").agg(lead.alias("s")).select("rep", "s.*"), "nd-known")
     rows = known.select("rep", F.explode("bands").alias("band"))
-    hubs = rows.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub")
-    shared = stage(rows.join(hubs, "band"), "nd-shared")
+    hubs = stage(rows.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("n")).where("hub < last"), "nd-hubs")
+    shared = stage(join_spread(rows, hubs.select("band", "hub"), "band", counts=hubs.select("band", "n")), "nd-shared")
     pairs = stage(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "nd-pairs")
     close = stage(alike(pairs, known), "nd-close")
     texts = lambda ids: texts_of(ids, docs, id_col, text_col)
@@ -344,15 +344,20 @@ def near_duplicates(docs: DataFrame, similarity_: float = SIMILARITY, *, id_col:
     comp = connected_components(links)
 
     named = shared.join(comp, F.col("rep") == F.col("id"), "left").select("rep", "band", F.coalesce("component", "rep").alias("comp"))
-    mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2").select("band")
+    named = stage(named, "nd-named")
+    mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2")
+    mixed = stage(mixed.select("band", "n"), "nd-mixed-bands")
     by_rep = lambda ids: texts(ids.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
-    more = stage(settle(stage(named.join(mixed, "band"), "nd-mixed"), known, by_rep, similarity_), "nd-more")
+    more = stage(settle(stage(join_spread(named, mixed, "band", counts=mixed).drop("n"), "nd-mixed"), known, by_rep, similarity_), "nd-more")
     # rows of equal words, and several texts under one id, tie their documents together
     same = worded.join(reps, "digest").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     found = stage(connected_components(links.unionByName(more).unionByName(same)), "nd-comp")
     out = sig.select(F.col("id").alias("doc_id")).join(found, F.col("doc_id") == F.col("id"), "left")
     out = out.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    none = F.lit(None).cast("long")
+    unnamed = docs.where(F.col(id_col).cast("long").isNull()).select(none.alias("doc_id"), none.alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(unnamed)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity_: float = SIMILARITY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,7 +369,7 @@ def drop_near_duplicates(docs: DataFrame, similarity_: float = SIMILARITY, *, id
     found = stage(near_duplicates(docs, similarity_, id_col=id_col, text_col=text_col), "nd-found")
     gone = maybe_broadcast(stage(found.where("NOT kept").select("doc_id").distinct(), "nd-gone"), BROADCAST_IDS)
     left = docs.join(gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")
-    again = stage(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "nd-again")
+    again = stage(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "nd-again")
     if again.isEmpty():
         return left
     again = maybe_broadcast(again, BROADCAST_IDS)

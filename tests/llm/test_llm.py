@@ -240,6 +240,8 @@ def test_near_duplicates(spark, docs, texts):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
     twice = docs.where("doc_id < 3")
     assert neardup.near_duplicates(twice.unionByName(twice)).count() == 6
+    unnamed = neardup.near_duplicates(docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))).where("doc_id IS NULL").collect()
+    assert len(unnamed) == len(texts) // 2 and all(r.kept and r.component_id is None for r in unnamed)
 
 
 def test_several_texts_under_one_id(spark):

@@ -36,7 +36,7 @@ SEGMENTS = 256
 MAX_BITS = 1 << 29
 #: Weight of the unigram distribution in a context, in counts.
 MU = 4.0
-END_KEY = xxhash.xxh3_64_intdigest("\n")  # white space, so never a word
+END_KEY, START_KEY = (xxhash.xxh3_64_intdigest(x) for x in "\n\t")  # white space, so never words
 _U = np.uint64
 #: Of a dealt token's 32-bit code: not learnt from; not one of the head; its context is resolved.
 _OUT, _TAIL, _ALONE = np.uint32(1 << 31), np.uint32(1 << 30), np.uint32(1 << 29)
@@ -157,13 +157,16 @@ class Held:
         return keys, counts
 
 
-def contexts(h: np.ndarray, token: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit key of each token's context, whether it has ``CONTEXT`` tokens before it in its text)."""
+def contexts(h: np.ndarray, token: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit key of each token's context: the ``CONTEXT`` tokens before it in its text, with marks of the start where
+    there are fewer."""
     at = np.arange(len(token)) - np.repeat(starts, np.diff([*starts, len(token)]))
     key = np.full(len(token), CONTEXT, np.uint64)
     for back in range(CONTEXT, 0, -1):
-        key[back:] = gram(key[back:], h[token[:-back]])
-    return key, at >= CONTEXT
+        before = np.full(len(token), START_KEY, np.uint64)
+        before[back:] = np.where(at[back:] >= back, h[token[:-back]], _U(START_KEY))
+        key = gram(key, before)
+    return key
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -182,9 +185,8 @@ def counted(docs: DataFrame) -> DataFrame:
                 row, out_of = (batch.column(i).slice(rows.start, rows.stop - rows.start).to_numpy(zero_copy_only=False) for i in (0, 1))
                 sizes = np.diff([*starts, len(token)])
                 words.add(h, np.bincount(token[~np.repeat(np.asarray(out_of, bool), sizes)], minlength=len(h)))
-                key, some = contexts(h, token, starts)
                 place = np.repeat(mix(row.astype(np.uint64)), sizes) + np.arange(len(token), dtype=np.uint64)
-                key = key[some & (mix(place) % _U(SAMPLED) == 0)]
+                key = contexts(h, token, starts)[mix(place) % _U(SAMPLED) == 0]
                 before.add(key, np.ones(len(key), np.int64))
                 for kind, held in ((0, words), (1, before)):
                     if held.size > 1_000_000:
@@ -205,8 +207,8 @@ def hot_counts(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             for rows, texts in chunks(batch, 2):
                 h, token, starts = numbered(texts)
                 out_of = np.repeat(np.asarray(batch.column(1).slice(rows.start, rows.stop - rows.start).to_numpy(zero_copy_only=False), bool), np.diff([*starts, len(token)]))
-                key, some = contexts(h, token, starts)
-                m = some & (find(hot, key) >= 0)
+                key = contexts(h, token, starts)
+                m = find(hot, key) >= 0
                 both, first, at = np.unique(gram(key[m], h[token[m]]), return_index=True, return_inverse=True)
                 seen, c = np.bincount(at, minlength=len(both)), np.bincount(at[~out_of[m]], minlength=len(both))
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key[m][first], both, seen, c)], names=["ctx", "pair", "seen", "c"])
@@ -264,7 +266,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
     ``score`` is the log10 probability under a model of quantised counts: q(c) is what the
     logarithmic level (base 1.5) of c stands for, 0 for 0. With p1(w) = (q(c(w)) + 1) / (sum of
     q over all words + V + 1), a token w after the three tokens x has
-    p = (q(c(x, w)) + mu p1(w)) / (sum of q(c(x, .)) + mu); the first three tokens of a text have p1.
+    p = (q(c(x, w)) + mu p1(w)) / (sum of q(c(x, .)) + mu); before the first tokens of a text stand marks of its start.
     For every context these add up to 1, but for false positives of the filter.
 
     The levels of all four-token sequences and of the words past the ``head`` most frequent lie in a
@@ -330,13 +332,12 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
                 in_head = at >= 0
                 exact = np.where(in_head, np.log10(head_c[at] + 1.0), 0.0) if len(head_c) else np.zeros(len(h))
                 word_p1 = np.where(in_head, p1[at], 0.0) if len(head_c) else np.zeros(len(h))
-                ctx, full = contexts(h, token, starts)
+                ctx = contexts(h, token, starts)
                 in_hot = find(hot_x, ctx) if len(hot_x) else np.full(len(token), -1)
                 mass = np.where(in_hot >= 0, hot_mass[in_hot], 0.0) if len(hot_x) else np.zeros(len(token))
-                hot_ = full & (in_hot >= 0)
+                hot_ = in_hot >= 0
                 headed = in_head[token]
                 alone = np.where(hot_, -np.log10(mass + mu), 0.0)  # what is known here of a token's logarithm
-                alone[~full & headed] += np.log10(word_p1[token[~full & headed]])
                 pair = gram(ctx, h[token])
                 done = np.zeros(len(token), bool)
                 if len(hot_p):
@@ -355,15 +356,14 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
                 code = np.where(in_head, at, 0).astype(np.uint32)[token]
                 code = np.where(headed, code, tail_code[token] & ~_ALONE) | flags
                 # to the context's part: all but the tail after a hot context; to the word's: the tail
-                go = np.flatnonzero(full & ~done & (headed | ~hot_))
+                go = np.flatnonzero(~done & (headed | ~hot_))
                 where = np.where(hot_[go], pair[go], ctx[go])
                 code = np.where(hot_[go], code[go] | _ALONE, code[go])
                 low = lambda x: x.astype(np.uint32)
                 got = [(((where >> _U(33)) % _U(n_parts)).astype(np.int32), {"ctx": low(where), "code": code, "at": local[go]})]
                 go = np.flatnonzero(~headed)
                 word = h[token[go]]
-                short = np.where(full[go], low(pair[go]) >> np.uint32(1), np.uint32((1 << 31) - 1))  # the last: no context
-                got.append((((word >> _U(33)) % _U(n_parts)).astype(np.int32), {"w_word": low(word), "w_code": short | flags[go], "w_at": local[go]}))
+                got.append((((word >> _U(33)) % _U(n_parts)).astype(np.int32), {"w_word": low(word), "w_code": low(pair[go]) >> np.uint32(1) | flags[go], "w_at": local[go]}))
                 used = np.unique(np.concatenate([p for p, _ in got]))
                 cols = {"part": pa.array(labels[used]), "row": pa.array(np.full(len(used), part_of(0)[0].as_py()))}
                 for p, columns in got:
@@ -405,7 +405,6 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
         pairs, pair, c = seen(ctx.astype(np.uint64) << _U(31) | (code & ~_OUT), code < _OUT)
         rare, word, cw = seen(w_word, w_code < _OUT)
         w_pairs, w_pair, wc = seen(w_word.astype(np.uint64) << _U(31) | (w_code & ~_OUT), w_code < _OUT)
-        wc[(w_pairs & _U((1 << 31) - 1)) == (1 << 31) - 1] = 0  # tokens without a context
         named = [gram(np.array([i], np.uint64), x.astype(np.uint64)) for i, x in enumerate((pairs, rare, w_pairs))]
         on = [k > 0 for k in (c, cw, wc)]
         bits, seg_bits = fill(np.concatenate([k[m] for k, m in zip(named, on, strict=True)]), np.concatenate([k[m] for k, m in zip((c, cw, wc), on, strict=True)]))
@@ -418,11 +417,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
         alone = np.where(tail, 0, own & ~(_ALONE | _TAIL)).astype(np.int64)
         weight = np.where(tail, 1.0, np.where(resolved, q, np.minimum(q, mass)) + (p1[alone] if len(p1) else 0.0))
         logs = np.log10(weight) - np.where(resolved, 0.0, np.log10(mass + mu))
-        # the tail: a sequence is no more frequent than its word; without a context, p1 alone
+        # the tail: a sequence is no more frequent than its word
         of_word = np.searchsorted(rare, (w_pairs >> _U(31)).astype(np.uint32))
-        first = (w_pairs & _U((1 << 31) - 1)) == (1 << 31) - 1
-        w_p1 = (qw[of_word] + 1) / whole
-        w_logs = np.log10(np.where(first, w_p1, np.minimum(wq, qw[of_word]) + mu * w_p1))
+        w_logs = np.log10(np.minimum(wq, qw[of_word]) + mu * (qw[of_word] + 1) / whole)
         row = np.concatenate([rows_of("ctx", "at"), rows_of("w_word", "w_at")])
         ids, to = np.unique(row, return_inverse=True)
         nothing = np.zeros(len(ctx))

@@ -547,20 +547,20 @@ def lm_model(toks, train):
     """Scores by exact counts at their levels: sums of quantised counts, no filter."""
     values = lm_score.count_of()
     q = lambda k: values[lm_score.level_of(np.array([k]))[0]] if k else 0.0
+    after = lambda t: [(tuple([None, None, None, *t][j : j + 3]), w) for j, w in enumerate(t)]
     c, runs = Counter(), defaultdict(Counter)
     for i in train:
         c.update(toks[i])
-        for j in range(3, len(toks[i])):
-            runs[tuple(toks[i][j - 3 : j])][toks[i][j]] += 1
+        for x, w in after(toks[i]):
+            runs[x][w] += 1
     whole = sum(map(q, c.values())) + len(c) + 1
     p1 = lambda w: (q(c[w]) + 1) / whole
-    sums = {x: sum(map(q, after.values())) for x, after in runs.items()}
+    sums = {x: sum(map(q, words.values())) for x, words in runs.items()}
 
     def p(x, w):
         return (q(runs[x][w] if x in runs else 0) + lm_score.MU * p1(w)) / (sums.get(x, 0.0) + lm_score.MU)
 
-    out = {i: sum(math.log10(p1(w) if j < 3 else p(tuple(t[j - 3 : j]), w)) for j, w in enumerate(t)) for i, t in toks.items()}
-    return out, p, c, p1
+    return {i: sum(math.log10(p(x, w)) for x, w in after(t)) for i, t in toks.items()}, p, c, p1
 
 
 def test_lm_scores_against_exact_counts(spark):
@@ -574,6 +574,7 @@ def test_lm_scores_against_exact_counts(spark):
     toks = {i: [*(t or "").split(), "\n"] for i, t in enumerate(texts)}
     want, p, c, p1 = lm_model(toks, [i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2])
     assert math.isclose(sum(p(("the", "same", "line"), w) for w in c) + p(("the", "same", "line"), "unseen"), 1, rel_tol=1e-9)
+    assert math.isclose(sum(p((None, None, None), w) for w in c) + p((None, None, None), "unseen"), 1, rel_tol=1e-9)
     assert math.isclose(sum(p(("no", "such", "words"), w) for w in c) + p1("unseen"), 1, rel_tol=1e-9)
     for kw in ({}, {"max_bits": 1 << 17}, {"head": 50}, {"hot": 200}, {"hot": 200, "head": 50}):
         got = {r.doc_id: r.score for r in lm_score.score(df, **kw).collect()}

@@ -105,13 +105,17 @@ def join_spread(rows: DataFrame, other: DataFrame, key: str, share: int = HOT_SH
     return marked.where("__hot IS NOT NULL").select(*rows.columns, "__hot.*").unionByName(rest.select(*rows.columns, *fields))
 
 
+#: Edges up to which the nodes' minima are broadcast (16 bytes each, two nodes an edge at most).
+FEW_EDGES = 200_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star.
 
     edges: (a, b) long. Returns (id, component) for every node except the roots
     themselves; component is the smallest id reachable. Each round is two grouped
-    minima (combined map-side) joined back on the node, so the hub of a very large
-    group costs one partial aggregate per task and a join that AQE can split.
+    minima (combined map-side) joined back on the node, by a broadcast while there are few edges, else
+    by a merge join that AQE can split, so the hub of a very large group costs one partial aggregate per task.
     Rounds grow with the logarithm of the longest path; a round's edges are deleted once
     the next are written. Raises RuntimeError if ``max_rounds`` do not suffice, which
     takes far longer paths than any table holds: nothing is ever returned unfinished.
@@ -125,14 +129,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if not seen[0]:
         return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     for _ in range(max_rounds):
+        # nodes are at most twice the edges just counted: their minima are broadcast while that is few, so no hub meets in a task
+        small = (lambda d: F.broadcast(d)) if seen[0] <= FEW_EDGES else (lambda d: d.hint("merge"))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(small(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(
+        stars = large.join(small(low), "a").select(
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         )
-        e = stage(small.select("e.*").where("a <> b").distinct(), "cc")
+        e = stage(stars.select("e.*").where("a <> b").distinct(), "cc")
         now = mark(e)
         release(kept, e)
         if now == seen:

@@ -49,7 +49,9 @@ def docs(spark, texts):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int, key long, component_id string, score double")
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [200_000, 3])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     edges = [(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (8, 9), (7, 7), (12, 9)]
     out = common.connected_components(spark.createDataFrame(edges, "a long, b long"))
     assert {r.id: r.component for r in out.collect()} == {2: 1, 3: 1, 4: 1, 5: 1, 9: 8, 12: 8}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: Scratch tables written by this process, oldest first.
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Scratch tables written by this process: session, path, thread.
+_WRITTEN: list[tuple[SparkSession, str, int]] = []
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -34,8 +36,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     ship(spark)
     path = f"{scratch_root(spark)}/rivulet/{label}-{uuid.uuid4().hex}"
     if not _WRITTEN:
-        atexit.register(release)
-    _WRITTEN.append((spark, path))
+        atexit.register(_delete, lambda _: True)
+    _WRITTEN.append((spark, path, threading.get_ident()))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -43,18 +45,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def written() -> set[str]:
-    """What is staged now; :func:`release` takes away what is staged besides."""
-    return {path for _, path in _WRITTEN}
+    """What this thread has staged and not released."""
+    return {path for _, path, thread in _WRITTEN if thread == threading.get_ident()}
 
 
-def release(keep: set[str] = frozenset(), *frames: DataFrame) -> None:
-    """Deletes all scratch tables but those in ``keep`` and the staged ``frames``.
+def release(paths: set[str]) -> None:
+    """Deletes these scratch tables. For a caller who has written what was built on them: whatever still
+    reads one fails."""
+    _delete(lambda path: path in paths)
 
-    For a caller who has written what was built on them: whatever still reads one fails."""
-    keep = keep | {getattr(f, "_scratch", None) for f in frames}
-    gone = [x for x in _WRITTEN if x[1] not in keep]
-    _WRITTEN[:] = [x for x in _WRITTEN if x[1] in keep]
-    for spark, path in gone:
+
+def _delete(which: Callable[[str], bool]) -> None:
+    gone = [x for x in _WRITTEN if which(x[1])]
+    _WRITTEN[:] = [x for x in _WRITTEN if x not in gone]
+    for spark, path, _ in gone:
         with contextlib.suppress(Exception):  # the session may have ended before the process
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -121,7 +125,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     takes far longer paths than any table holds: nothing is ever returned unfinished.
     """
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-    kept = written()  # of the loop's own tables only the last is needed
     e = stage(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
     )
@@ -138,9 +141,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         stars = large.join(small(low), "a").select(
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         )
-        e = stage(stars.select("e.*").where("a <> b").distinct(), "cc")
+        before, e = e, stage(stars.select("e.*").where("a <> b").distinct(), "cc")
         now = mark(e)
-        release(kept, e)
+        release({before._scratch})
         if now == seen:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
         seen = now

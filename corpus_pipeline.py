@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,19 +17,18 @@ from rivulet.llm.quality import filter_quality
 ORACLE_SQL = None
 
 
-#: Scratch tables that the stage called last has left. Its result is written when the next stage is called, so they go then.
-_LEFT: set[str] = set()
+#: Scratch tables that this thread's last stage has left. Its result is written when the next stage is called, so they go then.
+_LEFT = threading.local()
 
 
 def one_stage(build: Callable[[], DataFrame], first: bool = False) -> DataFrame:
     """A stage's result; what the stage before it left in the scratch folder is deleted, but for the first: a
     result of an earlier run may not have been read yet."""
     if not first:
-        release(written() - _LEFT)
+        release(getattr(_LEFT, "paths", set()))
     before = written()
     out = build()
-    _LEFT.clear()
-    _LEFT.update(written() - before)
+    _LEFT.paths = written() - before
     return out
 
 
@@ -63,8 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again, and deleted once the next is written."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        before = written()
         new = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
-        release(before - {getattr(docs, "_scratch", None)} | _LEFT, new)
+        release({getattr(docs, "_scratch", None)})
         docs = new
     return STAGES[-1][1](spark, docs, sf_dir)

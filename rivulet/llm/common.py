@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,15 @@ def _delete(which: Callable[[str], bool]) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; after the last, what this Python worker does not need goes back to the system, as a worker
+    outlives its task and the executor's memory holds both."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns of ``df`` in one struct, so that no name of theirs can clash with an operator's own."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

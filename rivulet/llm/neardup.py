@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import connected_components, join_spread, maybe_broadcast, stage, table, whole_row, words_of
+from rivulet.llm.common import connected_components, join_spread, maybe_broadcast, stage, table, trimmed, whole_row, words_of
 from rivulet.session import ship
 
 WORDS = 5
@@ -47,7 +47,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 150_000:
+        if len(self) < 60_000:
             self[word] = h
         return h
 
@@ -181,7 +181,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["id", "digest", "low", "bands"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    return src.mapInArrow(run, "id long, digest binary, low binary, bands array<long>")
+    return src.mapInArrow(lambda batches: trimmed(run(batches)), "id long, digest binary, low binary, bands array<long>")
 
 
 def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -223,7 +223,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity_: float) -> DataFrame:
                 keep.append(similarity(a, b) >= similarity_)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(lambda batches: trimmed(run(batches)), "a long, b long")
 
 
 def blocked(members: DataFrame) -> DataFrame:

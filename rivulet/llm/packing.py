@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import maybe_broadcast, stage, table
+from rivulet.llm.common import maybe_broadcast, stage, table, trimmed
 from rivulet.session import ship
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -142,7 +142,7 @@ def token_pieces(
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     schema = PIECES + (", ids binary" if keep_ids else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
 class Tournament:

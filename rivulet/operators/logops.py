@@ -62,28 +62,33 @@ def dedup(log: DataFrame) -> DataFrame:
     epoch at 0); a sequence accepted before is a duplicate, a later one a gap until what is missing
     arrives, and a record of an older epoch is fenced. Producers whose sequences arrive in order but for
     repeats, nearly all, are decided by windows; those with any gap go to :func:`dedup_fold`, without payloads.
+    Records of a producer that arrive together are taken by epoch and sequence; each has a status of its own.
     """
-    who = ["topic", "partition", "producer_id"]
-    by = Window.partitionBy(*who).orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, 0)
-    epoch = Window.partitionBy(*who, "producer_epoch").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
+    who, turn = ["topic", "partition", "producer_id"], ["arrival_seq", "producer_epoch", "sequence"]
+    by = Window.partitionBy(*who).orderBy(*turn).rowsBetween(Window.unboundedPreceding, 0)
+    epoch = Window.partitionBy(*who, "producer_epoch").orderBy(*turn).rowsBetween(Window.unboundedPreceding, -1)
     slim = log.select(*who, "producer_epoch", "sequence", "arrival_seq").withColumn("__top", F.max("producer_epoch").over(by))
     slim = slim.withColumn("__seen", F.coalesce(F.max("sequence").over(epoch), F.lit(-1)))
     jump = (F.col("sequence") > F.col("__seen") + 1) & (F.col("producer_epoch") == F.col("__top"))
     slim = slim.withColumn("__jump", F.max(jump.cast("int")).over(Window.partitionBy(*who)) == 1)
     status = F.when(F.col("producer_epoch") < F.col("__top"), "fenced").when(F.col("sequence") <= F.col("__seen"), "duplicate").otherwise("accepted")
-    plain = slim.where("NOT __jump").select(*who, "arrival_seq", status.alias("status"))
-    decided = plain.unionByName(dedup_fold(slim.where("__jump")).select(*who, "arrival_seq", "status"))
-    return log.join(decided, [*who, "arrival_seq"]).select(*log.columns, "status")
+    plain = slim.where("NOT __jump").select(*who, *turn, status.alias("status"))
+    decided = plain.unionByName(dedup_fold(slim.where("__jump")))
+    # arrival_seq need not tell a producer's records apart: those of one arrival are matched by their place in it
+    together = decided.groupBy(*who, "arrival_seq").agg(F.sort_array(F.collect_list(F.struct(*turn[1:], "status"))).alias("__s"))
+    place = F.row_number().over(Window.partitionBy(*who, "arrival_seq").orderBy(*turn[1:]))
+    out = log.withColumn("__place", place).join(together, [*who, "arrival_seq"])
+    return out.select(*log.columns, F.get("__s", F.col("__place") - 1)["status"].alias("status"))
 
 
 def dedup_fold(log: DataFrame) -> DataFrame:
-    """(topic, partition, producer_id, arrival_seq, status) for any order of arrival: a fold per
-    producer, after a gap accepting again once the missing sequence arrives. With a record_count
+    """(topic, partition, producer_id, arrival_seq, producer_epoch, sequence, status) for any order of arrival:
+    a fold per producer, after a gap accepting again once the missing sequence arrives. With a record_count
     column a row is a batch of so many sequences from its own on."""
-    schema = "topic string, partition int, producer_id long, arrival_seq long, status string"
+    schema = "topic string, partition int, producer_id long, arrival_seq long, producer_epoch int, sequence int, status string"
 
     def run(pdf):
-        pdf = pdf.sort_values("arrival_seq")
+        pdf = pdf.sort_values(["arrival_seq", "producer_epoch", "sequence"], na_position="first")
         epoch, last, out = None, -1, []
         for e, s, n in zip(pdf.producer_epoch, pdf.sequence, pdf.record_count, strict=True):
             n = max(1, n)
@@ -98,7 +103,7 @@ def dedup_fold(log: DataFrame) -> DataFrame:
                 out.append("accepted")
             else:
                 out.append("duplicate" if s <= last else "gap")
-        return pdf.assign(status=out)[["topic", "partition", "producer_id", "arrival_seq", "status"]]
+        return pdf.assign(status=out)[["topic", "partition", "producer_id", "arrival_seq", "producer_epoch", "sequence", "status"]]
 
     count = F.col("record_count").cast("int") if "record_count" in log.columns else F.lit(1)
     ship(log.sparkSession)

@@ -192,6 +192,17 @@ def test_dedup_recovers_after_a_gap(spark):
         assert [out[i] for i in range(8)] == ["accepted", "gap", "accepted", "accepted", "duplicate", "accepted", "fenced", "gap"]
 
 
+def test_dedup_of_records_that_arrive_together(spark):
+    """One row for each, with its own status, in either way of deciding: producer 1 has a gap, producer 2 none."""
+    sent = [(1, 0, 0), (1, 7, 1), (1, 7, 5), (2, 0, 0), (2, 0, 0), (2, 3, 2), (2, 3, 1)]
+    df = spark.createDataFrame([("t", 0, p, 0, s, a, f"{i}") for i, (p, a, s) in enumerate(sent)], SENT + ", value string")
+    want = sorted([(1, 0, "accepted"), (1, 1, "accepted"), (1, 5, "gap"), (2, 0, "accepted"), (2, 0, "duplicate"), (2, 1, "accepted"), (2, 2, "accepted")])
+    out = logops.dedup(df).collect()
+    assert sorted((r.producer_id, r.sequence, r.status) for r in out) == want
+    assert sorted(int(r.value) for r in out) == list(range(len(sent)))
+    assert sorted((r.producer_id, r.sequence, r.status) for r in logops.dedup_fold(df).collect()) == want
+
+
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 4), st.integers(0, 2), st.integers(0, 4)), min_size=1, max_size=40))
 def test_dedup_is_the_fold(spark, sent):

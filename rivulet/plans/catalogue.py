@@ -1240,20 +1240,21 @@ def throughput_summary(spark, d):
 # ---- streaming: the same jobs over a streamed copy of the log ----------------------------
 
 
-def streamed(spark, d, name: str, build, mode: str) -> DataFrame:
-    """Writes the log as files, streams them through ``build`` until all is read, returns the sink's table."""
+def streamed(spark, d, build, mode: str) -> DataFrame:
+    """Writes the log as files, streams them through ``build`` until all is read, returns what the sink wrote: files,
+    as a table in memory would be the driver's."""
     import uuid
 
     from rivulet.streaming import jobs as stream
 
     root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
-    logs.events(spark, d).repartitionByRange(3, "arrival_seq").write.parquet(f"{root}/log")
-    table = f"{name}_{uuid.uuid4().hex}"
-    q = stream.start(build(stream.read_log(spark, f"{root}/log")), table, f"{root}/checkpoint", mode)
+    files = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a file is read by one task or few
+    logs.events(spark, d).repartitionByRange(files, "arrival_seq").write.parquet(f"{root}/log")
+    q = stream.start_files(build(stream.read_log(spark, f"{root}/log")), f"{root}/result", f"{root}/checkpoint", mode)
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.table(table)
+    return stream.read_files(spark, f"{root}/result", mode)
 
 
 @query("stream_tumbling_update", f"{TUMBLE}, {AGG} FROM ev GROUP BY ALL")
@@ -1262,8 +1263,8 @@ def stream_tumbling_update(spark, d):
 
     from rivulet.streaming import jobs as stream
 
-    out = streamed(spark, d, "tumbling", lambda s: stream.aggregate(s, tumbling_job("sum")), "update")
-    last = Window.partitionBy("key", "window_start").orderBy(F.desc("count"))  # the newest update of a window
+    out = streamed(spark, d, lambda s: stream.aggregate(s, tumbling_job("sum")), "update")
+    last = Window.partitionBy("key", "window_start").orderBy(F.desc("batch"))  # the newest update of a window
     return rounded(out.withColumn("rn", F.row_number().over(last)).where("rn = 1"), "key", "window_start", "window_end")
 
 
@@ -1272,7 +1273,7 @@ def stream_session(spark, d):
     from rivulet.streaming import jobs as stream
 
     job = jobs.JobConfig("s", "AGGREGATE", "events", key_field="user", value_field="amt", agg="avg", window=WindowSpec("session", gap_ms=6 * HOUR))
-    return rounded(streamed(spark, d, "session", lambda s: stream.aggregate(s, job), stream.output_mode(job)), "key", "window_start", "window_end")
+    return rounded(streamed(spark, d, lambda s: stream.aggregate(s, job), stream.output_mode(job)), "key", "window_start", "window_end")
 
 
 @query("stream_join_static", SQL["join_left_latest"])
@@ -1280,7 +1281,7 @@ def stream_join_static(spark, d):
     from rivulet.streaming import jobs as stream
 
     job = jobs.JobConfig("j", "JOIN", "events", key_field="user", table_topic="customers", table_key_field="id", join_type="left")
-    return streamed(spark, d, "joined", lambda s: stream.join_static(s, customers(spark, d), job), "append")
+    return streamed(spark, d, lambda s: stream.join_static(s, customers(spark, d), job), "append").drop("batch")
 
 
 @query("stream_exact_sliding", f"WITH {EV}, p AS (SELECT a.event_id AS arrival_seq, a.key, a.ts_ms, b.amt FROM ev a JOIN ev b ON a.key = b.key AND b.event_id <= a.event_id AND b.ts_ms > a.ts_ms - {DAY} AND b.ts_ms <= a.ts_ms) SELECT arrival_seq, key, ts_ms - {DAY - 1} AS window_start, ts_ms AS window_end, {AGG} FROM p GROUP BY arrival_seq, key, ts_ms")

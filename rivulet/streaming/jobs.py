@@ -183,13 +183,38 @@ def start(result: DataFrame, name: str, checkpoint: str, mode: str = "update", *
 def start_files(result: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Takes all that is there into Parquet below ``path`` and ends; started again from the same checkpoint it
     goes on where it ended, with its state, stream time and offsets. A micro-batch has a folder of its own, so one that is
-    repeated after a failure is overwritten, not added."""
+    repeated after a failure is overwritten, not added. State is kept in RocksDB, in bounded memory, unless
+    the application names another store."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     w = result.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
-    return w.trigger(availableNow=True).start()
+    conf = result.sparkSession.conf
+    ours = STORE if conf.get(next(iter(STORE)), None) is None else {}
+    before = {k: conf.get(k, None) for k in ours}
+    try:
+        for k, v in ours.items():
+            conf.set(k, v)
+        return w.trigger(availableNow=True).start()  # takes the settings of this moment
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
+#: State store of :func:`start_files`: on disk, with one bound of memory for all stores of an executor.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+}
+
+
+def read_files(spark: SparkSession, path: str, mode: str = "update") -> DataFrame:
+    """What :func:`start_files` wrote, with the number of the micro-batch as ``batch``; in mode complete, whose
+    micro-batches each hold the whole result, the last one's."""
+    out = spark.read.parquet(path)
+    return out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]) if mode == "complete" else out
 
 
 def recent(results: DataFrame, limit: int = 50) -> DataFrame:

@@ -205,3 +205,13 @@ def test_job_registry(spark):
     assert got(jobs.run(log, job), "key", "window_start", "sum", "count", "value") == [("ann", 60_000, 15.5, 2, 15.5)]
     r.delete("j")
     assert r.list() == []
+
+
+@pytest.mark.parametrize("name", ["stream_tumbling_update"])
+def test_streamed_results_are_files(spark, name):
+    """What a stream made is read from the sink's files, not from a table in the driver's memory."""
+    from rivulet.plans import catalogue
+
+    out = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert out.inputFiles() and out.count() > 0
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) is None

@@ -207,7 +207,7 @@ def test_job_registry(spark):
     assert r.list() == []
 
 
-@pytest.mark.parametrize("name", ["stream_tumbling_update"])
+@pytest.mark.parametrize("name", ["stream_tumbling_update", "stream_session"])
 def test_streamed_results_are_files(spark, name):
     """What a stream made is read from the sink's files, not from a table in the driver's memory."""
     from rivulet.plans import catalogue
@@ -215,3 +215,19 @@ def test_streamed_results_are_files(spark, name):
     out = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert out.inputFiles() and out.count() > 0
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) is None
+
+
+def test_a_whole_result_is_that_of_the_last_batch(spark, tmp_path):
+    """Mode complete writes everything with each micro-batch; sessions that a later file joins come out once."""
+    from rivulet.streaming import jobs as stream
+
+    log, out, state = (str(tmp_path / x) for x in ("log", "out", "state"))
+    job = JobConfig("s", "AGGREGATE", "events", key_field="user", value_field="amt", agg="sum", window=WindowSpec("session", gap_ms=10))
+    for seqs in ([(0, 0), (1, 15)], [(2, 7)]):
+        body = spark.createDataFrame([(s, t, f'{{"user":"a","amt":{s + 1}}}') for s, t in seqs], "arrival_seq long, timestamp_ms long, v string")
+        body.selectExpr("'events' AS topic", "0 AS partition", "arrival_seq AS offset", "timestamp_ms", "CAST(v AS BINARY) AS value", "arrival_seq").write.mode("append").parquet(log)
+        q = stream.start_files(stream.aggregate(stream.read_log(spark, log), job), out, state, stream.output_mode(job))
+        q.awaitTermination()
+        assert q.exception() is None
+    got = [(r.key, r.window_start, r.window_end, r["count"], r["sum"]) for r in stream.read_files(spark, out, "complete").collect()]
+    assert got == [("a", 0, 15, 3, 6.0)]

@@ -207,7 +207,7 @@ def test_job_registry(spark):
     assert r.list() == []
 
 
-@pytest.mark.parametrize("name", ["stream_tumbling_update", "stream_session"])
+@pytest.mark.parametrize("name", ["stream_tumbling_update", "stream_session", "stream_join_static"])
 def test_streamed_results_are_files(spark, name):
     """What a stream made is read from the sink's files, not from a table in the driver's memory."""
     from rivulet.plans import catalogue

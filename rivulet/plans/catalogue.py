@@ -1249,7 +1249,8 @@ def streamed(spark, d, build, mode: str) -> DataFrame:
 
     root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
     files = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a file is read by one task or few
-    logs.events(spark, d).repartitionByRange(files, "arrival_seq").write.parquet(f"{root}/log")
+    # by hash: one micro-batch takes all files, and ranges would make the whole log once more for their bounds
+    logs.events(spark, d).repartition(files, "arrival_seq").write.parquet(f"{root}/log")
     q = stream.start_files(build(stream.read_log(spark, f"{root}/log")), f"{root}/result", f"{root}/checkpoint", mode)
     q.awaitTermination()
     if q.exception():

@@ -217,6 +217,30 @@ def test_streamed_results_are_files(spark, name):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) is None
 
 
+def test_a_streamed_log_is_made_once(spark, monkeypatch):
+    """No pass over the log before the one that writes it."""
+    from rivulet.plans import catalogue
+    from rivulet.streaming import jobs as stream
+
+    made, events = spark.sparkContext.accumulator(0), catalogue.logs.events
+
+    def counted(*where):
+        log = events(*where)
+
+        def run(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return log.mapInArrow(run, log.schema)
+
+    monkeypatch.setattr(catalogue.logs, "events", counted)
+    out = catalogue.streamed(spark, "/root/testdata/sf0.001", stream.running_count, "update")
+    n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert out.groupBy().sum("count").first()[0] == n
+    assert made.value == n
+
+
 def test_a_whole_result_is_that_of_the_last_batch(spark, tmp_path):
     """Mode complete writes everything with each micro-batch; sessions that a later file joins come out once."""
     from rivulet.streaming import jobs as stream
